@@ -233,14 +233,16 @@ def count_events(docs: DataFrame, vocabulary, chunk_blocks: int = 8) -> DataFram
 def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS, parts: int = PARTS, decay: float = 0.5) -> np.ndarray:
     """Weights by rounds of distributed gradient steps over the table of (context, class, n).
 
-    In a round every part returns its gradient and a bound of its curvature, arrays of fixed
-    size; the driver adds them up in the order of the parts and takes one damped step.
+    In a round each of ``parts`` tasks returns, for the rows of the weight table that its
+    histories use, the gradient and a bound of its curvature; the driver adds them up in a
+    fixed order and takes one damped step.  What it receives is bounded by the table and
+    the number of parts, not by the corpus.
     """
     held = checkpointed(cells.repartition(parts, "context"))
     spark = cells.sparkSession
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[0] = np.log((class_counts + 0.5) / (class_counts.sum() + 0.5 * CLASSES))
-    schema = T.StructType([T.StructField("order", T.LongType()), T.StructField("gradient", T.BinaryType()), T.StructField("expected", T.BinaryType())])
+    schema = T.StructType([T.StructField("order", T.LongType()), T.StructField("rows", T.BinaryType()), T.StructField("gradient", T.BinaryType()), T.StructField("expected", T.BinaryType())])
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -258,15 +260,17 @@ def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS
             for j in range(f.shape[1]):
                 np.add.at(gradient, f[:, j], seen - expected)
                 np.add.at(bound, f[:, j], expected)
-            yield arrow_batch(schema, [[int(distinct[0])], [gradient.astype(np.float32).tobytes()], [bound.astype(np.float32).tobytes()]])
+            used = np.unique(f)
+            yield arrow_batch(schema, [[int(distinct[0])], [used.tobytes()], [gradient[used].astype(np.float32).tobytes()], [bound[used].astype(np.float32).tobytes()]])
 
         total = [np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))]
-        for r in sorted(held.mapInArrow(part, schema).collect(), key=lambda r: r.order):
+        for r in sorted(held.coalesce(parts).mapInArrow(part, schema).collect(), key=lambda r: r.order):
+            used = np.frombuffer(r.rows, np.int64)
             for t, x in zip(total, (r.gradient, r.expected), strict=True):
-                t += np.frombuffer(x, np.float32).reshape(ROWS, CLASSES)
+                t[used] += np.frombuffer(x, np.float32).reshape(-1, CLASSES)
         gradient, bound = total[0] - decay * weights, total[1]
         weights = weights + np.clip(gradient / (2.0 * bound + np.abs(total[0]) * 0.5 + decay + 1e-9), -1.0, 1.0).astype(np.float32)
-        shared.unpersist()
+        shared.destroy()
     return weights
 
 
