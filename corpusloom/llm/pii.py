@@ -122,25 +122,30 @@ def disclosing_terms(docs: DataFrame, said: DataFrame, *, support: int = SUPPORT
 
     Frequencies come from every document: N documents, df(t) those with the word, df(e) and
     df(e, t) the distinct contexts of the entity and of both.  Only words that reach the
-    support beside some entity are counted; their list is broadcast if it has at most
-    ``broadcast_rows`` rows and joined by shuffle otherwise.
+    support beside some entity, and that may disclose it, are counted; their list is broadcast
+    if it has at most ``broadcast_rows`` rows and joined by shuffle otherwise.
     """
     pairs = said.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     of_entity = said.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    total = docs.count()
+    n = F.lit(float(max(total, 2)))
+    information = F.log(n / F.col("of_entity"))
+    pointwise = F.log(n * F.col("both") / (F.col("of_entity") * F.greatest("of_term", "both")))
+    degree = F.when(information > 0, pointwise / information).otherwise(0.0)
+    # A word is in at least as many documents as have it beside an entity.  With that for df(t)
+    # the disclosure is bounded from above, and a pair below the threshold needs no count.
+    beside = said.select("_id", "_hash", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    pairs = pairs.join(of_entity, "entity").join(beside, "term").filter(degree >= threshold).drop("of_term")
+    pairs = checkpointed(pairs)
     candidates = pairs.select("term").distinct()
     known = candidates.limit(broadcast_rows + 1).count()
     if not known:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    total = docs.count()
     words = F.array_distinct(F.transform(F.split(F.lower("_text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     spread = docs.select(F.explode(words).alias("term"))
     spread = spread.join(F.broadcast(candidates) if known <= broadcast_rows else candidates, "term", "left_semi")
     of_term = spread.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    n = F.lit(float(max(total, 2)))
-    joined = pairs.join(of_entity, "entity").join(of_term, "term")
-    information = F.log(n / F.col("of_entity"))
-    pointwise = F.log(n * F.col("both") / (F.col("of_entity") * F.greatest("of_term", "both")))
-    return joined.select("entity", "term", F.when(information > 0, pointwise / information).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= threshold)
+    return pairs.join(of_term, "term").select("entity", "term", degree.alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
 def _digest_text(spans: Column) -> Column:
