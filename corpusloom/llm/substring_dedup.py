@@ -117,7 +117,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
     """
     n, span = len(data), length - seed + 1
     found = []
-    for base in range(0, max(n - length + 1, 0), SEGMENT - length):
+    for base in range(0, max(n - length + 1, 0), SEGMENT - length + 1):
         stop = min(n, base + SEGMENT)
         part = data[base:stop]
         m = len(part)
