@@ -247,9 +247,10 @@ def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS
         shared = spark.sparkContext.broadcast(weights)
 
         def part(batches, shared=shared):
-            table = pa.Table.from_batches(list(batches)) if batches else None
-            if table is None or not table.num_rows:
+            rows = [b for b in batches if b.num_rows]
+            if not rows:
                 return
+            table = pa.Table.from_batches(rows)
             context, kind, n = (table.column(c).to_numpy() for c in ("context", "kind", "n"))
             distinct, which = np.unique(context, return_inverse=True)
             seen = np.zeros((len(distinct), CLASSES))
