@@ -141,6 +141,8 @@ def mix_sources(
     drawn = sized.join(plan, ["skey", "size"]).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     fraction = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
     drawn = drawn.withColumn("cell", F.floor(fraction * F.ceil(F.col("n") / F.lit(cell_rows))))
+    # By hand: a join by (source, length) would else serve the ranking too, with a hot group in one task.
+    drawn = drawn.repartition("skey", "size", "cell")
     in_group = Window.partitionBy("skey", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = drawn.filter(F.col("n") > cell_rows).groupBy("skey", "size", "cell").agg(F.count(F.lit(1)).alias("members"))
     cells = cells.select("skey", "size", "cell", F.coalesce(F.sum("members").over(in_group), F.lit(0)).alias("before"))
