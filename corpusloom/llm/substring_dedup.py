@@ -47,14 +47,19 @@ class SuffixFamily:
     def __init__(self):
         self.levels: list[dict[str, np.ndarray]] = []
 
-    def add(self, key: np.ndarray, rank: np.ndarray, ref: np.ndarray) -> np.ndarray:
-        """Takes a batch; returns for each entry whether it matches an entry of this or an earlier batch."""
+    def add(self, key: np.ndarray, rank: np.ndarray, ref: np.ndarray, settled: np.ndarray | None = None) -> np.ndarray:
+        """Takes a batch; returns for each entry whether it matches an entry of this or an earlier batch.
+
+        ``settled`` marks entries known to match elsewhere, which others may still match.
+        """
         order = np.lexsort((rank, key))  # the new batch's suffix array
         k, r = key[order], rank[order]
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
         group = np.cumsum(fresh) - 1
         twice = np.bincount(group) > 1
+        if settled is not None:
+            twice |= np.bincount(group, weights=settled[order]) > 0
         first = np.flatnonzero(fresh)
         new = {"key": k[first], "rank": r[first], "ref": ref[order[first]], "matched": twice.copy(), "reported": twice.copy()}
         known = np.zeros(len(first), bool)
@@ -160,7 +165,24 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _RUN = "doc long, th long, kind int, anchor long, packed long"
-_DUPLICATE, _EDGE, _WITNESS = 0, 1, 2
+_DUPLICATE, _EDGE, _WITNESS, _SPAN = 0, 1, 2, 3
+_OPEN, _SETTLED = 4, 5
+
+
+def settle_in_block(anchor: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have an equal within the block, and which of the runs the index still needs: one of each.
+
+    A text of one short period has an anchor in every period, all alike; without this
+    they would all meet in one shard.
+    """
+    order = np.lexsort((stretch, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (stretch[order[1:]] != stretch[order[:-1]])
+    group = np.cumsum(new) - 1
+    repeated, needed = np.empty(len(order), bool), np.zeros(len(order), bool)
+    repeated[order] = (np.bincount(group) > 1)[group]
+    needed[order[new]] = True
+    return repeated, needed
 
 
 def _index_runs(batches):
@@ -173,10 +195,15 @@ def _index_runs(batches):
 
     held = np.zeros((0, 3), np.int64)
     for batch in batches:
-        anchor, stretch, doc, th, packed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        anchor, stretch, doc, th, packed, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         rows = np.stack((doc, th, packed), axis=1)
+        span = kind == _SPAN  # its start is in packed, its stop in stretch
+        if span.any():
+            yield out(rows[span], stretch.view(np.uint64)[span], kind[span])
+            anchor, stretch, rows, kind = anchor[~span], stretch[~span], rows[~span], kind[~span]
         ref = np.arange(len(held), len(held) + len(rows))
-        matched = family.add(anchor.view(np.uint64), stretch.view(np.uint64), ref)
+        matched = family.add(anchor.view(np.uint64), stretch.view(np.uint64), ref, kind == _SETTLED)
+        matched &= kind != _SETTLED  # their spans have come already
         yield out(rows[matched], anchor.view(np.uint64)[matched], np.full(int(matched.sum()), _DUPLICATE))
         # Keep only the rows that the family still refers to.
         refs = np.sort(np.concatenate([level["ref"] for level in family.levels])) if family.levels else np.zeros(0, np.int64)
@@ -244,19 +271,21 @@ def _index_windows(length: int):
     return run
 
 
-def covered_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of the bytes that the given spans cover; touching spans are one run."""
+def covered_spans(starts: np.ndarray, stops: np.ndarray, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes that the given spans cover; touching spans are one run, except at ``borders``."""
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(stops[order])
     new = np.ones(len(starts), bool)
     new[1:] = starts[1:] > reach[:-1]
+    if borders is not None:
+        new[1:] |= (starts[1:] == reach[:-1]) & np.isin(starts[1:], borders)
     head = np.flatnonzero(new)
     return starts[head], reach[np.concatenate((head, [len(starts)]))[1:] - 1]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc, th, spans) of ``docs`` (doc, th, text): the stretches made of windows that start elsewhere too."""
-    runs_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "stretch", "doc", "th", "packed")])
+    runs_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "stretch", "doc", "th", "packed", "kind")])
 
     def runs(batches):
         for block in blocks(batches, "text"):
@@ -266,12 +295,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
             row = block.row_of(first)
             ids, th = (block.rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             packed = _pack(first - block.offsets[row], last - first + 1, place - first)
-            yield arrow_batch(runs_schema, [anchor.view(np.int64), stretch.view(np.int64), ids[row], th[row], packed])
+            repeated, needed = settle_in_block(anchor, stretch)
+            own = row[needed]
+            yield arrow_batch(runs_schema, [anchor.view(np.int64)[needed], stretch.view(np.int64)[needed], ids[own], th[own], packed[needed], np.where(repeated[needed], _SETTLED, _OPEN)])
+            if repeated.any():
+                # No span reaches over a text's end, so all texts of the block can be covered at once.
+                start, stop = covered_spans(first[repeated], last[repeated] + length, block.offsets)
+                own = block.row_of(start)
+                start, stop = start - block.offsets[own], stop - block.offsets[own]
+                spread = mix64(ids[own].astype(np.uint64) ^ (start.astype(np.uint64) << np.uint64(20))).view(np.int64)
+                yield arrow_batch(runs_schema, [spread, stop, ids[own], th[own], start, np.full(len(own), _SPAN)])
 
     indexed = docs.select("doc", "th", "text").mapInArrow(runs, runs_schema).repartition("anchor").mapInArrow(_index_runs, _RUN)
     indexed = checkpointed(indexed)
     # Stage 2: the bytes of the edges, cut from their documents.
-    edges = indexed.filter(F.col("kind") != _DUPLICATE).groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "anchor", "packed")).alias("edges"))
+    edges = indexed.filter(F.col("kind").isin(_EDGE, _WITNESS)).groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "anchor", "packed")).alias("edges"))
     stretch_schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("first", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("anchor", T.LongType())])
 
     def cut(batches):
@@ -288,7 +326,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     pieces = docs.join(edges, ["doc", "th"]).select("doc", "th", "text", "edges").mapInArrow(cut, stretch_schema)
     windows = pieces.repartition("anchor").select("doc", "th", "kind", "first", "data").mapInArrow(_index_windows(length), "doc long, th long, start long, stop long")
     whole = indexed.filter(F.col("kind") == _DUPLICATE).select("doc", "th", F.shiftright("packed", 18).alias("start"), (F.shiftright("packed", 18) + F.shiftright("packed", 9).bitwiseAND(F.lit(511)) - 1 + length).alias("stop"))
-    return whole.unionByName(windows).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    settled = indexed.filter(F.col("kind") == _SPAN).select("doc", "th", F.col("packed").alias("start"), F.col("anchor").alias("stop"))
+    return whole.unionByName(settled).unionByName(windows).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
