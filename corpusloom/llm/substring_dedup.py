@@ -100,17 +100,19 @@ class SuffixFamily:
 
 def _find(key: np.ndarray, rank: np.ndarray, want_key: np.ndarray, want_rank: np.ndarray) -> np.ndarray:
     """Place of each wanted (key, rank) in a sorted level, -1 where it has none."""
-    out = np.full(len(want_key), -1, np.int64)
-    at = np.searchsorted(key, want_key, side="left")
+    low = np.searchsorted(key, want_key, side="left")
     end = np.searchsorted(key, want_key, side="right")
-    open_ = np.flatnonzero(at < end)
-    single = open_[end[open_] - at[open_] == 1]
-    same = rank[at[single]] == want_rank[single]
-    out[single[same]] = at[single[same]]
-    for i in open_[end[open_] - at[open_] > 1]:
-        p = at[i] + np.searchsorted(rank[at[i] : end[i]], want_rank[i])
-        if p < end[i] and rank[p] == want_rank[i]:
-            out[i] = p
+    out, high = np.full(len(want_key), -1, np.int64), end.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):  # one halving of all open ranges at a time
+        middle = (low[open_] + high[open_]) >> 1
+        below = rank[middle] < want_rank[open_]
+        low[open_] = np.where(below, middle + 1, low[open_])
+        high[open_] = np.where(below, high[open_], middle)
+        open_ = open_[low[open_] < high[open_]]
+    inside = np.flatnonzero(low < end)
+    hit = inside[rank[low[inside]] == want_rank[inside]]
+    out[hit] = low[hit]
     return out
 
 
