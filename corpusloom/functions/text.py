@@ -122,6 +122,27 @@ def host(*urls: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(*urls), r"^https?://([^/?#]+)", 1), F.lit("")), F.lit("unknown"))
 
 
+def unescape_html(column: Column) -> Column:
+    """The five predefined references; the ampersand last, so nothing is decoded twice."""
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        column = F.replace(column, F.lit(name), F.lit(c))
+    return column
+
+
+def moses_tokens(column: Column) -> Column:
+    """The core of Moses tokenisation for English: punctuation apart, numbers and contractions kept as they are written there."""
+    for pattern, to in ((r"\s+", " "), (r"([^\p{L}\p{N}\s.'`,-])", " $1 "), (r"([^\p{N}]),", "$1 , "), (r",([^\p{N}])", " , $1"), (r"([^\p{L}])'", "$1 ' "), (r"(\p{L})'(\p{L})", "$1 '$2"), (r"\.\s*$", " ."), (r"\s+", " ")):
+        column = F.regexp_replace(column, pattern, to)
+    return F.trim(column)
+
+
+def moses_detokens(column: Column) -> Column:
+    """Undoes the spaces before closing and after opening punctuation."""
+    for pattern, to in ((r" ([.,;:!?)\]%])", "$1"), (r"([(\[]) ", "$1"), (r" '(s|t|re|ve|ll|d|m)\b", "'$1")):
+        column = F.regexp_replace(column, pattern, to)
+    return column
+
+
 # Public suffixes of two labels.
 TWO_LABEL_SUFFIXES = "ac.uk co.in co.jp co.ke co.kr co.nz co.uk co.za com.au com.br com.cn com.et com.mx com.ng com.tr edu.et gov.et gov.uk net.au org.au org.et org.uk".split()
 
@@ -173,6 +194,22 @@ def transliterate(column: Column) -> Column:
     return F.array_join(F.transform(F.split(column, r"(?U)\s+"), lambda t: F.when(t.rlike(numeric), numeral_value(t).cast("string")).otherwise(spelled(t))), " ")
 
 
+def spell_ethiopic(column: Column) -> Column:
+    """Latin to Ethiopic: at each place the longest spelling that the letters have.
+
+    Where several letters share a spelling the first by code point stands for it, so only
+    a text of such letters survives the way there and back.
+    """
+    spellings: dict[str, str] = {}
+    for letter, latin in sorted(letters().items()):
+        if latin and not latin.isdigit() and letter not in MARKS:
+            spellings.setdefault(latin, letter)
+    order = sorted(spellings, key=lambda k: (-len(k), k))
+    table = F.create_map(*(F.lit(x) for k in order for x in (k, spellings[k])))
+    pattern = "(?s)(" + "|".join(order) + "|.)"
+    return F.array_join(F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(1)), lambda g: F.coalesce(table[g], g)), "")
+
+
 # ---------------------------------------------------------------- token ids
 
 BOS, EOS, PAD = 2, 3, 0

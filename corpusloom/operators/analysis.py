@@ -124,6 +124,17 @@ def vendi_score(df: DataFrame, vector: str, dims: int) -> float:
     return float(np.exp(-(p * np.log(p)).sum()))
 
 
+def domain_shift_auc(df: DataFrame, vector: str, label: Column, seed: int = 42) -> float:
+    """Held-out area under the ROC curve of a logistic regression that tells two sets of vectors apart; 0.5 is no shift."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    ready = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"), label.cast("double").alias("label"))
+    train, test = ready.randomSplit([0.7, 0.3], seed)
+    return BinaryClassificationEvaluator().evaluate(LogisticRegression(regParam=0.01).fit(train).transform(test))
+
+
 # ---------------------------------------------------------------- translation metrics
 
 _PUNCT = r"([\x21-\x2B\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])"

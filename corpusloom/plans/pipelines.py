@@ -44,10 +44,13 @@ PROFILES = {
 }
 
 
-def select_sources(sources: dict[str, DataFrame], profile: Profile) -> list[DataFrame]:
-    """Each source above the floors of its tier; a column that a source lacks is no floor for it."""
+def select_sources(sources: dict[str, DataFrame], profile: Profile, strict: bool = False) -> list[DataFrame]:
+    """Each source above the floors of its tier; a column that a source lacks is no floor for it.
+
+    ``strict`` refuses a profile that excludes a source which is not there.
+    """
     unknown = set(profile.excluded) - set(sources)
-    if unknown - set(profile.excluded):
+    if strict and unknown:
         raise ValueError(f"unknown sources: {sorted(unknown)}")
     chosen = []
     for name in sorted(set(sources) - set(profile.excluded)):

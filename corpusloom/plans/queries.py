@@ -577,6 +577,55 @@ def pad_shift(t):
     return wide.select("doc_id", F.col("width").cast("long").alias("width"), F.md5(F.array_join(F.transform(padded, lambda x: x.cast("string")), " ")).alias("padded_md5"))
 
 
+# ---------------------------------------------------------------- batches, comparisons, sets
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) // 32 AS BIGINT) AS batch FROM documents")
+def length_sorted_batches(t):
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))
+    return t("documents").select("doc_id", F.floor((place - 1) / 32).alias("batch"))
+
+
+@query("SELECT o_orderpriority, max_by(o_orderstatus, m) AS best, round(max(m), 4) AS score FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS m FROM orders GROUP BY ALL) GROUP BY o_orderpriority")
+def best_of_grid(t):
+    grid = t("orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias("m"))
+    return grid.groupBy("o_orderpriority").agg(F.max_by("o_orderstatus", "m").alias("best"), F.round(F.max("m"), 4).alias("score"))
+
+
+@query("SELECT event_type, round(avg(value) - (SELECT avg(value) FROM events WHERE event_type = (SELECT min(event_type) FROM events)), 6) AS difference FROM events GROUP BY event_type")
+def baseline_difference(t):
+    means = t("events").groupBy("event_type").agg(F.avg("value").alias("m"))
+    base = means.agg(F.min_by("m", "event_type").alias("base"))
+    return means.join(F.broadcast(base)).select("event_type", F.round(F.col("m") - F.col("base"), 6).alias("difference"))
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def key_intersection(t):
+    keys = lambda s: t("orders").filter(F.col("o_orderstatus") == s).select("o_custkey")
+    return keys("F").intersect(keys("O"))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def key_difference(t):
+    return t("customer").select("c_custkey").exceptAll(t("orders").select("o_custkey").distinct())
+
+
+_MOSES_SQL = "text"
+for _p, _r in ((r"\s+", " "), (r"([^\p{L}\p{N}\s.''`,-])", r" \1 "), (r"([^\p{N}]),", r"\1 , "), (r",([^\p{N}])", r" , \1"), (r"([^\p{L}])''", r"\1 '' "), (r"(\p{L})''(\p{L})", r"\1 ''\2"), (r"\.\s*$", " ."), (r"\s+", " ")):
+    _MOSES_SQL = f"regexp_replace({_MOSES_SQL}, '{_p}', '{_r}', 'g')"
+
+
+@query(f"SELECT doc_id, trim({_MOSES_SQL}) AS tokens FROM documents")
+def moses_tokenise(t):
+    return t("documents").select("doc_id", X.moses_tokens(F.col("text")).alias("tokens"))
+
+
+@query()
+def domain_shift(t):
+    auc = A.domain_shift_auc(t("embeddings"), "embedding", F.col("label") < 5)
+    return SparkSession.getActiveSession().createDataFrame([(auc,)], "auc double")
+
+
 # ---------------------------------------------------------------- the flagship
 
 

@@ -37,6 +37,10 @@ def one(spark, f, *texts):
         (X.comparison_key, "A, b.", "ab"),
         (X.transliterate, "ሰላም", "səlam"),
         (X.transliterate, "፴፪", "32"),
+        (X.spell_ethiopic, "səlam", "ሠላም"),
+        (X.unescape_html, "&lt;a&gt; &amp;amp; &quot;", '<a> &amp; "'),
+        (X.moses_tokens, "He said, (don't) pay 3,500.", "He said , ( don 't ) pay 3,500 ."),
+        (X.moses_detokens, "He said , ( don 't ) pay 3,500 .", "He said, (don't) pay 3,500."),
     ],
 )
 def test_text(spark, function, text, expected):
