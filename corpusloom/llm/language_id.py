@@ -75,6 +75,13 @@ def has_letter(block: Block) -> np.ndarray:
     return out
 
 
+def slices(block: Block, rows: int = 512):
+    """A block in pieces of at most ``rows`` texts, so that many short texts don't make a tall feature matrix."""
+    for at in range(0, block.n, rows):
+        to = min(at + rows, block.n)
+        yield Block(block.rows.slice(at, to - at), block.data[block.offsets[at] : block.offsets[to]], block.offsets[at : to + 1] - block.offsets[at])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -132,8 +139,8 @@ def fit(docs: DataFrame, *, training, id_col: str = "doc_id", text_col: str = "t
 
     def vectors(batches):
         for block in blocks(batches, "text", 1 << 20):
-            x = features(block)
-            yield arrow_batch(schema, [block.rows.column(0), [v.astype(np.float16).tobytes() for v in x]])
+            for own in slices(block):
+                yield arrow_batch(schema, [own.rows.column(0), [v.astype(np.float16).tobytes() for v in features(own)]])
 
     rows = sorted((r.lang, bytes(r.vector)) for r in sample.mapInArrow(vectors, schema).collect())
     if not rows:
@@ -157,9 +164,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     def run(batches):
         model = shared.value
         for block in blocks(batches, "text", 1 << 21):
-            for at in range(0, block.n, 512):
-                to = min(at + 512, block.n)
-                own = Block(block.rows.slice(at, to - at), block.data[block.offsets[at] : block.offsets[to]], block.offsets[at : to + 1] - block.offsets[at])
+            for own in slices(block):
                 known = has_letter(own) if model else np.zeros(own.n, bool)
                 best, score, margin = model.predict(features(own)) if model else (np.zeros(own.n, int), np.zeros(own.n), np.zeros(own.n))
                 names = [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]

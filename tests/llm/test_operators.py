@@ -9,11 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat_format, decontamination, html_extract, language_id, lm_scoring, mixing, pii, quality_rules, simhash_dedup, substring_dedup
+from corpusloom.llm.arrow_text import blocks
 from corpusloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, size int, row string"
@@ -367,6 +369,14 @@ def test_code_matrix_is_apart():
         assert gap >= (1 if n == 2 else 2 if n <= 3 else 4)
 
 
+def test_features_by_slices_are_those_of_the_block():
+    texts = pa.array([None, "", "x", "Ünï cödé", "ab " * 50] * 7)
+    (block,) = blocks([pa.RecordBatch.from_arrays([texts], ["text"])], "text")
+    pieces = list(language_id.slices(block, 4))
+    assert [p.n for p in pieces] == [4] * 8 + [3] and pa.concat_arrays([p.rows.column(0) for p in pieces]).equals(texts)
+    assert np.array_equal(np.concatenate([language_id.features(p) for p in pieces]), language_id.features(block))
+
+
 def test_language_held_out(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
