@@ -321,9 +321,9 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
             in_head = known[which]
             base = np.bincount(rows[in_head], weights=head_base[at[which[in_head]]], minlength=block.n) if len(v.head) else np.zeros(block.n)
             score = np.bincount(rows, weights=class_score + np.where(in_head, word_score, 0.0), minlength=block.n)
-            ids, th = block.rows.column(0), block.rows.column(1)
-            # A text's own row finds nothing by the join; its hash only spreads such rows over the partitions.
-            yield arrow_batch(schema, [ids, th, th, np.bincount(rows, minlength=block.n), np.bincount(rows[in_head], minlength=block.n), base, score, np.ones(block.n, np.int64), np.zeros(block.n, bool)])
+            ids, th, spread = (block.rows.column(i) for i in range(3))
+            # A text's own row finds nothing by the join; ``spread`` only divides such rows, copies too, over the partitions.
+            yield arrow_batch(schema, [ids, th, spread, np.bincount(rows, minlength=block.n), np.bincount(rows[in_head], minlength=block.n), base, score, np.ones(block.n, np.int64), np.zeros(block.n, bool)])
             # The others: one row for each word of a text; their counts come by the join.  What the word's class
             # takes off is in ``score`` and only counts if the word turns out to be known.
             tail = np.flatnonzero(~in_head)
@@ -331,7 +331,8 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
             r, w = pair // len(distinct), pair % len(distinct)
             yield arrow_batch(schema, [ids.take(pa.array(r)), th.take(pa.array(r)), distinct[w].view(np.int64), times, np.zeros(len(r), np.int64), np.zeros(len(r)), times * (share[kinds[w]] - of_class[kinds[w]]), np.zeros(len(r), np.int64), np.ones(len(r), bool)])
 
-    parts = source.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
+    hashed = source.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    parts = hashed.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("spread"), "text").mapInArrow(run, schema)
     rare = counts.filter(F.col("n") < floor).select("hash", F.col("n").alias("count"))
     seen = F.col("tail")
     found = F.col("count").isNotNull()
