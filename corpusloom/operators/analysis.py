@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,66 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vect
     return out.select("query_id", "b.neighbour_id", F.round("b.similarity", 5).alias("similarity"))
 
 
+def char_grams(column: Column, orders: Sequence[int] = (3, 4, 5)) -> Column:
+    """Character n-grams of the lower-cased words, each with a space on either side; none reaches over two words."""
+
+    def cut(padded: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+        return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    words = F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*(cut(F.concat(F.lit(" "), w, F.lit(" ")), n) for n in orders)))))
+
+
+def nearest_texts(df: DataFrame, wanted: Column, key: str, text: str, orders: Sequence[int] = (3, 4, 5), min_df: int = 2, block: int = 256, rows_at_once: int = 64) -> DataFrame:
+    """For each row whose ``key`` is ``wanted`` the other row most alike: cosine of TF-IDF over character n-grams.
+
+    A gram in fewer than ``min_df`` rows doesn't count; ties go to the smaller key; a row that
+    shares no gram with another has no neighbour.  ``key`` is a unique integer.  The weighted
+    grams of all rows stay where they are: the wanted rows pass over them in blocks, each batch
+    keeps its best, and the best of those is one aggregate.
+    """
+    grams = df.select(key, F.explode(char_grams(F.col(text), orders)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    weight = F.col("tf") * (F.log(F.lit(1.0 + df.count()) / (F.col("df") + 1)) + 1)
+    rows = grams.join(spread, "gram").select(key, F.struct(F.xxhash64("gram").alias("g"), weight.alias("w")).alias("gw")).groupBy(key).agg(F.collect_list("gw").alias("gw"))
+    rows = rows.select(key, F.transform("gw", lambda x: x["g"]).alias("g"), F.transform("gw", lambda x: x["w"]).alias("w"))
+
+    def scan(part: Sequence) -> DataFrame:
+        ids = np.array([r[0] for r in part])
+        grams_of, weights = [np.array(r.g, np.int64) for r in part], [np.array(r.w) for r in part]
+        order = np.argsort(np.concatenate(grams_of), kind="stable")
+        columns = np.concatenate(grams_of), np.repeat(np.arange(len(part)), [len(g) for g in grams_of]), np.concatenate([w / np.linalg.norm(w) for w in weights])
+        shared = df.sparkSession.sparkContext.broadcast((ids, *(c[order] for c in columns)))
+
+        def best(batches):
+            q_ids, q_gram, q_row, q_weight = shared.value
+            for whole in batches:
+                for at in range(0, len(whole), rows_at_once):
+                    pdf = whole.iloc[at : at + rows_at_once]
+                    own, n = pdf[key].to_numpy(), len(pdf)
+                    row = np.repeat(np.arange(n), pdf["g"].map(len))
+                    gram, w = np.concatenate(pdf["g"].to_list()), np.concatenate([x / np.linalg.norm(x) for x in pdf["w"]])
+                    first = np.searchsorted(q_gram, gram, "left")
+                    times = np.searchsorted(q_gram, gram, "right") - first
+                    hit = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    s = np.bincount(q_row[hit] * n + np.repeat(row, times), weights=q_weight[hit] * np.repeat(w, times), minlength=len(q_ids) * n).reshape(len(q_ids), n)
+                    s = np.where(q_ids[:, None] == own[None, :], 0.0, np.round(s, 9))
+                    top = np.lexsort((own[None, :].repeat(len(q_ids), 0), -s), axis=1)[:, 0]
+                    found = pd.DataFrame({"query_id": q_ids, "neighbour_id": own[top], "similarity": s[np.arange(len(q_ids)), top]})
+                    yield found[found["similarity"] > 0]
+
+        found = rows.mapInPandas(best, "query_id long, neighbour_id long, similarity double")
+        return found.groupBy("query_id").agg(F.min_by(F.struct("neighbour_id", "similarity"), F.struct(-F.col("similarity"), "neighbour_id")).alias("b"))
+
+    out = None
+    for part in batched(rows.filter(wanted).toLocalIterator(), block):
+        out = scan(part) if out is None else out.unionByName(scan(part))
+    if out is None:
+        return df.sparkSession.createDataFrame([], "query_id long, neighbour_id long, similarity double")
+    return out.select("query_id", "b.neighbour_id", F.round("b.similarity", 5).alias("similarity"))
+
+
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
     """Adds ``cluster``."""
     from pyspark.ml.clustering import KMeans

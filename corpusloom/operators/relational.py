@@ -87,6 +87,16 @@ def cached_scores(df: DataFrame, cache: DataFrame, keys: Sequence[str], score: s
     return found.withColumn(score, value).drop("_key", "_score")
 
 
+def strict_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds ``value`` by content key; raises if any row has no entry."""
+    keyed = df.withColumn("_key", X.content_key(*(F.col(k) for k in keys)))
+    known = table.select(F.col("key").alias("_key"), F.col(value))
+    missing = keyed.join(known, "_key", "left_anti").select("_key").distinct().count()
+    if missing:
+        raise KeyError(f"{missing} keys have no {value}")
+    return keyed.join(known, "_key").drop("_key")
+
+
 def resume(todo: DataFrame, done: DataFrame, keys: Sequence[str], recorded: Column) -> DataFrame:
     """What is still to do: keys without a finished row."""
     return todo.join(done.filter(recorded).select(*keys).distinct(), list(keys), "left_anti")

@@ -30,6 +30,7 @@ class Profile:
     excluded: Sequence[str] = ()
     laser_floor: float | None = None
     trim_to: int | None = None
+    sample_to: int | None = None
     ratios: tuple[float, float] = (0.8, 0.1)
     seed: int = 42
     src_length: tuple[int, int] = (5, 500)
@@ -40,6 +41,7 @@ PROFILES = {
     "production": Profile(),
     "clean_recipe": Profile(mined=Floors(0.0, 0.80, 0.90, 0.90), excluded=("quran", "ccaligned", "religious"), laser_floor=1.08),
     "breadth": Profile(mined=Floors(), curated=Floors(), excluded=("gezmu", "religious", "quran", "ccaligned"), laser_floor=1.108, trim_to=145_363),
+    "fixed_size": Profile(sample_to=117_049),
     "single_source": Profile(curated=Floors(0.0, 0.15, 0.90, 0.90)),
 }
 
@@ -100,4 +102,6 @@ def build(sources: dict[str, DataFrame], bench: DataFrame | None, profile: Profi
         pooled = decontaminate(pooled, bench)
     if profile.trim_to is not None and "laser_score" in pooled.columns:
         pooled = trim(pooled, "laser_score", profile.trim_to)
+    if profile.sample_to is not None:
+        pooled = pooled.orderBy(F.sha1(F.concat_ws("\0", F.lit(str(profile.seed)), "src")), "src", "tgt").limit(profile.sample_to)
     return R.split_groups(pooled, "src", ["bucket"], profile.seed, lambda n: R.plain_cut(n, profile.ratios), "row")

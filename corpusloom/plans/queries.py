@@ -447,6 +447,18 @@ def nearest_neighbour(t):
     return A.nearest_neighbours(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
+@query(rf"""{_PAIRS}, t AS (SELECT conv_id * 1000 + turn AS seg, lower(src) AS s FROM pairs), w AS (SELECT seg, ' ' || unnest(string_split_regex(s, '\s+')) || ' ' AS w FROM t),
+  g AS (SELECT seg, unnest(list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substr(w, i, n))) AS gram FROM w, (VALUES (3), (4), (5)) AS o(n) WHERE length(w) > 2),
+  f AS (SELECT seg, gram, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT gram, count(*) AS df FROM f GROUP BY gram HAVING count(*) >= 2),
+  x AS (SELECT seg, gram, tf * (ln((1 + (SELECT count(*) FROM t))::DOUBLE / (df + 1)) + 1) AS w FROM f JOIN d USING (gram)), m AS (SELECT seg, sqrt(sum(w * w)) AS norm FROM x GROUP BY seg),
+  p AS (SELECT q.seg AS query_id, o.seg AS neighbour_id, round(sum(q.w / a.norm * (o.w / b.norm)), 9) AS s FROM x q JOIN x o USING (gram) JOIN m a ON a.seg = q.seg JOIN m b ON b.seg = o.seg
+    WHERE q.seg <> o.seg AND (q.seg // 1000) % 100 = 0 GROUP BY 1, 2)
+  SELECT query_id, neighbour_id, round(s, 5) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbour_id) = 1""")
+def nearest_text(t):
+    turns = turn_pairs(t("conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("seg"), "src")
+    return A.nearest_texts(turns, F.floor(F.col("seg") / 1000) % 100 == 0, "seg", "src")
+
+
 @query()
 def vendi_diversity(t):
     spark, e = SparkSession.getActiveSession(), t("embeddings")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tarfile
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,26 @@ def read_translation_jsonl(spark: SparkSession, path: str, left: str, right: str
     return parsed.select(F.col(f"j.translation.{left}").alias("src"), F.col(f"j.translation.{right}").alias("tgt"))
 
 
+def read_archive(spark: SparkSession, path: str, members: Sequence[str]) -> DataFrame:
+    """(member, ordinal, text): the lines of those files in tar archives whose path ends as one of ``members``; raises if one is missing."""
+
+    def lines(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for entry in archive:
+                        name = next((m for m in members if f"/{entry.name}".endswith(f"/{m}")), None)
+                        if name and entry.isfile():
+                            text = archive.extractfile(entry).read().decode().removesuffix("\n").split("\n")
+                            yield pd.DataFrame({"member": name, "ordinal": range(len(text)), "text": text})
+
+    out = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "member string, ordinal long, text string")
+    missing = set(members) - {r.member for r in out.select("member").distinct().collect()}
+    if missing:
+        raise ValueError(f"{path} has no {sorted(missing)}")
+    return out
+
+
 def read_verses(spark: SparkSession, path: str, row_tag: str = "seg") -> DataFrame:
     """Keyed verses of an XML file: id attribute and text, white space as one space."""
     rows = spark.read.format("xml").option("rowTag", row_tag).schema("_id string, _VALUE string").load(path)

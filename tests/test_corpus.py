@@ -1,6 +1,8 @@
 """Golden rows and invariants of the corpus operators."""
 
 import difflib
+import io
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,40 @@ def test_chunked_reader_and_aligned(spark, tmp_path):
     assert [(r.verse, r.text) for r in readers.read_verses(spark, str(tmp_path / "v.xml")).collect()] == [("v1", "a b")]
 
 
+def test_archive_members(spark, tmp_path):
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as archive:
+        for name, text in (("top/dev/am.dev", "ሀ\nለ\n"), ("top/dev/en.dev", "h\nl\n"), ("top/dev/fr.dev", "x\n")):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(text.encode())
+            archive.addfile(entry, io.BytesIO(text.encode()))
+    got = readers.read_archive(spark, str(tmp_path / "b.tar.gz"), ["dev/am.dev", "dev/en.dev"])
+    assert sorted(map(tuple, got.collect())) == [("dev/am.dev", 0, "ሀ"), ("dev/am.dev", 1, "ለ"), ("dev/en.dev", 0, "h"), ("dev/en.dev", 1, "l")]
+    with pytest.raises(ValueError):
+        readers.read_archive(spark, str(tmp_path / "b.tar.gz"), ["test/am.test"])
+
+
+def test_strict_lookup(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "text string")
+    table = df.select(X.content_key(F.col("text")).alias("key"), F.lit(1.0).alias("v"))
+    assert R.strict_lookup(df, table, ["text"], "v").count() == 2
+    with pytest.raises(KeyError):
+        R.strict_lookup(df, table.limit(1), ["text"], "v")
+
+
+def test_nearest_texts(spark):
+    df = spark.createDataFrame([(1, "The cat sat"), (2, "a cat sat down"), (3, "zzz"), (4, "the cat sat"), (5, None)], "k long, t string")
+    got = {r.query_id: (r.neighbour_id, r.similarity) for r in A.nearest_texts(df, F.col("k") > 0, "k", "t").collect()}
+    assert got[1] == (4, 1.0) and got[4] == (1, 1.0) and got[2][0] == 1 and set(got) == {1, 2, 4}
+    assert A.nearest_texts(df.limit(0), F.col("k") > 0, "k", "t").count() == 0
+    assert one(spark, lambda c: F.array_join(A.char_grams(c), "|"), "Ab c", "") == [" ab|ab | ab | c ", ""]
+
+
+def test_fixed_size_profile(spark):
+    rows = [(i, f"ሰላም {i}", f"sentence {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "ordinal long, src string, tgt string")
+    assert build({"a": df}, None, Profile(sample_to=12)).count() == 12
+
+
 def test_build_drops_benchmark_rows(spark):
     rows = [(i, f"ሰላም ልጅ ቁጥር {i} ነው", f"this is sentence number {i} of many sentences", 0.9, 0.9) for i in range(40)]
     df = spark.createDataFrame(rows, "ordinal long, src string, tgt string, labse_score double, africomet_score double")
