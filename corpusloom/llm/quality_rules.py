@@ -3,6 +3,11 @@
 Two multinomials over hashed byte n-grams are estimated: the raw corpus from every
 document, the trusted target from a bounded sample of labelled good documents.  A
 document's verdict is its mean log ratio against a fixed threshold.
+
+A few bad words vanish in a mean.  With ``reject_toxic`` a document also goes for its
+single worst word: how much likelier the word is in documents labelled toxic than in
+trusted ones, at the lower end of its confidence interval, against a cut taken from
+the trusted documents' own worst words under a model of the other half of the labels.
 """
 
 from __future__ import annotations
@@ -13,11 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import Block, SpanHash, blocks, mix64, word_spans
-from .shared import arrow_batch, whole_row
+from .shared import arrow_batch, checkpointed, whole_row
+from .simhash_dedup import lower_ascii
 
 ORDER, BUCKETS = 3, 1 << 16
 SYMBOLS = b"#*$%&|<>"
 THRESHOLD, PRIOR, TRUSTED_ROWS = -0.3, 8.0, 50_000
+#: Bytes of text a block, for memory.
+SMALL = 1 << 20
+#: Toxic documents a word must be in, the share of held-out trusted documents under the cut, and the least cut.
+TOXIC_SUPPORT, TRUSTED_SHARE, LEAST_CUT = 3, 0.999, 1.0
 BASE = {k: T.LongType() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
 
 
@@ -109,7 +119,7 @@ def fit_ratio(docs: DataFrame, trusted: list, *, id_col: str = "doc_id", text_co
     def count(batches):
         raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         sample = own.value
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", SMALL):
             ids, rows = ngram_ids(block, order, buckets)
             raw += np.bincount(ids, minlength=buckets)
             if len(sample):
@@ -129,6 +139,85 @@ def fit_ratio(docs: DataFrame, trusted: list, *, id_col: str = "doc_id", text_co
     return np.log((good * scale + prior) / (raw + prior))
 
 
+def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word: a run of letters, digits and characters beyond ASCII, in lower case."""
+    data = lower_ascii(block.data)
+    inside = (data >= 128) | ((data - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
+    words = Block(block.rows, np.where(inside, data, np.uint8(32)), block.offsets)
+    starts, ends, rows = word_spans(words)
+    if not len(starts):
+        return np.zeros(0, np.int64), rows
+    return SpanHash(words.data)(starts, ends).view(np.int64), rows
+
+
+def worst_words(words: np.ndarray, rows: np.ndarray, n: int, known: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Per row the largest evidence of its words, 0 without a known one; ``known`` is sorted."""
+    out = np.zeros(n)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        hit = known[at] == words
+        np.maximum.at(out, rows[hit], evidence[at[hit]])
+    return out
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED_ROWS, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """(word hashes, their evidence, cut), from at most ``limit`` trusted and ``limit`` toxic documents, the first by hash of the id.
+
+    Evidence is the log ratio of a word's document shares, toxic to trusted, less 1.64
+    standard errors.  The cut is the ``TRUSTED_SHARE`` quantile of the trusted documents'
+    worst words, each by the evidence of the half of the labels it is not in.
+    """
+    told = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("toxic"), F.min("quality").alias("_quality"))
+    first = lambda kind: told.filter(kind).orderBy(F.xxhash64("_id"), "_id").limit(limit).select("_id", "toxic", (F.xxhash64("_id", F.lit(1)) % 2 == 0).alias("even"))
+    sample = first(F.col("toxic")).unionByName(first(~F.col("toxic") & (F.col("_quality") == 1)))
+    schema = T.StructType([T.StructField("toxic", T.BooleanType()), T.StructField("even", T.BooleanType()), T.StructField("words", T.ArrayType(T.LongType()))])
+
+    def read(batches):
+        for block in blocks(batches, "text", SMALL):
+            words, rows = word_hashes(block)
+            cut = np.searchsorted(rows, np.arange(block.n + 1))
+            yield arrow_batch(schema, [block.rows.column(0), block.rows.column(1), [np.unique(words[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]])
+
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id")
+    own = checkpointed(chosen.select("toxic", "even", "text").mapInArrow(read, schema))
+    size = {(r.toxic, r.even): r["count"] for r in own.groupBy("toxic", "even").count().collect()}
+    of = lambda toxic, *halves: sum(size.get((toxic, h), 0) for h in halves)
+    if not of(True, True, False) or not of(False, True, False):
+        return np.zeros(0, np.int64), np.zeros(0), np.inf
+    has = lambda toxic, even: F.sum(((F.col("toxic") == toxic) & (F.col("even") == even)).cast("long"))
+    counts = own.select("toxic", "even", F.explode("words").alias("word")).groupBy("word").agg(has(True, True).alias("te"), has(True, False).alias("to"), has(False, True).alias("ge"), has(False, False).alias("go"))
+
+    def evidence(t, g, n_toxic, n_good):
+        t, g = t + F.lit(0.5), g + F.lit(0.5)
+        return F.log(t / (n_toxic + 1.0)) - F.log(g / (n_good + 1.0)) - 1.64 * F.sqrt(1 / t + 1 / g)
+
+    c = F.col
+    known = counts.filter(c("te") + c("to") >= TOXIC_SUPPORT).select(
+        "word",
+        evidence(c("te") + c("to"), c("ge") + c("go"), of(True, True, False), of(False, True, False)).alias("all"),
+        evidence(c("te"), c("ge"), of(True, True), of(False, True)).alias("even"),
+        evidence(c("to"), c("go"), of(True, False), of(False, False)).alias("odd"),
+    )
+    table = known.filter(F.greatest("all", "even", "odd") > 0).orderBy("word").toPandas()
+    held = docs.sparkSession.sparkContext.broadcast(tuple(table[k].to_numpy() for k in ("word", "even", "odd")))
+    stat = T.StructType([T.StructField("worst", T.DoubleType())])
+
+    def judge(batches):
+        word, even, odd = held.value
+        for batch in batches:
+            lists = batch.column(1)
+            rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            words = lists.flatten().to_numpy(zero_copy_only=False)
+            is_even = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            by = [worst_words(words, rows, batch.num_rows, word, e) for e in (odd, even)]
+            yield arrow_batch(stat, [np.where(is_even, by[0], by[1])])
+
+    worst = own.filter("not toxic").select("even", "words").mapInArrow(judge, stat).toPandas()["worst"].to_numpy()
+    cut = max(LEAST_CUT, float(np.quantile(worst, TRUSTED_SHARE, method="higher")))
+    use = table["all"].to_numpy() > 0
+    return table["word"].to_numpy()[use], table["all"].to_numpy()[use], cut
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -136,6 +225,7 @@ def score_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: bool = False,
+    reject_toxic: bool = False,
     threshold: float = THRESHOLD,
     trusted_rows: int = TRUSTED_ROWS,
     min_words: int = 20,
@@ -148,9 +238,13 @@ def score_quality(
     ``ratio`` is the mean log ratio of a text's n-grams, 0 for a text without any.
     A null text is empty: no words, base_failed, not kept.  Without any trusted label
     all ratios are 0 and only the base rules decide.  Repeated rows are judged alike,
-    each on its own.  Rows are never moved: both passes are maps over the input.
+    each on its own.  Rows are never moved: all passes are maps over the input.
+
+    With ``reject_toxic`` (the query and the pipeline) a document whose worst word is over
+    the cut of :func:`fit_toxic` is not kept; without toxic or trusted labels none goes.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, trusted_ids(labels, trusted_rows), id_col=id_col, text_col=text_col))
+    toxic = docs.sparkSession.sparkContext.broadcast(fit_toxic(docs, labels, trusted_rows, id_col=id_col, text_col=text_col) if reject_toxic else None)
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType)]
         + [T.StructField(k, v) for k, v in BASE.items()]
@@ -161,12 +255,16 @@ def score_quality(
 
     def run(batches):
         table = ratio.value
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, "_text", SMALL):
             base = base_statistics(block)
             ids, rows = ngram_ids(block)
             mean = np.bincount(rows, weights=table[ids], minlength=block.n) / np.maximum(1, np.bincount(rows, minlength=block.n))
             mean = np.round(mean, 9)
             failed = (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat_percent * base["n_words"])
-            yield arrow_batch(schema, [block.rows.column(0), *(base[k] for k in BASE), failed, mean, ~failed & (mean >= threshold), *block.rows.columns[2:]])
+            kept = ~failed & (mean >= threshold)
+            if toxic.value is not None:
+                known, evidence, cut = toxic.value
+                kept &= worst_words(*word_hashes(block), block.n, known, evidence) <= cut
+            yield arrow_batch(schema, [block.rows.column(0), *(base[k] for k in BASE), failed, mean, kept, *block.rows.columns[2:]])
 
     return taken.mapInArrow(run, schema)

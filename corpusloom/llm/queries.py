@@ -42,7 +42,7 @@ def op3_find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), reject_toxic=True)
 
 
 def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
