@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 4 << 20
 
@@ -76,6 +77,22 @@ def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, block.row_of(starts)
 
 
+def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each byte span, the distinct spans); equal codes are equal bytes, no hash decides."""
+    widths = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(widths)))
+    own = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], widths)]
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)])
+    encoded = spans.dictionary_encode()
+    return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+
+
+def xxh64(values, seed: int = 0) -> np.ndarray:
+    """XXH64 of each of some byte strings."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(v, seed) for v in (values.to_pylist() if isinstance(values, pa.Array) else values)], np.uint64)
+
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,9 +125,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of one block, each in constant time.
+    """64-bit hashes of any byte spans of one block, each in constant time, to choose places and features by.
 
-    A polynomial over ``Z/2**64`` with an odd base; prefix sums give a span's
+    Different spans can be made to collide, so equal hashes are never taken for equal
+    bytes.  A polynomial over ``Z/2**64`` with an odd base; prefix sums give a span's
     value up to a power of the base, which the inverse powers take out.  The
     span's length is mixed in.
     """

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import Block, SpanHash, blocks, mix64, word_spans
+from .arrow_text import Block, blocks, encode_spans, mix64, word_spans, xxh64
 from .shared import arrow_batch, checkpointed, whole_row
 from .simhash_dedup import lower_ascii
 
@@ -53,17 +53,20 @@ def _covered(first: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 def repeated_words(words: np.ndarray, rows: np.ndarray, window: int, n_rows: int) -> np.ndarray:
-    """Per row the words inside ``window``-word windows that the row has twice or more, all of them counted."""
+    """Per row the words inside ``window``-word windows that the row has twice or more, all of them counted; ``words`` are codes."""
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(n_rows, np.int64)
     same = rows[:n] == rows[window - 1 :]
-    key = mix64(rows[:n].astype(np.uint64) + np.uint64(1))
+    key, coded = mix64(rows[:n].astype(np.uint64) + np.uint64(1)), words.astype(np.uint64)
     for j in range(window):
-        key = mix64(key ^ words[j : j + n]) + np.uint64(j)
+        key = mix64(key ^ coded[j : j + n]) + np.uint64(j)
     at = np.flatnonzero(same)
     order = at[np.argsort(key[at], kind="stable")]
-    equal = key[order[1:]] == key[order[:-1]]
+    equal = (key[order[1:]] == key[order[:-1]]) & (rows[order[1:]] == rows[order[:-1]])
+    close = np.flatnonzero(equal)
+    for j in range(window):  # equal hashes only propose; the words decide
+        equal[close] &= words[order[close + 1] + j] == words[order[close] + j]
     twice = np.zeros(len(order), bool)
     twice[1:] |= equal
     twice[:-1] |= equal
@@ -76,7 +79,6 @@ def base_statistics(block: Block) -> dict[str, np.ndarray]:
     starts, ends, rows = word_spans(block)
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     symbols = np.concatenate(([0], np.cumsum(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)))))
-    spans = SpanHash(data)
     n_words = np.bincount(rows, minlength=n)
     word_chars = np.bincount(rows, weights=chars[ends] - chars[starts], minlength=n).astype(np.int64)
     # Lines: cut at \n and at the ends of texts; only lines with a word count.
@@ -90,14 +92,14 @@ def base_statistics(block: Block) -> dict[str, np.ndarray]:
     line_ends[last] = block.offsets[line_rows[last] + 1]
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, line_rows = line_starts[worded], line_ends[worded], line_rows[worded]
-    key = mix64(spans(line_starts, line_ends) ^ mix64(line_rows.astype(np.uint64) + np.uint64(1)))
-    distinct = np.bincount(line_rows[np.unique(key, return_index=True)[1]], minlength=n)
+    lines = encode_spans(data, line_starts, line_ends)[0]
+    distinct = np.bincount(np.unique(lines * n + line_rows) % n, minlength=n)
     return {
         "n_words": n_words,
         "word_chars": word_chars,
         "n_symbols": symbols[block.offsets[1:]] - symbols[block.offsets[:-1]],
         "n_dup_lines": np.bincount(line_rows, minlength=n) - distinct,
-        "n_repeat_words": repeated_words(spans(starts, ends), rows, 8, n),
+        "n_repeat_words": repeated_words(encode_spans(data, starts, ends)[0], rows, 8, n),
     }
 
 
@@ -140,14 +142,15 @@ def fit_ratio(docs: DataFrame, trusted: list, *, id_col: str = "doc_id", text_co
 
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word: a run of letters, digits and characters beyond ASCII, in lower case."""
+    """XXH64 and row of every word: a run of letters, digits and characters beyond ASCII, in lower case."""
     data = lower_ascii(block.data)
     inside = (data >= 128) | ((data - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
     words = Block(block.rows, np.where(inside, data, np.uint8(32)), block.offsets)
     starts, ends, rows = word_spans(words)
     if not len(starts):
         return np.zeros(0, np.int64), rows
-    return SpanHash(words.data)(starts, ends).view(np.int64), rows
+    codes, distinct = encode_spans(words.data, starts, ends)
+    return xxh64(distinct).view(np.int64)[codes], rows
 
 
 def worst_words(words: np.ndarray, rows: np.ndarray, n: int, known: np.ndarray, evidence: np.ndarray) -> np.ndarray:
@@ -238,7 +241,10 @@ def score_quality(
     ``ratio`` is the mean log ratio of a text's n-grams, 0 for a text without any.
     A null text is empty: no words, base_failed, not kept.  Without any trusted label
     all ratios are 0 and only the base rules decide.  Repeated rows are judged alike,
-    each on its own.  Rows are never moved: all passes are maps over the input.
+    each on its own; a ratio at the threshold is kept.  Null ids stay and are never
+    trusted; labels with null values count as not good and not toxic.  A text longer than a
+    block of 1 MB is a block of its own, read whole.  An empty table gives an empty result.
+    Rows are never moved: all passes are maps over the input.
 
     With ``reject_toxic`` (the query and the pipeline) a document whose worst word is over
     the cut of :func:`fit_toxic` is not kept; without toxic or trusted labels none goes.
