@@ -6,8 +6,10 @@ attachment stands where and how many tokens it expands to.
 
 The template
     <s>[TURN:role]body[/TURN]...[TURN:role]body[/TURN]</s>
-uses ``<`` and ``[`` for control strings only: inside roles, bodies and references a
+uses ``<`` and ``[`` for control strings only: inside roles and bodies a
 backslash goes before every ``<``, ``[`` and backslash, which :func:`unescape` takes out.
+A ``]`` ends the role, so one inside a role is escaped too.  References stand in the table
+of attachments, not in the string.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ SPAN = "struct<start:long,stop:long>"
 FORMATTED = f"formatted string, loss_spans array<{SPAN}>, attachments array<{ATTACHMENT}>, expanded_tokens long, n_turns long"
 
 BOS, EOS, TURN, BODY, END = "<s>", "</s>", "[TURN:", "]", "[/TURN]"
-_SPECIAL = re.compile(r"[\\<\[]")
+_SPECIAL, _ROLE_SPECIAL = re.compile(r"[\\<\[]"), re.compile(r"[\\<\[\]]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TOKEN = re.compile(r"\\.|<s>|</s>|\[TURN:|\[/TURN\]|<(?:image|audio|document):\d+>|\]", re.S)
 
 
-def escape(text: str) -> str:
-    return _SPECIAL.sub(lambda m: "\\" + m.group(), text)
+def escape(text: str, special: re.Pattern = _SPECIAL) -> str:
+    return special.sub(lambda m: "\\" + m.group(), text)
 
 
 def unescape(text: str) -> str:
@@ -82,7 +84,7 @@ def format_turns(turns: Iterator[tuple[str, list[dict]]], loss_roles=("assistant
     visitor, spans = PartVisitor(**tokens), []
     visitor.write(BOS)
     for visitor.turn, (role, parts) in enumerate(turns):
-        visitor.write(TURN + escape(role) + BODY)
+        visitor.write(TURN + escape(role, _ROLE_SPECIAL) + BODY)
         start = visitor.length
         for part in parts:
             visitor.visit(part)
@@ -143,7 +145,8 @@ def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
     ``parts`` is a column of an array of ``PART``; by default the column ``text`` as one text part.
     Rows stand in order of ``turn``, ties and repeated rows by role and content, a null turn
     first.  A null role or text is empty; null conversation ids form one conversation.  Other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result; a very long text is written
+    whole.
 
     The rows of a partition are sorted and streamed, so a task holds one conversation's
     output at a time, however many rows the conversation has.

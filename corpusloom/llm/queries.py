@@ -62,7 +62,8 @@ def op8_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 5
+    """The fold of an id; that of a null id is that of an empty string."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5
 
 
 def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_format_chat, op3_find_contamination, op4_quality_rules, op5_extract_html, op6_remove_repeats, op7_near_duplicates, op8_sanitise_pii, op9_identify_language, op10_score_lm)
 }
 
-def _escaped(column: str) -> str:
+def _escaped(column: str, *more: str) -> str:
     """Length of an escaped string: one more for each special character."""
-    return f"(length({column}) + " + " + ".join(f"(length({column}) - length(replace({column}, {c}, '')))" for c in ("'<'", "'['", "chr(92)")) + ")"
+    return f"(length({column}) + " + " + ".join(f"(length({column}) - length(replace({column}, {c}, '')))" for c in ("'<'", "'['", "chr(92)", *more)) + ")"
 
 
 ORACLE_SQL = {
@@ -94,6 +95,6 @@ ORACLE_SQL = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-               CAST(7 + sum(14 + {_escaped("role")} + {_escaped("text")}) AS BIGINT) AS formatted_chars
+               CAST(7 + sum(14 + {_escaped("role", "']'")} + {_escaped("text")}) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id""",
 }
