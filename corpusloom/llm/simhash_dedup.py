@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .arrow_text import Block, blocks, is_space, word_spans
 from .components import components
-from .shared import arrow_batch, checkpointed
+from .shared import arrow_batch, checkpointed, join_largest
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 
@@ -214,26 +214,26 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, codes: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, codes: int = 1) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     ``component_id`` is the smallest doc_id that links lead to, itself included; a link
     joins fingerprints with at most ``distance`` (3 or less) differing bits.  Null, empty
     and blank texts have fingerprint zero and link like any other.  Rows with a null id
     get a fingerprint, and the least non-null id of their component (null if there is
-    none).  Repeated rows stay.  An empty table gives an empty result.
+    none).  Repeated rows stay.  A very long text is read whole, in a block of its own.  An
+    empty table gives an empty result.
 
-    Copies collapse to one fingerprint before any key is made.  ``codes`` picks the key
-    length; by default two codewords from 2**27 distinct fingerprints on.  Either is exact.
+    Copies collapse to one fingerprint before any key is made.  ``codes`` (1 or 2 codewords
+    in a key) picks the key length; either is exact, and 2 suits more than some 2**27
+    distinct fingerprints.
     """
     if not 0 <= distance <= 3:
         raise ValueError("the keys are complete up to 3 bits")
     marked = checkpointed(document_fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    if codes is None:
-        codes = 2 if distinct.count() >= 1 << 27 else 1
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = components(fingerprint_links(distinct, codes, distance))
     classes = distinct.join(linked.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = checkpointed(classes.select("fp", "component", "n").join(least, "component").select("fp", "component_id", "n"))
+    return join_largest(marked, named, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
