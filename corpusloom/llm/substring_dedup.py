@@ -8,13 +8,14 @@ bytes alone.  Equal windows therefore have equal anchors at equal offsets.  The
 that share an anchor form one run, described by the anchor's hash and by the hash of
 the whole stretch that the run's windows cover.
 
-Stage 1 holds runs against each other in a :class:`SuffixFamily` keyed by anchor: an
-equal stretch elsewhere settles the whole run.  Stage 2 takes what shares an anchor but
-not the stretch (the edges of repeats), fetches those few bytes, and holds every window
-of theirs against each other in a family over true byte suffixes.  Both families take
-batches as they come: a new batch gets its suffix array, is merge-scanned against the
-existing levels, and levels of like size are merged, so there are only logarithmically
-many.
+Stage 1 finds which stretches can matter at all: a family sorted by name (the anchor, then
+a 128-bit BLAKE2b digest of the stretch) collapses equal stretches to one and drops those
+whose anchor stands nowhere else.  Stage 2 takes what shares an anchor but not the
+stretch (the edges of repeats), fetches those few bytes, and holds every suffix that
+starts in them against each other in their true byte order: only a common prefix of
+``length`` bytes is a match.  Both families take batches as they come: a new batch gets its
+suffix array, is merge-scanned against the existing levels, and levels of like size are
+merged, so there are only logarithmically many.
 """
 
 from __future__ import annotations
@@ -33,91 +34,96 @@ from .shared import arrow_batch, checkpointed
 LENGTH, SEED = 200, 64
 POSITION_BITS = 23
 SEGMENT = 1 << POSITION_BITS
+BATCH_ROWS = 1 << 17
 
 
-class SuffixFamily:
-    """Sorted runs of (key, rank) suffix entries whose sizes grow geometrically.
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of each pair of two arrays of byte strings of one width."""
+    width = a.dtype.itemsize
+    if not len(a):
+        return np.zeros(0, np.int64)
+    differ = np.ascontiguousarray(a).view(np.uint8).reshape(-1, width) != np.ascontiguousarray(b).view(np.uint8).reshape(-1, width)
+    first = differ.argmax(1)
+    return np.where(differ[np.arange(len(a)), first], first, width)
+
 
-    An entry's ``key`` orders the index (an anchor, or the first bytes of a suffix) and
-    ``rank`` tells apart what follows; entries with equal key and rank are one match.
-    Only one entry of a match is held: later ones are reported at once, which bounds the
-    family by the number of distinct strings, however often one repeats.
+class SuffixFamily:
+    """A logarithmic family of suffix arrays, over suffixes cut at the length of a match.
+
+    Each level is a suffix array: its entries stand in the order of their bytes, and one entry
+    is held for all suffixes that agree in the whole width (``S`` dtype, compared bytewise).
+    A new batch gets its suffix array, its neighbours' common prefixes tell which suffixes
+    match inside the batch, and a merge-scan against every level tells which match an earlier
+    one: only the neighbour at its place in the level can have a common prefix of the whole
+    width.  Levels of like size are merged, in one pass over both, so there are only
+    logarithmically many.  An entry carries its ``payload`` row along, so nothing outside the
+    levels has to be moved when they merge.
     """
 
     def __init__(self):
         self.levels: list[dict[str, np.ndarray]] = []
 
-    def add(self, key: np.ndarray, rank: np.ndarray, ref: np.ndarray, settled: np.ndarray | None = None) -> np.ndarray:
-        """Takes a batch; returns for each entry whether it matches an entry of this or an earlier batch.
+    def add(self, suffix: np.ndarray, payload: np.ndarray, settled: np.ndarray | None = None) -> np.ndarray:
+        """Takes a batch; returns for each suffix whether it matches one of this or an earlier batch.
 
-        ``settled`` marks entries known to match elsewhere, which others may still match.
+        ``settled`` marks suffixes known to match elsewhere, which others may still match.
         """
-        order = np.lexsort((rank, key))  # the new batch's suffix array
-        k, r = key[order], rank[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+        width = suffix.dtype.itemsize
+        order = np.argsort(suffix, kind="stable")
+        ranked = suffix[order]
+        fresh = np.ones(len(ranked), bool)
+        fresh[1:] = common_prefix(ranked[1:], ranked[:-1]) < width
         group = np.cumsum(fresh) - 1
         twice = np.bincount(group) > 1
         if settled is not None:
             twice |= np.bincount(group, weights=settled[order]) > 0
         first = np.flatnonzero(fresh)
-        new = {"key": k[first], "rank": r[first], "ref": ref[order[first]], "matched": twice.copy(), "reported": twice.copy()}
+        new = {"suffix": ranked[first], "payload": payload[order[first]], "matched": twice.copy()}
         known = np.zeros(len(first), bool)
-        for level in self.levels:  # merge-scan: both sides are sorted
-            at = _find(level["key"], level["rank"], new["key"], new["rank"])
-            hit = at >= 0
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level["suffix"], new["suffix"]), len(level["suffix"]) - 1)
+            hit = common_prefix(level["suffix"][at], new["suffix"]) >= width
             level["matched"][at[hit]] = True
             known |= hit
-        new["matched"] |= known
-        result = np.empty(len(key), bool)
-        result[order] = new["matched"][group]
-        new["reported"] |= known  # the batch's own rows are reported now
-        keep = ~known
-        self._push({n: v[keep] for n, v in new.items()})
+        result = np.empty(len(suffix), bool)
+        result[order] = (twice | known)[group]
+        new["reported"] = twice
+        self._push({n: v[~known] for n, v in new.items()})
         return result
 
+    @staticmethod
+    def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Two levels as one: each entry goes to its own place plus the number of the other level's before it."""
+        place = np.searchsorted(a["suffix"], b["suffix"]) + np.arange(len(b["suffix"]))
+        own = np.ones(len(a["suffix"]) + len(b["suffix"]), bool)
+        own[place] = False
+        out = {}
+        for n in a:
+            out[n] = np.empty((len(own), *a[n].shape[1:]), a[n].dtype)
+            out[n][own], out[n][place] = a[n], b[n]
+        return out
+
     def _push(self, level: dict[str, np.ndarray]) -> None:
-        if not len(level["key"]):
+        if not len(level["suffix"]):
             return
         self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-2]["key"]) <= 2 * len(self.levels[-1]["key"]):
-            b, a = self.levels.pop(), self.levels.pop()
-            merged = {n: np.concatenate((a[n], b[n])) for n in a}
-            order = np.lexsort((merged["rank"], merged["key"]))
-            self.levels.append({n: v[order] for n, v in merged.items()})
-
-    def entries(self) -> dict[str, np.ndarray]:
-        """All held entries in one sorted run."""
+        while len(self.levels) > 1 and len(self.levels[-2]["suffix"]) <= 2 * len(self.levels[-1]["suffix"]):
+            b = self.levels.pop()
+            self.levels.append(self._merged(self.levels.pop(), b))
+
+    def entries(self) -> dict[str, np.ndarray] | None:
+        """All held entries as one suffix array; None if there are none."""
         while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append({n: np.concatenate((a[n], b[n])) for n in a})
-        if not self.levels:
-            return {"key": np.zeros(0, np.uint64), "rank": np.zeros(0, np.uint64), "ref": np.zeros(0, np.int64), "matched": np.zeros(0, bool), "reported": np.zeros(0, bool)}
-        level = self.levels[0]
-        order = np.lexsort((level["rank"], level["key"]))
-        return {n: v[order] for n, v in level.items()}
-
-
-def _find(key: np.ndarray, rank: np.ndarray, want_key: np.ndarray, want_rank: np.ndarray) -> np.ndarray:
-    """Place of each wanted (key, rank) in a sorted level, -1 where it has none."""
-    low = np.searchsorted(key, want_key, side="left")
-    end = np.searchsorted(key, want_key, side="right")
-    out, high = np.full(len(want_key), -1, np.int64), end.copy()
-    open_ = np.flatnonzero(low < high)
-    while len(open_):  # one halving of all open ranges at a time
-        middle = (low[open_] + high[open_]) >> 1
-        below = rank[middle] < want_rank[open_]
-        low[open_] = np.where(below, middle + 1, low[open_])
-        high[open_] = np.where(below, high[open_], middle)
-        open_ = open_[low[open_] < high[open_]]
-    inside = np.flatnonzero(low < end)
-    hit = inside[rank[low[inside]] == want_rank[inside]]
-    out[hit] = low[hit]
-    return out
+            b = self.levels.pop()
+            self.levels.append(self._merged(self.levels.pop(), b))
+        return self.levels[0] if self.levels else None
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Runs of window starts with one anchor: (first start, last start, anchor place, anchor hash, stretch hash).
+    """Runs of window starts with one anchor: (first start, last start, anchor place, name).
+
+    The name has 24 bytes: the anchor's hash, then a 128-bit BLAKE2b digest of the whole stretch
+    and of the anchor's place in it.
 
     Long data is taken in segments of windows; a run that a segment's end cuts in two has
     other stretches than elsewhere and is then left to stage 2.
@@ -150,10 +156,14 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
         new[1:] = (np.diff(anchor[at]) != 0) | (np.diff(at) != 1)
         first, last = at[new], at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]
         place_of = anchor[first]
-        stretch = hashes(first, last + length) ^ mix64((place_of - first).astype(np.uint64))
-        found.append((first + base, last + base, place_of + base, seeds[place_of], stretch))
+        raw, digest = part.tobytes(), hashlib.blake2b
+        stretch = [digest(raw[x:y], digest_size=16, salt=z.to_bytes(2)).digest() for x, y, z in zip(first.tolist(), (last + length).tolist(), (place_of - first).tolist(), strict=True)]
+        name = np.empty((len(first), 24), np.uint8)
+        name[:, :8] = seeds[place_of].astype(">u8").view(np.uint8).reshape(-1, 8)
+        name[:, 8:] = np.frombuffer(b"".join(stretch), np.uint8).reshape(-1, 16)
+        found.append((first + base, last + base, place_of + base, name.view("S24").ravel()))
     if not found:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, "S24"),)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -171,15 +181,15 @@ _DUPLICATE, _EDGE, _WITNESS, _SPAN = 0, 1, 2, 3
 _OPEN, _SETTLED = 4, 5
 
 
-def settle_in_block(anchor: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def settle_in_block(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which runs have an equal within the block, and which of the runs the index still needs: one of each.
 
     A text of one short period has an anchor in every period, all alike; without this
     they would all meet in one shard.
     """
-    order = np.lexsort((stretch, anchor))
+    order = np.argsort(name, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (stretch[order[1:]] != stretch[order[:-1]])
+    new[1:] = name[order[1:]] != name[order[:-1]]
     group = np.cumsum(new) - 1
     repeated, needed = np.empty(len(order), bool), np.zeros(len(order), bool)
     repeated[order] = (np.bincount(group) > 1)[group]
@@ -187,49 +197,69 @@ def settle_in_block(anchor: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray
     return repeated, needed
 
 
+def _names(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.binary(24)) if column.type != pa.binary(24) else column
+    return np.frombuffer(column.buffers()[1], "S24")[column.offset : column.offset + len(column)]
+
+
+def _binary(name: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(24), len(name), [None, pa.py_buffer(np.ascontiguousarray(name))])
+
+
+def anchor_of(name: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(name).view(np.uint8).reshape(-1, 24)[:, :8].copy().view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def gathered(batches, rows: int):
+    """Arrow batches joined to ones of ``rows`` rows or a little more: fewer levels, fewer scans."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
 def _index_runs(batches):
     """Stage 1 in one shard: duplicates of whole runs, and per shared anchor one of each distinct stretch for stage 2."""
     family = SuffixFamily()
     schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("anchor", pa.int64()), ("packed", pa.int64())])
 
     def out(rows: np.ndarray, anchor: np.ndarray, kind: np.ndarray):
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(kind.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(rows[:, 2].copy())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(kind.astype(np.int32)), pa.array(anchor), pa.array(rows[:, 2].copy())], schema=schema)
 
-    held = np.zeros((0, 3), np.int64)
-    for batch in batches:
-        anchor, stretch, doc, th, packed, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    for batch in gathered(batches, BATCH_ROWS):
+        doc, th, packed, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+        stop, name = batch.column(0).to_numpy(zero_copy_only=False), _names(batch.column(1))
         rows = np.stack((doc, th, packed), axis=1)
-        span = kind == _SPAN  # its start is in packed, its stop in stretch
+        span = kind == _SPAN  # its start is in packed, its stop in the place of the anchor
         if span.any():
-            yield out(rows[span], stretch.view(np.uint64)[span], kind[span])
-            anchor, stretch, rows, kind = anchor[~span], stretch[~span], rows[~span], kind[~span]
-        ref = np.arange(len(held), len(held) + len(rows))
-        matched = family.add(anchor.view(np.uint64), stretch.view(np.uint64), ref, kind == _SETTLED)
-        matched &= kind != _SETTLED  # their spans have come already
-        yield out(rows[matched], anchor.view(np.uint64)[matched], np.full(int(matched.sum()), _DUPLICATE))
-        # Keep only the rows that the family still refers to.
-        refs = np.sort(np.concatenate([level["ref"] for level in family.levels])) if family.levels else np.zeros(0, np.int64)
-        every = np.concatenate((held, rows))
-        held = every[refs]
-        for level in family.levels:
-            level["ref"] = np.searchsorted(refs, level["ref"])
+            yield out(rows[span], stop[span], kind[span])
+            name, rows, kind = name[~span], rows[~span], kind[~span]
+        matched = family.add(name, rows, kind == _SETTLED) & (kind != _SETTLED)  # the spans of the settled have come already
+        yield out(rows[matched], anchor_of(name[matched]), np.full(int(matched.sum()), _DUPLICATE))
     e = family.entries()
-    late = e["matched"] & ~e["reported"]
-    yield out(held[e["ref"][late]], e["key"][late], np.full(int(late.sum()), _DUPLICATE))
-    if len(e["key"]):
-        start = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
-        size = np.diff(np.concatenate((start, [len(e["key"])])))
-        open_ = np.add.reduceat((~e["matched"]).astype(np.int64), start)
-        wanted = np.repeat((size > 1) & (open_ > 0), size)
-        yield out(held[e["ref"][wanted]], e["key"][wanted], np.where(e["matched"][wanted], _WITNESS, _EDGE))
-
-
-def _index_windows(length: int):
-    """Stage 2 in one shard: the windows of edge stretches whose bytes another stretch has too."""
+    if e is None:
+        return
+    late, anchor = e["matched"] & ~e["reported"], anchor_of(e["suffix"])
+    yield out(e["payload"][late], anchor[late], np.full(int(late.sum()), _DUPLICATE))
+    start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    size = np.diff(np.concatenate((start, [len(anchor)])))
+    open_ = np.add.reduceat((~e["matched"]).astype(np.int64), start)
+    wanted = np.repeat((size > 1) & (open_ > 0), size)
+    yield out(e["payload"][wanted], anchor[wanted], np.where(e["matched"][wanted], _WITNESS, _EDGE))
+
+
+def _index_suffixes(length: int, rows_at_once: int = 1024):
+    """Stage 2 in one shard: the suffixes of edge stretches whose first ``length`` bytes another stretch has too."""
     schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
-    def spans(doc, th, at):
-        """Window starts as maximal runs per stretch."""
+    def spans(found):
+        """Suffix starts as maximal runs per stretch; a start of -1 is a witness and not reported."""
+        doc, th, at = found[found[:, 2] >= 0].T
         order = np.lexsort((at, th, doc))
         doc, th, at = doc[order], th[order], at[order]
         new = np.ones(len(at), bool)
@@ -240,35 +270,23 @@ def _index_windows(length: int):
 
     def run(batches):
         family = SuffixFamily()
-        docs = np.zeros((0, 3), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
                 doc, th, kind, first = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
                 column = part.column(4).cast(pa.large_binary())
                 offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
                 data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                offsets = offsets - offsets[0]
                 counts = np.diff(offsets) - length + 1
                 row = np.repeat(np.arange(len(counts)), counts)
                 inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                starts = offsets[row] + inner
-                head = np.zeros(len(starts), np.uint64)
-                for j in range(8):
-                    head = (head << np.uint64(8)) | data[starts + j]
-                rank = SpanHash(data)(starts, starts + length)
-                entry = np.stack((doc[row], th[row], np.where(kind[row] == _EDGE, first[row] + inner, -1)), axis=1)
-                matched = family.add(head, rank, np.arange(len(docs), len(docs) + len(row)))
-                hit = matched & (entry[:, 2] >= 0)
-                yield spans(entry[hit, 0], entry[hit, 1], entry[hit, 2])
-                refs = np.sort(np.concatenate([level["ref"] for level in family.levels])) if family.levels else np.zeros(0, np.int64)
-                docs = np.concatenate((docs, entry))[refs]
-                for level in family.levels:
-                    level["ref"] = np.searchsorted(refs, level["ref"])
+                suffix = np.lib.stride_tricks.sliding_window_view(data, length)[(offsets - offsets[0])[row] + inner]
+                payload = np.stack((doc[row], th[row], np.where(kind[row] == _EDGE, first[row] + inner, -1)), axis=1)
+                matched = family.add(np.ascontiguousarray(suffix).view(f"S{length}").ravel(), payload)
+                yield spans(payload[matched])
         e = family.entries()
-        late = docs[e["ref"][e["matched"] & ~e["reported"]]]
-        late = late[late[:, 2] >= 0]
-        yield spans(late[:, 0], late[:, 1], late[:, 2])
+        if e is not None:
+            yield spans(e["payload"][e["matched"] & ~e["reported"]])
 
     return run
 
@@ -287,28 +305,27 @@ def covered_spans(starts: np.ndarray, stops: np.ndarray, borders: np.ndarray | N
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc, th, spans) of ``docs`` (doc, th, text): the stretches made of windows that start elsewhere too."""
-    runs_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "stretch", "doc", "th", "packed", "kind")])
+    runs_schema = T.StructType([T.StructField(c, T.BinaryType() if c == "name" else T.LongType()) for c in ("anchor", "name", "doc", "th", "packed", "kind")])
 
     def runs(batches):
         for block in blocks(batches, "text"):
-            first, last, place, anchor, stretch = anchored_runs(block.data, block.offsets, length, seed)
+            first, last, place, name = anchored_runs(block.data, block.offsets, length, seed)
             if not len(first):
                 continue
             row = block.row_of(first)
             ids, th = (block.rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             packed = _pack(first - block.offsets[row], last - first + 1, place - first)
-            repeated, needed = settle_in_block(anchor, stretch)
+            repeated, needed = settle_in_block(name)
             own = row[needed]
-            yield arrow_batch(runs_schema, [anchor.view(np.int64)[needed], stretch.view(np.int64)[needed], ids[own], th[own], packed[needed], np.where(repeated[needed], _SETTLED, _OPEN)])
+            yield arrow_batch(runs_schema, [anchor_of(name[needed]), _binary(name[needed]), ids[own], th[own], packed[needed], np.where(repeated[needed], _SETTLED, _OPEN)])
             if repeated.any():
                 # No span reaches over a text's end, so all texts of the block can be covered at once.
                 start, stop = covered_spans(first[repeated], last[repeated] + length, block.offsets)
                 own = block.row_of(start)
                 start, stop = start - block.offsets[own], stop - block.offsets[own]
-                spread = mix64(ids[own].astype(np.uint64) ^ (start.astype(np.uint64) << np.uint64(20))).view(np.int64)
-                yield arrow_batch(runs_schema, [spread, stop, ids[own], th[own], start, np.full(len(own), _SPAN)])
+                yield arrow_batch(runs_schema, [stop, _binary(np.zeros(len(own), "S24")), ids[own], th[own], start, np.full(len(own), _SPAN)])
 
-    indexed = docs.select("doc", "th", "text").mapInArrow(runs, runs_schema).repartition("anchor").mapInArrow(_index_runs, _RUN)
+    indexed = docs.select("doc", "th", "text").mapInArrow(runs, runs_schema).repartition(F.when(F.col("kind") == _SPAN, F.xxhash64("doc", "packed")).otherwise(F.col("anchor"))).mapInArrow(_index_runs, _RUN)
     indexed = checkpointed(indexed)
     # Stage 2: the bytes of the edges, cut from their documents.
     edges = indexed.filter(F.col("kind").isin(_EDGE, _WITNESS)).groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "anchor", "packed")).alias("edges"))
@@ -326,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
             yield arrow_batch(stretch_schema, out)
 
     pieces = docs.join(edges, ["doc", "th"]).select("doc", "th", "text", "edges").mapInArrow(cut, stretch_schema)
-    windows = pieces.repartition("anchor").select("doc", "th", "kind", "first", "data").mapInArrow(_index_windows(length), "doc long, th long, start long, stop long")
+    windows = pieces.repartition("anchor").select("doc", "th", "kind", "first", "data").mapInArrow(_index_suffixes(length), "doc long, th long, start long, stop long")
     whole = indexed.filter(F.col("kind") == _DUPLICATE).select("doc", "th", F.shiftright("packed", 18).alias("start"), (F.shiftright("packed", 18) + F.shiftright("packed", 9).bitwiseAND(F.lit(511)) - 1 + length).alias("stop"))
     settled = indexed.filter(F.col("kind") == _SPAN).select("doc", "th", F.col("packed").alias("start"), F.col("anchor").alias("stop"))
     return whole.unionByName(settled).unionByName(windows).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -339,7 +356,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     all copies alike and judged on the input; matches never cross documents.  A null text
     is empty, and a text shorter than ``length`` stays whole.  Repeated rows hold the same
     strings elsewhere and so lose them.  Null ids are one id among others.  The id must be
-    an integer; other columns are not read.
+    an integer; other columns are not read.  A very long text is indexed whole, in segments of
+    8 MB.  An empty table gives an empty result.
 
     What is kept may cut a UTF-8 sequence and is therefore bytes.
     """
@@ -347,13 +365,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("seed and length are out of range")
     id_type = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).repartition("doc", "th")
+    nil = F.col(id_col).isNull()
+    # ``th`` names a row together with its id: it covers whether the id is null.
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text, nil).alias("th"), text.alias("text"), nil.alias("nil")).repartition("doc", "th")
     spans = repeated_spans(keyed, length, seed)
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text)
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("nil", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text)
 
     def finish(batches):
         for block in blocks(batches, "text"):
-            lists = block.rows.column(2)
+            lists = block.rows.column(3)
             removed, runs, digest, kept = [], [], [], []
             for i in range(block.n):
                 raw, own = block.text_bytes(i), lists[i]
@@ -371,7 +391,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 runs.append(len(start))
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            yield arrow_batch(schema, [block.rows.column(0), block.lengths, removed, runs, digest] + [kept] * with_text)
+            yield arrow_batch(schema, [block.rows.column(0), block.rows.column(2), block.lengths, removed, runs, digest] + [kept] * with_text)
 
-    out = keyed.join(spans, ["doc", "th"], "left").select("doc", "text", "spans").mapInArrow(finish, schema)
-    return out.select(F.when(F.col("doc") != -(1 << 62), F.col("doc")).cast(id_type).alias("doc_id"), *out.columns[1:])
+    out = keyed.join(spans, ["doc", "th"], "left").select("doc", "text", "nil", "spans").mapInArrow(finish, schema)
+    return out.select(F.when(~F.col("nil"), F.col("doc")).cast(id_type).alias("doc_id"), *out.columns[2:])
