@@ -1,30 +1,39 @@
 """Scoring with a hashed maximum-entropy language model and a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).  Words fall into classes: the
-end of a text and the most frequent words have one each, all others, known or not, fall
-by their letters into clusters of hashed character n-grams learnt from the frequent
-words.  The class factor is a softmax over three kinds of features of the history: the
-word before (frequent words by themselves, others by class), the class before that
-(a skip feature) and both together, hashed.
-
-Everything is counted over all training documents.  The gradient of the likelihood
-needs the corpus only through the counts of (history, class), so executors hold that
-table, and each round sends them weights and sums their gradients.  Texts are scored
-in blocks of numpy arrays; the most frequent words travel in a broadcast of bounded
-size, the counts of all others come by a join.
+P(word | history) = P(class | history) * P(word | class, history).  Words fall into classes:
+the end of a text and the most frequent words have one each, all others, known or not, fall
+by their letters into clusters of hashed character n-grams learnt from the frequent words.
+
+The class factor is a softmax over features of the history: the word before (frequent words
+by themselves, others by class), the class before that (a skip feature) and both together,
+hashed.  Its gradient needs the corpus only through the counts of (history, class), so
+executors hold that table, and each round sends them weights and sums their gradients.
+
+The word factor is a softmax over the words of a class.  Its features are the n-gram (word
+before, word), whatever the word before, and the skip feature (class before that, word
+before, word), hashed; there is one for each that training shows often enough, so their
+table grows with the corpus and stays distributed.  A feature only touches words after one
+word before, and in one class: such a group is trained in one place, by gradient updates over
+all groups of a shard at once, and is normalised exactly (a word without a feature keeps its
+share of the class).
+
+Texts are scored in blocks of numpy arrays.  What a block needs from the distributed tables
+travels as packed arrays to the shards that hold them, and sums per text come back.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import Block, SpanHash, blocks, mix64, word_spans
+from .arrow_text import Block, blocks, encode_spans, mix64, word_spans, xxh64
 from .shared import arrow_batch, checkpointed
 from .simhash_dedup import lower_ascii
 
@@ -32,14 +41,28 @@ CLASSES, SINGLE, OWN_WORDS, HEAD_WORDS, CLUSTER_WORDS = 64, 24, 255, 1 << 19, 16
 HASHED, DIM, ROUNDS, PARTS = 1 << 12, 64, 12, 12
 END = np.uint64(0x00E7D)  # the end of a text, as a token
 BOS = CLASSES
+#: Times a word n-gram and a skip n-gram must occur in training to be a feature; the prior's precision; its rounds.
+NGRAM_FROM, SKIP_FROM, PRIOR, WORD_ROUNDS = 2, 3, 1.0, 12
+SHARD_TOKENS, CHUNK_TOKENS, CACHED_WORDS = 2_000_000, 1_500_000, 2_000_000
+NO_WORD = (1 << 20) - 1  # in place of the index of a word that is not among the frequent ones
 
 
-def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, start and end of each token: a text's words with A-Z as a-z, then its end."""
+@dataclass
+class Tokens:
+    """The tokens of a block: each one's row and the index of its word; index 0 is the end of a text."""
+
+    hashes: np.ndarray
+    words: pa.Array
+    which: np.ndarray
+    rows: np.ndarray
+
+
+def tokens(block: Block) -> Tokens:
+    """A text's words with A-Z as a-z, then its end.  Words are told apart by their bytes and named by XXH64."""
     starts, ends, rows = word_spans(block)
-    hashes = SpanHash(lower_ascii(block.data), 1)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    codes, words = encode_spans(lower_ascii(block.data), starts, ends)
     at = np.searchsorted(rows, np.arange(block.n), side="right")
-    return np.insert(hashes, at, END), np.insert(rows, at, np.arange(block.n)), np.insert(starts, at, 0), np.insert(ends, at, 0)
+    return Tokens(np.concatenate(([END], xxh64(words, 1))), words, np.insert(codes + 1, at, 0), np.insert(rows, at, np.arange(block.n)))
 
 
 def letter_vectors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,16 +110,32 @@ class Vocabulary:
     own: np.ndarray  # sorted hashes of the words that are features by themselves
     own_bucket: np.ndarray
     centres: np.ndarray
-
-    def classes(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = SINGLE + np.concatenate([(letter_vectors(data, starts[a : a + 65536], ends[a : a + 65536]) @ self.centres.T).argmax(1) for a in range(0, len(starts), 65536)] or [np.zeros(0, np.int64)])
-        at, known = lookup(self.single, hashes)
+    seen: list = field(default_factory=lambda: [np.zeros(0, np.uint64), np.zeros(0, np.int64)], repr=False)
+
+    def classes(self, found: Tokens) -> np.ndarray:
+        """The class of each distinct word; those of words met before are kept, up to a bound."""
+        out = np.zeros(len(found.hashes), np.int64)
+        at, known = lookup(self.seen[0], found.hashes)
+        out[known] = self.seen[1][at[known]]
+        new = np.flatnonzero(~known[1:])
+        if len(new):
+            offsets = np.frombuffer(found.words.buffers()[1], np.int64)[found.words.offset :]
+            data = np.frombuffer(found.words.buffers()[2], np.uint8)
+            for a in range(0, len(new), 65536):
+                own = new[a : a + 65536]
+                out[own + 1] = SINGLE + (letter_vectors(data, offsets[own], offsets[own + 1]) @ self.centres.T).argmax(1)
+            if len(self.seen[0]) + len(new) > CACHED_WORDS:
+                self.seen = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+            h, k = np.concatenate((self.seen[0], found.hashes[new + 1])), np.concatenate((self.seen[1], out[new + 1]))
+            order = np.argsort(h)
+            self.seen = [h[order], k[order]]
+        at, known = lookup(self.single, found.hashes)
         out[known] = self.single_class[at[known]]
         return out
 
     def history(self, hashes: np.ndarray, word_class: np.ndarray) -> np.ndarray:
         at, known = lookup(self.own, hashes)
-        return np.where(known, self.own_bucket[at], word_class)
+        return np.where(known, self.own_bucket[at], word_class) if len(self.own) else word_class
 
 
 def lookup(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,20 +147,35 @@ BUCKETS = CLASSES + 1 + OWN_WORDS  # of the word before: its class, the beginnin
 CONTEXTS = BUCKETS * (CLASSES + 1)
 
 
-def events(block: Block, vocabulary: Vocabulary):
-    """Per token: context, class; and the distinct words with the index of each token's word."""
-    hashes, rows, starts, ends = tokens(block)
-    distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    data = lower_ascii(block.data)
-    kinds = vocabulary.classes(data, distinct, starts[first], ends[first])
-    bucket = vocabulary.history(distinct, kinds)
+@dataclass
+class Events:
+    """What the model sees of each token of a block."""
+
+    found: Tokens
+    context: np.ndarray  # of the class factor
+    target: np.ndarray
+    kinds: np.ndarray  # class of each distinct word
+    head: np.ndarray  # index of each distinct word among the frequent ones, NO_WORD if it is none
+    group: np.ndarray  # of the word factor: (word before, class), hashed
+    code: np.ndarray  # of the word factor: the word's index and the class before the word before
+
+
+def events(block: Block, vocabulary: Vocabulary) -> Events:
+    found = tokens(block)
+    which, rows = found.which, found.rows
+    kinds = vocabulary.classes(found)
+    bucket = vocabulary.history(found.hashes, kinds)
+    at, known = lookup(vocabulary.head, found.hashes)
+    head = np.where(known, at, NO_WORD)
     target = kinds[which]
-    one, two = np.full(len(rows), BOS), np.full(len(rows), BOS)
+    one, two, before = np.full(len(rows), BOS), np.full(len(rows), BOS), np.zeros(len(rows), np.uint64)
     same1 = rows[1:] == rows[:-1]
     one[1:] = np.where(same1, bucket[which[:-1]], BOS)
+    before[1:] = np.where(same1, found.hashes[which[:-1]], np.uint64(0))
     same2 = rows[2:] == rows[:-2]
     two[2:] = np.where(same2, target[:-2], BOS)
-    return one * (CLASSES + 1) + two, target, distinct, kinds, which, rows
+    group = mix64(before ^ mix64(target.astype(np.uint64) + np.uint64(1)))
+    return Events(found, one * (CLASSES + 1) + two, target, kinds, head, group, (head[which] << 7 | two).astype(np.uint32))
 
 
 def features_of(context: np.ndarray) -> np.ndarray:
@@ -142,39 +196,88 @@ def log_softmax(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def count_words(docs: DataFrame, chunk_blocks: int = 8, text_from: int = 8) -> DataFrame:
-    """(hash, n, word) over all ``docs``; the word's text only where a chunk has it often, for the clusters."""
-    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("word", T.BinaryType())])
+# ---------------------------------------------------------------- packed arrays
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(blob, np.int64, len(dtypes)), 8 * len(dtypes), []
+    for n, d in zip(sizes.tolist(), dtypes, strict=True):
+        out.append(np.frombuffer(blob, d, n, at))
+        at += n * np.dtype(d).itemsize
+    return out
+
+
+def shard_cuts(sorted_hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards of some sorted hashes, and where each begins; with the end as the last cut.  Shards are ranges of hashes."""
+    own = ((sorted_hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.append(first, len(own))
+
+
+def runs(a: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+
+
+# ---------------------------------------------------------------- counting
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(hash, n) over all ``docs``."""
+    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, dict]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def merged():
             h, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            n = np.bincount(which, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
-            names: dict = {}
-            for x in held:
-                names.update(x[2])
-            held.clear()
-            often = {int(v) for v in h[n >= text_from]}
-            return arrow_batch(schema, [h.view(np.int64), n, [names.get(v) if v in often else None for v in h.tolist()]])
+            return arrow_batch(schema, [h.view(np.int64), np.bincount(which, weights=np.concatenate([x[1] for x in held])).astype(np.int64)])
 
         for block in blocks(batches, "text"):
-            hashes, _, starts, ends = tokens(block)
-            h, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            data = lower_ascii(block.data)
-            names = {int(h[i]): data[starts[first[i]] : ends[first[i]]].tobytes() for i in np.flatnonzero(n >= 2)}
-            held.append((h, n, names))
-            if len(held) == chunk_blocks:
+            found = tokens(block)
+            held.append((found.hashes, np.bincount(found.which, minlength=len(found.hashes))))
+            size += len(found.hashes)
+            if size > CHUNK_TOKENS:
                 yield merged()
+                held, size = [], 0
         if held:
             yield merged()
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("hash").agg(F.sum("n").alias("n"), F.max("word").alias("word"))
+    return docs.select("text").mapInArrow(run, schema).groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def spell(docs: DataFrame, wanted: np.ndarray) -> dict[int, bytes]:
+    """The words that a bounded, sorted set of hashes stands for, found in a pass over all ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("word", T.BinaryType())])
+
+    def run(batches):
+        missing = np.ones(len(shared.value), bool)
+        for block in blocks(batches, "text"):
+            if not missing.any():
+                continue
+            found = tokens(block)
+            at, known = lookup(shared.value, found.hashes)
+            new = np.flatnonzero(known & missing[at])
+            new = new[new > 0]
+            missing[at[new]] = False
+            yield arrow_batch(schema, [found.hashes[new].view(np.int64), found.words.take(pa.array(new - 1))])
+
+    told = docs.select("text").mapInArrow(run, schema).groupBy("hash").agg(F.min("word").alias("word"))
+    return {int(np.int64(r[0]).view(np.uint64)): bytes(r[1]) for r in told.collect()}
 
 
-def build_vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, cluster_words: int = CLUSTER_WORDS) -> tuple[Vocabulary, int]:
-    """The vocabulary and the least count of its head; cut on a scale of counts, so that at most ``head_words`` words are gathered."""
+def build_vocabulary(counts: DataFrame, docs: DataFrame, head_words: int = HEAD_WORDS, cluster_words: int = CLUSTER_WORDS) -> tuple[Vocabulary, int]:
+    """The vocabulary and the least count of its head; cut on a scale of counts, so that at most ``head_words`` words are gathered.
+
+    Which words are frequent is settled by their exact counts over the corpus, and only then
+    are they spelt; the layout of the input has no part in it.
+    """
     scale = F.floor(F.log2("n") * 64)
     bins = counts.groupBy(scale.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
 
@@ -187,58 +290,148 @@ def build_vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, cluster_wo
             least = b.least
         return least
 
-    floor = least_count(head_words)
+    floor = least_count(min(head_words, NO_WORD))
     head = counts.filter(F.col("n") >= floor).select("hash", "n").toArrow()
     hashes, n = head.column(0).to_numpy().view(np.uint64), head.column(1).to_numpy()
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
-    frequent = counts.filter((F.col("n") >= max(floor, least_count(cluster_words))) & F.col("word").isNotNull()).select("hash", "n", "word").toArrow()
-    words = sorted(zip(frequent.column(1).to_pylist(), frequent.column(0).to_numpy().view(np.uint64).tolist(), frequent.column(2).to_pylist(), strict=True), key=lambda w: (-w[0], w[1]))
-    words = [w for w in words if w[1] != int(END)]
+    often = np.flatnonzero((n >= least_count(cluster_words)) & (hashes != END))
+    spelt = spell(docs, hashes[often]) if len(often) else {}
+    words = sorted(((int(n[i]), int(hashes[i])) for i in often), key=lambda w: (-w[0], w[1]))
     top = np.array([w[1] for w in words[: max(SINGLE - 1, OWN_WORDS)]], np.uint64)
     single = np.concatenate(([END], top[: SINGLE - 1]))
     s_order = np.argsort(single)
     own = top[:OWN_WORDS]
     o_order = np.argsort(own)
     rest = words[SINGLE - 1 :]
-    data = np.frombuffer(b"".join(w[2] for w in rest), np.uint8)
-    size = np.array([len(w[2]) for w in rest], np.int64)
+    data = np.frombuffer(b"".join(spelt[w[1]] for w in rest), np.uint8)
+    size = np.array([len(spelt[w[1]]) for w in rest], np.int64)
     stop = np.cumsum(size)
     centres = cluster(letter_vectors(data, stop - size, stop), np.sqrt(np.array([w[0] for w in rest], np.float64)), CLASSES - SINGLE)
     return Vocabulary(hashes, n, single[s_order], np.arange(len(single))[s_order], own[o_order], (CLASSES + 1 + np.arange(len(own)))[o_order], centres), floor
 
 
-def count_events(docs: DataFrame, vocabulary, chunk_blocks: int = 8) -> DataFrame:
-    """(context, class, n) over all ``docs``: at most CONTEXTS * CLASSES rows, whatever the corpus."""
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+_PACKED = T.StructType([T.StructField("key", T.LongType()), T.StructField("blob", T.BinaryType())])
+
+
+def count_events(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
+    """(key, blob) of the training counts, once per key: shards of the word factor (key >= 0) and parts of the class factor (key < 0)."""
 
     def run(batches):
-        held = np.zeros(CONTEXTS * CLASSES, np.int32)
-        n = 0
+        cells = np.zeros(CONTEXTS * CLASSES, np.int32)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def ngrams():
+            group, code, kind = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.lexsort((code, group))
+            group, code, kind = group[order], code[order], kind[order]
+            new = np.ones(len(group), bool)
+            new[1:] = (group[1:] != group[:-1]) | (code[1:] != code[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(group)))
+            group, code, kind = group[first], code[first], kind[first]
+            own, cuts = shard_cuts(group, shards)
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                each = runs(group[a:b])
+                out.append(pack(group[a:b][each], kind[a:b][each], np.diff(np.append(each, b - a)).astype(np.uint32), code[a:b], n[a:b].astype(np.uint32)))
+            return arrow_batch(_PACKED, [own, out])
+
         for block in blocks(batches, "text"):
-            context, target, *_ = events(block, vocabulary.value)
-            held += np.bincount(context * CLASSES + target, minlength=len(held)).astype(np.int32)
-            n += 1
-            if n % (chunk_blocks * 64) == 0:
-                at = np.flatnonzero(held)
-                yield arrow_batch(schema, [at, held[at]])
-                held[:] = 0
-        at = np.flatnonzero(held)
-        yield arrow_batch(schema, [at, held[at]])
-
-    cells = docs.select("text").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n"))
-    return cells.select(F.floor(F.col("cell") / CLASSES).cast("long").alias("context"), (F.col("cell") % CLASSES).alias("kind"), "n")
-
-
-def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS, parts: int = PARTS, decay: float = 0.5) -> np.ndarray:
-    """Weights by rounds of distributed gradient steps over the table of (context, class, n).
-
-    In a round each of ``parts`` tasks returns, for the rows of the weight table that its
-    histories use, the gradient and a bound of its curvature; the driver adds them up in a
-    fixed order and takes one damped step.  What it receives is bounded by the table and
-    the number of parts, not by the corpus.
+            e = events(block, vocabulary.value)
+            cells += np.bincount(e.context * CLASSES + e.target, minlength=len(cells)).astype(np.int32)
+            inside = e.target >= SINGLE
+            held.append((e.group[inside], e.code[inside], e.target[inside].astype(np.uint8)))
+            size += int(inside.sum())
+            if size > CHUNK_TOKENS:
+                yield ngrams()
+                held, size = [], 0
+        if size:
+            yield ngrams()
+        at = np.flatnonzero(cells)
+        part = at // CLASSES % PARTS
+        yield arrow_batch(_PACKED, [-1 - np.arange(PARTS), [pack(at[part == k].astype(np.uint32), cells[at[part == k]].astype(np.uint32)) for k in range(PARTS)]])
+
+    return docs.select("text").mapInArrow(run, _PACKED).repartition("key").sortWithinPartitions("key").mapInArrow(_combined, _PACKED)
+
+
+def _by_key(batches) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of each key, from rows sorted by key."""
+    now, held = None, []
+    for batch in batches:
+        for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(blob)
+    if held:
+        yield now, held
+
+
+_NGRAMS = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32)
+_GROUPS = (np.uint64, np.uint8, np.uint32, np.uint8, np.int64, np.uint32, np.uint32, np.int64, np.uint32, np.uint32, np.int64)
+
+
+def _combined(batches):
+    for key, blobs in _by_key(batches):
+        if key < 0:
+            at, n = (np.concatenate(x) for x in zip(*(unpack(b, np.uint32, np.uint32) for b in blobs), strict=True))
+            cell, which = np.unique(at, return_inverse=True)
+            yield arrow_batch(_PACKED, [[key], [pack(cell.astype(np.int64), np.bincount(which, weights=n).astype(np.int64))]])
+        else:
+            yield arrow_batch(_PACKED, [[key], [pack(*group_counts([unpack(b, *_NGRAMS) for b in blobs]))]])
+
+
+def group_counts(parts: list) -> list[np.ndarray]:
+    """The groups of a shard that have a feature: their contexts with all their tokens, and the features with theirs.
+
+    (group hash, its class; context's group, class before, tokens; n-gram's group, word, tokens;
+    skip feature's n-gram, context, tokens).  Rarer n-grams only count as tokens of their context.
+    """
+    group = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
+    kind = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
+    code, n = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
+    order = np.lexsort((code, group))
+    group, kind, code, n = group[order], kind[order], code[order], n[order]
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (code[1:] != code[:-1])
+    first = np.flatnonzero(new)
+    group, kind, code, n = group[first], kind[first], code[first], np.add.reduceat(n, first)
+    word, before = code >> 7, code & 127
+    pair = np.ones(len(group), bool)
+    pair[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+    gram = np.cumsum(pair) - 1
+    total = np.bincount(gram, weights=n).astype(np.int64)
+    at = np.flatnonzero(pair)
+    use = (total >= NGRAM_FROM) & (word[at] != NO_WORD)
+    g_new = runs(group)
+    g_of = np.repeat(np.arange(len(g_new)), np.diff(np.append(g_new, len(group))))
+    has = np.bincount(g_of[at], weights=use, minlength=len(g_new)) > 0
+    g_index = np.cumsum(has) - 1
+    keep = has[g_of]
+    context, which = np.unique(g_index[g_of[keep]] * 128 + before[keep], return_inverse=True)
+    tokens_of = np.bincount(which, weights=n[keep], minlength=len(context)).astype(np.int64)
+    gram_index = np.cumsum(use) - 1
+    skip = keep & use[gram] & (n >= SKIP_FROM)
+    of_context = np.zeros(len(group), np.int64)
+    of_context[keep] = which
+    u32 = lambda x: x.astype(np.uint32)
+    return [group[g_new][has], kind[g_new][has], u32(context >> 7), (context & 127).astype(np.uint8), tokens_of, u32(g_index[g_of[at[use]]]), u32(word[at[use]]), total[use], u32(gram_index[gram[skip]]), u32(of_context[skip]), n[skip]]
+
+
+# ---------------------------------------------------------------- the class factor
+
+
+def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS, decay: float = 0.5) -> np.ndarray:
+    """Weights by rounds of distributed gradient steps over the parts of the table of (context, class, n).
+
+    In a round each part returns, for the rows of the weight table that its histories use,
+    the gradient and a bound of its curvature; the driver adds them up in a fixed order and
+    takes one damped step.  What it receives is bounded by the table and the number of
+    parts, not by the corpus.
     """
-    held = checkpointed(cells.repartition(parts, "context"))
     spark = cells.sparkSession
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[0] = np.log((class_counts + 0.5) / (class_counts.sum() + 0.5 * CLASSES))
@@ -247,25 +440,22 @@ def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS
         shared = spark.sparkContext.broadcast(weights)
 
         def part(batches, shared=shared):
-            rows = [b for b in batches if b.num_rows]
-            if not rows:
-                return
-            table = pa.Table.from_batches(rows)
-            context, kind, n = (table.column(c).to_numpy() for c in ("context", "kind", "n"))
-            distinct, which = np.unique(context, return_inverse=True)
-            seen = np.zeros((len(distinct), CLASSES))
-            np.add.at(seen, (which, kind), n)
-            expected = np.exp(log_softmax(shared.value, distinct)) * seen.sum(1, keepdims=True)
-            f = features_of(distinct)
-            gradient, bound = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
-            for j in range(f.shape[1]):
-                np.add.at(gradient, f[:, j], seen - expected)
-                np.add.at(bound, f[:, j], expected)
-            used = np.unique(f)
-            yield arrow_batch(schema, [[int(distinct[0])], [used.tobytes()], [gradient[used].astype(np.float32).tobytes()], [bound[used].astype(np.float32).tobytes()]])
+            for key, blobs in _by_key(batches):
+                cell, n = unpack(blobs[0], np.int64, np.int64)
+                distinct, which = np.unique(cell // CLASSES, return_inverse=True)
+                seen = np.zeros((len(distinct), CLASSES))
+                np.add.at(seen, (which, cell % CLASSES), n)
+                expected = np.exp(log_softmax(shared.value, distinct)) * seen.sum(1, keepdims=True)
+                f = features_of(distinct)
+                gradient, bound = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
+                for j in range(f.shape[1]):
+                    np.add.at(gradient, f[:, j], seen - expected)
+                    np.add.at(bound, f[:, j], expected)
+                used = np.unique(f)
+                yield arrow_batch(schema, [[key], [used.tobytes()], [gradient[used].astype(np.float32).tobytes()], [bound[used].astype(np.float32).tobytes()]])
 
         total = [np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))]
-        for r in sorted(held.coalesce(parts).mapInArrow(part, schema).collect(), key=lambda r: r.order):
+        for r in sorted(cells.mapInArrow(part, schema).collect(), key=lambda r: r.order):
             used = np.frombuffer(r.rows, np.int64)
             for t, x in zip(total, (r.gradient, r.expected), strict=True):
                 t[used] += np.frombuffer(x, np.float32).reshape(-1, CLASSES)
@@ -275,78 +465,231 @@ def fit_classes(cells: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS
     return weights
 
 
-def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> DataFrame:
+# ---------------------------------------------------------------- the word factor
+
+
+def fit_words(counts: list[np.ndarray], share, rounds: int = WORD_ROUNDS, prior: float = PRIOR) -> list[np.ndarray]:
+    """The table of a shard: (group, log of its normaliser; context key, log of its; n-gram key, weight; skip key, weight).
+
+    ``share(word, class)`` is a word's share of its class.  Gradient ascent with a normal prior:
+    the curvature of a softmax is at most its expected counts, and two features can be on at
+    once, so half a Newton step by that bound never overshoots.
+    """
+    group, kind, c_group, c_before, c_n, b_group, b_word, b_n, t_gram, t_context, t_n = (x.astype(np.int64) if x.dtype != np.uint64 else x for x in counts)
+    p0 = share(b_word, kind[b_group])
+    wb, wt = np.zeros(len(b_word)), np.zeros(len(t_gram))
+    for step in range(rounds + 1):
+        base, more = p0 * np.exp(wb), np.expm1(wt)
+        plain = 1.0 + np.bincount(b_group, weights=base - p0, minlength=len(group))
+        z = plain[c_group] + np.bincount(t_context, weights=base[t_gram] * more, minlength=len(c_group))
+        if step == rounds:
+            break
+        rate = c_n / z
+        skipped = rate[t_context] * base[t_gram]
+        expect_b = base * np.bincount(c_group, weights=rate, minlength=len(group))[b_group] + np.bincount(t_gram, weights=skipped * more, minlength=len(b_word))
+        expect_t = skipped * (more + 1.0)
+        wb = wb + np.clip(0.5 * (b_n - expect_b - prior * wb) / (expect_b + prior), -1.0, 1.0)
+        wt = wt + np.clip(0.5 * (t_n - expect_t - prior * wt) / (expect_t + prior), -1.0, 1.0)
+    b_key, t_key = b_group << 20 | b_word, (b_group << 27 | b_word << 7)[t_gram] | c_before[t_context]
+    order = np.argsort(t_key)
+    return [group, np.log10(plain), c_group << 7 | c_before, np.log10(z), b_key, wb / np.log(10), t_key[order], wt[order] / np.log(10)]
+
+
+_TABLE = (np.uint64, np.float64, np.int64, np.float64, np.int64, np.float64, np.int64, np.float64)
+
+
+def word_factor(table: list[np.ndarray], group: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """log10 of what the history multiplies a word's share of its class by."""
+    groups, plain, c_key, z, b_key, wb, t_key, wt = table
+    out = np.zeros(len(group))
+    g, known = lookup(groups, group)
+    at = np.flatnonzero(known)
+    g, word, before = g[at], (code[at] >> 7).astype(np.int64), (code[at] & 127).astype(np.int64)
+    value = -plain[g]
+    for key, weight, wanted, minus in ((c_key, z, g << 7 | before, plain[g]), (b_key, wb, g << 20 | word, None), (t_key, wt, g << 27 | word << 7 | before, None)):
+        i, hit = lookup(key, wanted)
+        if minus is not None:
+            value[hit] = -weight[i[hit]]
+        else:
+            value[hit] += weight[i[hit]]
+    out[at] = value
+    return out
+
+
+# ---------------------------------------------------------------- scoring
+
+_NGRAM_TABLE, _WORD_TABLE, _NGRAM_ASK, _WORD_ASK, _OWN, _PART = range(6)
+
+
+def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` is the condition for a row to be learnt from (null: it is not).  A null or
-    blank text has one token, its end.  Repeated rows are scored alike and stay.  Without
-    training rows every token is unknown.  ``score`` is a proper log10 probability over the
-    words seen in training and, per cluster, one unknown word, whose share is that of the
-    words seen once (Good and Turing); ``base_score`` is the smoothed unigram model.
+    blank text has one token, its end.  Repeated rows are scored alike and stay; a null id
+    stays null.  A text longer than a block of 4 MB is a block of its own.  Words of one count
+    are ordered by their hash.  Without training rows every token is unknown; an empty table
+    gives an empty result.  Other columns of ``docs``, whatever their names, are not read but
+    by ``training``.
+
+    ``score`` is a log10 probability over the words seen in training and, per cluster, one
+    unknown word, whose share is that of the words seen once (Good and Turing); both factors
+    sum to one.  ``base_score`` is the smoothed unigram model.  What is learnt does not depend
+    on how the rows are laid out in files and tasks.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     learn = source.filter("train").select("text")
     counts = checkpointed(count_words(learn))
     size = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).first()
     n_types, n_tokens, once = int(size.v), int(size.n or 0), int(size.once or 0)
-    vocabulary, floor = build_vocabulary(counts, head_words)
+    vocabulary, floor = build_vocabulary(counts, learn, head_words)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
-    cells = checkpointed(count_events(learn, shared))
+    shards = max(16, -(-n_tokens // shard_tokens))
+    learnt = checkpointed(count_events(learn, shared, shards))
+    cells = learnt.filter("key < 0").repartition(PARTS, "key").sortWithinPartitions("key")
     class_counts = np.zeros(CLASSES)
-    for r in cells.groupBy("kind").agg(F.sum("n").alias("n")).collect():
-        class_counts[r.kind] = r.n
+
+    def by_class(batches):
+        for key, blobs in _by_key(batches):
+            cell, n = unpack(blobs[0], np.int64, np.int64)
+            yield arrow_batch(_PACKED, [[key], [np.bincount(cell % CLASSES, weights=n, minlength=CLASSES).tobytes()]])
+
+    for r in cells.mapInArrow(by_class, _PACKED).collect():
+        class_counts += np.frombuffer(r.blob)
     weights = fit_classes(cells, class_counts, rounds)
     table = np.concatenate([log_softmax(weights, np.arange(a, min(a + 8192, CONTEXTS))) for a in range(0, CONTEXTS, 8192)]).astype(np.float32) / np.float32(np.log(10))
-    clustered = class_counts[SINGLE:].sum()
-    unknown = (once + 0.5) / (clustered + 1.0)
+    unknown = min((once + 0.5) / (class_counts[SINGLE:].sum() + 1.0), 0.999)
+    clustered = np.arange(CLASSES) >= SINGLE
     log_class = np.log10(np.maximum(class_counts, 0.5))
-    log_known = np.where(np.arange(CLASSES) < SINGLE, 0.0, np.log10(1 - min(unknown, 0.999)))
-    log_unknown = float(np.log10(min(unknown, 0.999)))
+    log_known, log_unknown = np.where(clustered, np.log10(1 - unknown), 0.0), np.where(clustered, np.log10(unknown), 0.0)
     norm = float(np.log10(n_tokens + 0.5 * (n_types + 1)))
-    model = sc.broadcast((table, log_class, log_known))
-    schema = T.StructType(
-        [T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("copies", T.LongType()), T.StructField("tail", T.BooleanType())]
-    )
-
-    def run(batches):
-        v, (log_p, of_class, share) = shared.value, model.value
-        head_log = np.log10(np.maximum(v.head_counts, 1))
-        head_base = np.log10(v.head_counts + 0.5) - norm
+    model = sc.broadcast((table, log_class, log_known, log_unknown))
+    id_type = source.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("blob", T.BinaryType())])
+
+    def rows_of(found):
+        """Rows of (key, kind, block, blob) without ids."""
+        key, kind, block, blob = zip(*found, strict=True) if found else ((),) * 4
+        return arrow_batch(schema, [list(key), list(kind), list(block), pa.nulls(len(key), pa.list_(pa.null())), list(blob)])
+
+    def ngram_tables(batches):
+        v, (_, of_class, share, _) = shared.value, model.value
+        p0 = lambda word, kind: v.head_counts[word] * 10.0 ** (share[kind] - of_class[kind])
+        for key, blobs in _by_key(batches):
+            yield rows_of([(key, _NGRAM_TABLE, 0, pack(*fit_words(unpack(blobs[0], *_GROUPS), p0)))])
+
+    def word_tables(batches):
+        for batch in batches:
+            h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            own, cuts = shard_cuts(h, shards)
+            yield rows_of([(int(k), _WORD_TABLE, 0, pack(h[a:b], n[a:b])) for k, a, b in zip(own, cuts[:-1], cuts[1:], strict=True)])
+
+    def ask(batches):
+        v, (log_p, of_class, share, _) = shared.value, model.value
+        head_log, head_base = np.log10(np.maximum(v.head_counts, 1)), np.log10(v.head_counts + 0.5) - norm
         for block in blocks(batches, "text"):
-            context, target, distinct, kinds, which, rows = events(block, v)
-            at, known = lookup(v.head, distinct)
-            class_score = log_p[context, target].astype(np.float64)
-            word_score = (np.where(known, head_log[at], 0.0) - of_class[kinds] + share[kinds] if len(v.head) else np.zeros(len(distinct)))[which]
+            e = events(block, v)
+            which, rows = e.found.which, e.found.rows
+            ids = block.rows.column(0)
+            name = int(np.uint64(xxhash.xxh64_intdigest(block.data.tobytes() + block.offsets.tobytes() + repr(ids.to_pylist()).encode())).view(np.int64))
+            known = e.head != NO_WORD
+            at = np.where(known, e.head, 0)
+            word_score = np.where(known, (head_log[at] if len(v.head) else 0.0) - of_class[e.kinds] + share[e.kinds], 0.0)
             in_head = known[which]
-            base = np.bincount(rows[in_head], weights=head_base[at[which[in_head]]], minlength=block.n) if len(v.head) else np.zeros(block.n)
-            score = np.bincount(rows, weights=class_score + np.where(in_head, word_score, 0.0), minlength=block.n)
-            ids, th, spread = (block.rows.column(i) for i in range(3))
-            # A text's own row finds nothing by the join; ``spread`` only divides such rows, copies too, over the partitions.
-            yield arrow_batch(schema, [ids, th, spread, np.bincount(rows, minlength=block.n), np.bincount(rows[in_head], minlength=block.n), base, score, np.ones(block.n, np.int64), np.zeros(block.n, bool)])
-            # The others: one row for each word of a text; their counts come by the join.  What the word's class
-            # takes off is in ``score`` and only counts if the word turns out to be known.
+            score = np.bincount(rows, weights=log_p[e.context, e.target].astype(np.float64) + word_score[which], minlength=block.n)
+            base = np.bincount(rows[in_head], weights=head_base[at[which[in_head]]], minlength=block.n)
+            own = pack(np.bincount(rows, minlength=block.n), np.bincount(rows[in_head], minlength=block.n), base, score)
+            yield arrow_batch(schema, [[name], [_OWN], [name], pa.ListArray.from_arrays(pa.array([0, block.n], pa.int32()), ids), [own]])
+            found = []
+            inside = np.flatnonzero(e.target >= SINGLE)
+            inside = inside[np.argsort(e.group[inside], kind="stable")]
+            group, code, row = e.group[inside], e.code[inside], rows[inside].astype(np.uint32)
+            keys, cuts = shard_cuts(group, shards)
+            for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True):
+                each = runs(group[a:b])
+                found.append((k, _NGRAM_ASK, name, pack(group[a:b][each], np.diff(np.append(each, b - a)).astype(np.uint32), code[a:b], row[a:b])))
             tail = np.flatnonzero(~in_head)
-            pair, times = np.unique(rows[tail] * len(distinct) + which[tail], return_counts=True)
-            r, w = pair // len(distinct), pair % len(distinct)
-            yield arrow_batch(schema, [ids.take(pa.array(r)), th.take(pa.array(r)), distinct[w].view(np.int64), times, np.zeros(len(r), np.int64), np.zeros(len(r)), times * (share[kinds[w]] - of_class[kinds[w]]), np.zeros(len(r), np.int64), np.ones(len(r), bool)])
-
-    hashed = source.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    parts = hashed.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("spread"), "text").mapInArrow(run, schema)
-    rare = counts.filter(F.col("n") < floor).select("hash", F.col("n").alias("count"))
-    seen = F.col("tail")
-    found = F.col("count").isNotNull()
-    c = F.coalesce("count", F.lit(0))
-    joined = parts.join(rare, "hash", "left").select(
-        "doc_id",
-        "th",
-        F.when(seen, 0).otherwise(F.col("tokens")).alias("tokens"),
-        F.when(seen, F.when(found, F.col("tokens")).otherwise(0)).otherwise(F.col("known")).alias("known"),
-        F.when(seen, F.col("tokens") * (F.log10(c + F.lit(0.5)) - F.lit(norm))).otherwise(F.col("base")).alias("base"),
-        F.when(seen, F.when(found, F.col("score") + F.col("tokens") * F.log10(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.col("tokens") * F.lit(log_unknown))).otherwise(F.col("score")).alias("score"),
-        "copies",
-    )
-    summed = joined.groupBy("doc_id", "th").agg(*(F.sum(k).alias(k) for k in ("tokens", "known", "base", "score", "copies")))
-    each = summed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    whole = lambda k: F.expr(f"{k} div copies").alias(f"n_{k}")
-    return each.select("doc_id", whole("tokens"), whole("known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+            pair, times = np.unique(which[tail] * block.n + rows[tail], return_counts=True)
+            word, row = pair // block.n, (pair % block.n).astype(np.uint32)
+            order = np.argsort(e.found.hashes[word], kind="stable")
+            word, row, times = word[order], row[order], times[order].astype(np.uint32)
+            h, kind = e.found.hashes[word], e.kinds[word].astype(np.uint8)
+            keys, cuts = shard_cuts(h, shards)
+            found += [(k, _WORD_ASK, name, pack(h[a:b], kind[a:b], row[a:b], times[a:b])) for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True)]
+            yield rows_of(found)
+
+    def answer(batches):
+        """In one shard after the other: the tables first, then what blocks ask; rows of their own are handed on."""
+        now, ngrams, words = None, None, []
+        _, of_class, share, missing = model.value
+        for batch in batches:
+            own = batch.filter(pa.array(batch.column(1).to_numpy() == _OWN))
+            if own.num_rows:
+                yield own
+            out = []
+            for key, kind, block, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                if kind == _OWN:
+                    continue
+                if key != now:
+                    now, ngrams, words = key, None, []
+                if kind == _NGRAM_TABLE:
+                    ngrams = unpack(blob, *_TABLE)
+                elif kind == _WORD_TABLE:
+                    words.append(unpack(blob, np.uint64, np.int64))
+                elif kind == _NGRAM_ASK and ngrams is not None:
+                    group, size, code, row = unpack(blob, np.uint64, np.uint32, np.uint32, np.uint32)
+                    value = word_factor(ngrams, np.repeat(group, size), code)
+                    at, which = np.unique(row[value != 0], return_inverse=True)
+                    out.append((block, _PART, block, pack(at, np.zeros(len(at), np.int64), np.zeros(len(at)), np.bincount(which, weights=value[value != 0], minlength=len(at)))))
+                elif kind == _WORD_ASK:
+                    if len(words) > 1:
+                        h, n = (np.concatenate(x) for x in zip(*words, strict=True))
+                        order = np.argsort(h)
+                        words = [(h[order], n[order])]
+                    h, k, row, times = unpack(blob, np.uint64, np.uint8, np.uint32, np.uint32)
+                    c = np.zeros(len(h), np.int64)
+                    if words:
+                        i, hit = lookup(words[0][0], h)
+                        c[hit] = words[0][1][i[hit]]
+                    at, which = np.unique(row, return_inverse=True)
+                    sums = lambda x: np.bincount(which, weights=x, minlength=len(at))  # noqa: B023, E731
+                    score = np.where(c > 0, np.log10(np.maximum(c, 1)) - of_class[k] + share[k], missing[k])
+                    out.append((block, _PART, block, pack(at, sums(times * (c > 0)).astype(np.int64), sums(times * (np.log10(c + 0.5) - norm)), sums(times * score))))
+            if out:
+                yield rows_of(out)
+
+    final = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(k, T.LongType()) for k in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(k, T.DoubleType()) for k in ("base_score", "score")])
+
+    def finish(batches):
+        """Blocks of one content, should there be some, have one name: their parts are added up and shared out alike."""
+        now, ids, sums, same = None, None, [], 0
+
+        def done():
+            n, known, base, score = sums
+            result = arrow_batch(final, [ids, n, np.rint(known / same).astype(np.int64), np.full(len(n), n_tokens), np.round(base / same, 9), np.round(score / same, 9)])
+            return [result] * same
+
+        for batch in batches:
+            lists = batch.column(3)
+            for i, (name, kind, blob) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 4)), strict=True)):
+                if name != now and same:
+                    yield from done()
+                    same = 0
+                now = name
+                if kind == _OWN:
+                    n, *more = unpack(blob, np.int64, np.int64, np.float64, np.float64)
+                    sums = [n, *(a + b for a, b in zip(more, sums[1:], strict=True))] if same else [n, *(a.astype(np.float64) for a in more)]
+                    ids, same = lists[i].values, same + 1
+                else:
+                    at, *more = unpack(blob, np.uint32, np.int64, np.float64, np.float64)
+                    for total, x in zip(sums[1:], more, strict=True):
+                        total[at] += x
+        if same:
+            yield from done()
+
+    asked = source.select("doc_id", "text").mapInArrow(ask, schema)
+    asked = asked.unionByName(learnt.filter("key >= 0").mapInArrow(ngram_tables, schema)).unionByName(counts.filter(F.col("n") < floor).select("hash", "n").mapInArrow(word_tables, schema))
+    answered = asked.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(answer, schema)
+    return answered.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(finish, final)
