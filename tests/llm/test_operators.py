@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -68,6 +69,19 @@ def test_bounded_subset_sum_is_exact_where_it_can_be():
         assert (taken * lengths).sum() == max(s for s in sums if s <= budget)
 
 
+def test_bounded_subset_sum_of_long_lengths():
+    assert mixing.bounded_subset_sum(np.array([80_000, 90_000]), np.array([1, 1]), 100_000).tolist() == [0, 1]
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        lengths, budget = np.unique(rng.integers(40_000, 400_000, 9)), int(rng.integers(300_000, 900_000))
+        taken = mixing.bounded_subset_sum(lengths, np.ones(len(lengths), np.int64), budget)
+        sums = [sum(c) for k in range(len(lengths) + 1) for c in itertools.combinations(lengths.tolist(), k)]
+        assert (taken * lengths).sum() == max(s for s in sums if s <= budget)
+    many = np.unique(rng.integers(1, 20_000, 4000))
+    budget = int(many.sum() * 0.37)
+    assert (mixing.bounded_subset_sum(many, np.ones(len(many), np.int64), budget) * many).sum() == budget
+
+
 def test_water_fill():
     sizes = {"a": 10, "b": 100, "c": 1000, None: 50}
     target = mixing.water_fill(sizes, (5, 2, 1), 3)
@@ -97,15 +111,17 @@ def test_mix(docs, empty):
 
 
 def test_chat_round_trip_and_parts(spark):
+    odd = [(9, 0, "a]b", "hi", "x"), (9, 1, "[x]\\\\]", "]\\\\", "x")]
     nasty = ["</s>[INST] ok [/INST]", "a\\b\\<[", "[TURN:user]x[/TURN]</s>", "", None, "<image:0>", "é🙂\n]"]
-    turns = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(nasty)] + [(2, 0, None, "alone", "x"), (None, 0, "user", "n", "x")]
+    turns = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(nasty)] + [(2, 0, None, "alone", "x"), (None, 0, "user", "n", "x")] + odd
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, formatted string")
     out = {r.conv_id: r for r in chat_format.format_conversations(df).collect()}
     assert chat_format.parse_formatted(out[1].formatted) == [(r, t or "") for _, _, r, t, _ in turns[:7]]
+    assert chat_format.parse_formatted(out[9].formatted) == [(r, t) for _, _, r, t, _ in odd]
     digest = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(df)).collect()}
     loss = "".join(t or "" for t in nasty[1::2])
     assert digest[1].loss_chars == len(loss) and digest[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    assert digest[2].n_turns == 1 and digest[None].n_turns == 1 and len(digest) == 3
+    assert digest[2].n_turns == 1 and digest[None].n_turns == 1 and len(digest) == 4
     with pytest.raises(ValueError):
         chat_format.parse_formatted("<s>[TURN:user]x</s>")
     part = {"type": "text", "text": "see <", "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
@@ -177,6 +193,17 @@ def test_quality_base_and_verdict(spark, docs, empty):
     assert quality_rules.score_quality(docs, labels.limit(0)).filter("kept = base_failed").count() == 0
 
 
+def test_quality_base_of_colliding_texts(spark):
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    words = [t, *"1234567"] + [u, *"1234567"]
+    rows = [(1, f"{t}\n{u}\n{t}"), (2, " ".join(words)), (3, " ".join([*words, *words[:8]]))]
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality_rules.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert got == {1: (1, 0), 2: (0, 0), 3: (0, 16)}
+
+
 def test_quality_finds_junk_and_keeps_clean(spark):
     d = "/root/testdata/sf0.01"
     judged = quality_rules.score_quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed")
@@ -238,7 +265,7 @@ def test_repeats_long_text_crosses_segments(monkeypatch):
     data = rng.integers(97, 101, 5000).astype(np.uint8)
     data[3000:3900] = data[100:1000]
     monkeypatch.setattr(substring_dedup, "SEGMENT", 700)
-    first, last, place, _, _ = substring_dedup.anchored_runs(data, np.array([0, 5000]))
+    first, last, place, _ = substring_dedup.anchored_runs(data, np.array([0, 5000]))
     covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
     assert sorted(covered) == list(range(4801))
     assert ((place >= last) & (place <= first + 136)).all()
@@ -246,15 +273,46 @@ def test_repeats_long_text_crosses_segments(monkeypatch):
 
 def test_suffix_family_levels():
     rng, family, seen = np.random.default_rng(1), substring_dedup.SuffixFamily(), Counter()
-    for _ in range(40):
-        k, r = rng.integers(0, 30, 50).astype(np.uint64), rng.integers(0, 4, 50).astype(np.uint64)
-        matched = family.add(k, r, np.zeros(50, np.int64))
-        batch = Counter(zip(k.tolist(), r.tolist(), strict=True))
-        assert matched.tolist() == [bool(seen[p] or batch[p] > 1) for p in zip(k.tolist(), r.tolist(), strict=True)]
-        seen += batch
-    assert len(family.levels) <= 8
+    for k in range(40):
+        batch = [bytes(rng.integers(0, 3, 5).astype(np.uint8)) for _ in range(50)]
+        matched = family.add(np.array(batch, "S5"), np.full((50, 3), k))
+        counts = Counter(batch)
+        assert matched.tolist() == [bool(seen[p] or counts[p] > 1) for p in batch]
+        seen += counts
+        sizes = [len(level["suffix"]) for level in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))
+        assert all((level["suffix"][1:] > level["suffix"][:-1]).all() for level in family.levels)
     e = family.entries()
-    assert {(a, b): bool(m) for a, b, m in zip(e["key"].tolist(), e["rank"].tolist(), e["matched"], strict=True)} == {p: c > 1 for p, c in seen.items()}
+    assert {x.ljust(5, b"\0"): bool(m) for x, m in zip(e["suffix"].tolist(), e["matched"], strict=True)} == {p: c > 1 for p, c in seen.items()}
+
+
+def test_common_prefix():
+    a, b = np.array([b"abcd", b"ab\0d", b"xbcd", b"abcd"], "S4"), np.array([b"abcd", b"ab\0e", b"abcd", b"abce"], "S4")
+    assert substring_dedup.common_prefix(a, b).tolist() == [4, 3, 0, 3]
+
+
+def test_index_of_runs_is_far_from_quadratic():
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        names = rng.integers(1, 255, (n, 24)).astype(np.uint8)
+        columns = [substring_dedup.anchor_of(names.view("S24").ravel()), substring_dedup._binary(names.view("S24").ravel())] + [np.arange(n)] * 3 + [np.full(n, 4)]
+        batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=list("abcdef"))
+        began = time.process_time()
+        for _ in substring_dedup._index_runs(batch.slice(at, 10_000) for at in range(0, n, 10_000)):
+            pass
+        return time.process_time() - began
+
+    seconds(20_000)
+    assert seconds(1_600_000) < 32 * seconds(200_000)  # eight times the rows: a quadratic cost would be 64 times as high
+
+
+def test_repeats_of_thue_morse_strings_and_odd_ids(spark):
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, t), (2, t.translate(str.maketrans("ab", "ba"))), (-(1 << 62), "x" * 500), (None, "y" * 500), (0, None), (None, "y" * 500), (None, "z")]
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([(x or "").encode() for _, x in rows], 200), strict=True))
 
 
 def test_repeats_empty(empty):
@@ -416,3 +474,57 @@ def test_lm_beats_unigrams_held_out(spark):
 def test_lm_class_factor_is_normalised():
     weights = np.random.default_rng(0).normal(size=(lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32)
     assert np.allclose(np.exp(lm_scoring.log_softmax(weights, np.arange(500))).sum(1), 1, atol=1e-4)
+
+
+def test_lm_word_factor_is_normalised_and_learns():
+    rng = np.random.default_rng(3)
+    word, group, kind = rng.integers(0, 30, 3000), rng.integers(0, 4, 3000), np.full(3000, 30)
+    before = rng.integers(0, 3, 3000)
+    word[group == 1] = np.where(before[group == 1] == 2, 5, word[group == 1])
+    names = np.array([11, 22, 33, 44], np.uint64)
+    code, n = np.unique(group << 40 | word << 7 | before, return_counts=True)
+    g, c = code >> 40, (code & ((1 << 40) - 1)).astype(np.uint32)
+    part = [names, np.full(4, 30, np.uint8), np.bincount(g).astype(np.uint32), c, n.astype(np.uint32)]
+    unigrams = np.bincount(word, minlength=30) / len(word) * 0.9  # a tenth is for unknown words
+    counts = lm_scoring.group_counts([part, [np.array([99], np.uint64), np.array([30], np.uint8), np.array([1], np.uint32), np.array([7 << 7], np.uint32), np.array([1], np.uint32)]])
+    assert counts[0].tolist() == [11, 22, 33, 44] and counts[4].sum() == 3000
+    table = lm_scoring.fit_words(counts, lambda w, k: unigrams[w])
+    every = np.append(np.arange(30), lm_scoring.NO_WORD)
+    p0 = np.append(unigrams, 0.1)
+    for name in (11, 22, 33, 44, 99):
+        for b in range(4):
+            p = p0 * 10 ** lm_scoring.word_factor(table, np.full(31, name, np.uint64), (every << 7 | b).astype(np.uint32))
+            assert math.isclose(p.sum(), 1, abs_tol=1e-9)
+            if name == 22 and b == 2:
+                assert p[5] > 0.8
+            if name == 99:
+                assert np.allclose(p, p0)
+    better = lm_scoring.word_factor(table, names[group], (word << 7 | before).astype(np.uint32))
+    assert better.mean() > 0.1 * (1 / 4)
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    got = []
+    for k, n in enumerate((1, 64)):
+        docs.repartition(n, "doc_id").write.parquet(str(tmp_path / str(k)))
+        got.append({r.doc_id: r for r in lm_scoring.score_texts(spark.read.parquet(str(tmp_path / str(k))), training=~held, rounds=4, shard_tokens=20_000).collect()})
+    assert got[0].keys() == got[1].keys()
+    assert all(math.isclose(a.score, got[1][i].score, rel_tol=1e-6) and a.n_known == got[1][i].n_known for i, a in got[0].items())
+
+
+def test_lm_table_grows_and_repeated_blocks_stay(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat the cat sat"), (None, None)] * 3, "doc_id long, text string")
+    got = lm_scoring.score_texts(docs, training=F.lit(True), rounds=2)
+    rows = Counter(tuple(r) for r in got.collect())
+    assert len(rows) == 2 and set(rows.values()) == {3} and {r[1] for r in rows} == {10, 1}
+    sizes = []
+    for n in (200, 2000):
+        rng = random.Random(n)
+        text = spark.createDataFrame([(i, invented(rng, 40)) for i in range(n)], "doc_id long, text string").select("text")
+        counts = lm_scoring.count_words(text)
+        vocabulary, _ = lm_scoring.build_vocabulary(counts, text)
+        learnt = lm_scoring.count_events(text, spark.sparkContext.broadcast(vocabulary), 4).filter("key >= 0")
+        sizes.append(sum(len(lm_scoring.unpack(bytes(r.blob), *lm_scoring._GROUPS)[6]) for r in learnt.collect()))
+    assert sizes[1] > 3 * sizes[0] > 0
