@@ -3,11 +3,18 @@
 Fixed patterns find the protected entities: e-mail addresses, IP addresses, card and
 phone numbers.  Then the corpus tells which words give such an entity away even when
 it is removed (Sanchez and Batet's disclosure measure): with probabilities estimated
-from document counts, a word t discloses an entity e to the degree PMI(e; t) / IC(e),
+from counts of texts, a word t discloses an entity e to the degree PMI(e; t) / IC(e),
 which is 1 if t is found nowhere but with e.  Words above one threshold are replaced
 by their shape, above a higher one they are removed.
 
-Copies must not count as evidence: joint counts are numbers of distinct contexts.
+All counts have one unit, the distinct text, and a word occurs with an entity if it
+stands anywhere in the same text.  Thresholds: at 0.75 an intruder who reads the word has
+learnt three quarters of the entity's information, so that N ** 0.25 candidates are left of
+N; at 0.9 N ** 0.1, a handful.  Two tests keep chance and copies out.  A word must be seen
+with the entity so often that this would happen by chance once in a hundred corpora, over all
+pairs tested (p(e) ** n against 0.01 / pairs), and in three texts at least.  And at least half
+of the texts that speak for a pair, and three of them, must differ in a min-hash of their
+three-word shingles, which near copies mostly share.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-GENERALISE, REMOVE, SUPPORT, WINDOW, BROADCAST_ROWS = 0.75, 0.9, 3, 5, 50_000
+GENERALISE, REMOVE, SUPPORT, CHANCE, BROADCAST_ROWS = 0.75, 0.9, 3, 0.01, 50_000
 WORD = r"[\p{L}\p{N}]++"
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 
@@ -98,54 +105,75 @@ def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
     return docs.withColumn("_base", F.concat(*(matches(column, p, k, lambda v, k=k: _valid(k, v), may[k]) for k, p in KINDS.items())))
 
 
-def mentions(based: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row key, entity, context, terms): each entity with the words of up to ``window`` places on either side.
+def words_of(text: Column) -> Column:
+    """The words of a text, in order and lower case: three letters or more, none from an e-mail address."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, KINDS["email"], " ")).otherwise(text)
+    return F.filter(F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), F.lower), lambda w: (F.length(w) >= 3) & ~w.rlike("[0-9]"))
 
-    A word that lies in or next to another entity has digits or stands beside @ and is left out.
+
+def sketch(words: Column) -> Column:
+    """The least hash of a text's three-word shingles."""
+    shingle = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), shingle))
+
+
+def texts_with_entities(based: DataFrame) -> DataFrame:
+    """(_hash, entities, words, sketch), one row per distinct text that has an entity."""
+    told = let(words_of(F.col("_text")), lambda w: F.struct(F.array_distinct(w).alias("words"), sketch(w).alias("sketch")))
+    entities = F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))
+    one = F.when(F.size("_base") > 0, F.array(F.struct(entities.alias("entities"), told.alias("told"))))
+    # Not a filter on _base: Spark would compute the spans a second time for it.
+    found = based.select("_hash", F.explode_outer(one).alias("one")).filter(F.col("one").isNotNull())
+    return found.dropDuplicates(["_hash"]).select("_hash", "one.entities", "one.told.words", "one.told.sketch")
+
+
+def entity_classes(texts: DataFrame, support: int) -> DataFrame:
+    """(_hash, class, of_entity): the texts of each entity that ``support`` texts have.
+
+    Entities that stand in the very same texts have the same counts with every word; they are
+    one class, so a directory of thousands of addresses costs a row per text, not one per address.
     """
-    span = F.col("span")
-    left = F.substring(F.col("_text"), F.greatest(span["start"] - 160, F.lit(0)) + 1, F.least(span["start"], F.lit(160)))
-    right = F.substring(F.col("_text"), span["stop"] + 1, F.lit(160))
-    words = lambda t: F.filter(F.split(F.lower(t), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    plain = lambda a: F.filter(F.transform(a, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: (F.length(w) >= 3) & ~w.rlike(r"[0-9@]"))
-    # Not explode(): the filter that Spark infers for it would compute the spans a second time.
-    out = based.select("_id", "_hash", "_text", F.explode_outer("_base").alias("span")).filter(F.col("span").isNotNull())
-    # The word that a window's edge may have cut is the first on the left and the last on the right.
-    before, after = words(left), words(right)
-    before = F.slice(before, F.greatest(F.size(before) - window + 1, F.lit(1)), window)
-    out = out.select("_id", "_hash", F.lower(span["value"]).alias("entity"), before.alias("before"), F.slice(after, 1, window).alias("after"))
-    return out.select("_id", "_hash", "entity", F.xxhash64("before", "after").alias("context"), F.array_distinct(F.concat(plain(F.col("before")), plain(F.col("after")))).alias("terms"))
-
-
-def disclosing_terms(docs: DataFrame, said: DataFrame, *, support: int = SUPPORT, threshold: float = GENERALISE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(entity, term, disclosure) for pairs with ``support`` distinct contexts and a disclosure of at least ``threshold``.
-
-    Frequencies come from every document: N documents, df(t) those with the word, df(e) and
-    df(e, t) the distinct contexts of the entity and of both.  Only words that reach the
-    support beside some entity, and that may disclose it, are counted; their list is broadcast
-    if it has at most ``broadcast_rows`` rows and joined by shuffle otherwise.
+    each = texts.select("_hash", F.explode("entities").alias("entity"))
+    sets = each.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor("_hash").alias("x"), F.bit_xor(F.xxhash64("_hash")).alias("y"))
+    sets = sets.filter(F.col("of_entity") >= support).select("entity", F.xxhash64("of_entity", "x", "y").alias("class"), "of_entity")
+    return each.join(sets, "entity").select("_hash", "class", "of_entity").distinct()
+
+
+def disclosure(n: Column, both: Column, of_entity: Column, of_term: Column) -> Column:
+    """PMI(e; t) / IC(e) from counts of texts: all, with both, with the entity, with the word."""
+    information = F.log(n / of_entity)
+    return F.when(information > 0, F.log(n * both / (of_entity * of_term)) / information).otherwise(0.0)
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, *, support: int = SUPPORT, threshold: float = GENERALISE, chance: float = CHANCE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(_hash, term, class, disclosure): the words of each text that disclose an entity of it to at least ``threshold``.
+
+    Counts cover every distinct text of ``docs``.  Which texts have a word at all is only
+    counted for words that may disclose something, by a bound: a word is in no fewer texts than
+    have it beside some entity.  Their list is broadcast if it has at most ``broadcast_rows``
+    rows and joined by shuffle otherwise.
     """
-    pairs = said.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    of_entity = said.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    total = docs.count()
-    n = F.lit(float(max(total, 2)))
-    information = F.log(n / F.col("of_entity"))
-    pointwise = F.log(n * F.col("both") / (F.col("of_entity") * F.greatest("of_term", "both")))
-    degree = F.when(information > 0, pointwise / information).otherwise(0.0)
-    # A word is in at least as many documents as have it beside an entity.  With that for df(t)
-    # the disclosure is bounded from above, and a pair below the threshold needs no count.
-    beside = said.select("_id", "_hash", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    pairs = pairs.join(of_entity, "entity").join(beside, "term").filter(degree >= threshold).drop("of_term")
-    pairs = checkpointed(pairs)
+    n = F.lit(float(max(docs.select("_hash").distinct().count(), 2)))
+    classes = checkpointed(entity_classes(texts, support))
+    beside = texts.join(classes.select("_hash").distinct(), "_hash", "left_semi").select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= support)
+    said = classes.join(texts, "_hash").select("_hash", "class", "of_entity", "sketch", F.explode("words").alias("term"))
+    both = checkpointed(said.groupBy("class", "of_entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support))
+    tested = F.lit(float(max(both.count(), 1)))
+    certain = F.col("both") * F.log(n / F.col("of_entity")) >= F.log(tested / F.lit(chance))
+    possible = both.filter(certain).join(beside, "term").filter(disclosure(n, F.col("both"), F.col("of_entity"), F.col("beside")) >= threshold)
+    rows = checkpointed(said.drop("of_entity").join(possible.select("class", "term", "of_entity", "both"), ["class", "term"]))
+    # Near copies share most of their shingles, so also their sketch: they are no evidence.
+    sketches = rows.groupBy("class", "term", "of_entity", "both", "sketch").agg(F.count(F.lit(1)).alias("_")).groupBy("class", "term", "of_entity", "both").agg(F.count(F.lit(1)).alias("sketches"))
+    pairs = checkpointed(sketches.filter((F.col("sketches") >= support) & (2 * F.col("sketches") >= F.col("both"))).drop("sketches"))
     candidates = pairs.select("term").distinct()
     known = candidates.limit(broadcast_rows + 1).count()
     if not known:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    words = F.array_distinct(F.transform(F.split(F.lower("_text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    spread = docs.select(F.explode(words).alias("term"))
+        return rows.select("_hash", "term", "class", F.lit(0.0).alias("disclosure")).limit(0)
+    spread = docs.select("_hash", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term"))
     spread = spread.join(F.broadcast(candidates) if known <= broadcast_rows else candidates, "term", "left_semi")
-    of_term = spread.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    return pairs.join(of_term, "term").select("entity", "term", degree.alias("disclosure")).filter(F.col("disclosure") >= threshold)
+    of_term = spread.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    degrees = pairs.join(of_term, "term").select("class", "term", disclosure(n, F.col("both"), F.col("of_entity"), F.col("of_term")).alias("disclosure"))
+    return rows.select("_hash", "class", "term").join(degrees.filter(F.col("disclosure") >= threshold), ["class", "term"]).select("_hash", "term", "class", "disclosure")
 
 
 def _digest_text(spans: Column) -> Column:
@@ -174,7 +202,7 @@ def sanitise(
     generalise: float = GENERALISE,
     remove: float = REMOVE,
     support: int = SUPPORT,
-    window: int = WINDOW,
+    chance: float = CHANCE,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per input row: doc_id, spans (array of kind, start, stop, label), sanitised text.
@@ -184,21 +212,20 @@ def sanitise(
     Kinds are email, ip, card, phone and term, in this order and then by start; positions
     are code points, the stop exclusive.  A null text is empty: it has no span and stays
     null in ``sanitised``.  Repeated rows are treated alike, each on its own; null ids are
-    kept.  An empty table gives an empty result.  Words are looked for in every document
-    that has the entity which they disclose.
+    kept.  An empty table gives an empty result.  A very long text is read whole; its spans are
+    cut out one after the other.  Disclosing words go from the texts that have the entity which
+    they disclose.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").isNull().alias("_null"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[whole_row(docs)] * carry).withColumn("_hash", F.xxhash64("_text"))
     based = base_spans(source)
-    said = checkpointed(mentions(based, window))
-    pairs = checkpointed(disclosing_terms(source, said, support=support, threshold=generalise, broadcast_rows=broadcast_rows))
-    told = said.select("_id", "_hash", "entity").join(pairs, "entity").groupBy("_id", "_hash", "term").agg(F.max("disclosure").alias("d"))
-    told = told.groupBy("_id", "_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("_told")).withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
-    told = checkpointed(told)
+    texts = checkpointed(texts_with_entities(based))
+    told = disclosing_terms(source, texts, support=support, threshold=generalise, chance=chance, broadcast_rows=broadcast_rows).groupBy("_hash", "term").agg(F.max("disclosure").alias("d"))
+    told = checkpointed(told.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("_told")).withColumnRenamed("_hash", "_hash2"))
     few = told.limit(broadcast_rows + 1).count()
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,label:string>>")
     base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     if few:
-        based = based.join(F.broadcast(told) if few <= broadcast_rows else told, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
+        based = based.join(F.broadcast(told) if few <= broadcast_rows else told, F.col("_hash") == F.col("_hash2"), "left")
         degree = lambda v: F.col("_told")[F.lower(v)]
         shape = lambda v: F.when(v.rlike(r"^\p{Lu}"), "[NAME]").when(v.rlike(r"^\p{N}"), "[NUMBER]").otherwise("[WORD]")
         risky = matches(F.col("_text"), WORD, "term", lambda v: degree(v).isNotNull(), F.col("_told").isNotNull())
