@@ -402,8 +402,64 @@ def test_base_spans_against_re(spark, docs, empty):
     assert pii.sanitise(empty).count() == 0
 
 
+def brute_disclosure(texts, chance=0.01):
+    """(text, word) -> disclosure, from plain counts over distinct texts."""
+    texts = sorted(set(texts))
+    words, entities, sketches = [], [], []
+    for t in texts:
+        w = [x.lower() for x in re.findall(r"[^\W_]+", re.sub(PATTERNS["email"], " ", t))]
+        w = [x for x in w if len(x) >= 3 and not re.search("[0-9]", x)]
+        words.append(set(w))
+        sketches.append(frozenset([tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))]))
+        entities.append({m.group().lower() for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m.group())})
+    n = len(texts)
+    of_entity, of_term, both = Counter(e for s in entities for e in s), Counter(w for s in words for w in s), Counter((e, w) for s, t in zip(entities, words, strict=True) for e in s for w in t)
+    sets = {}
+    for e, c in of_entity.items():
+        if c >= 3:
+            sets.setdefault(frozenset(i for i, s in enumerate(entities) if e in s), e)
+    tested = {(e, w): c for (e, w), c in both.items() if c >= 3 and e in sets.values()}
+    out = {}
+    for (e, w), c in tested.items():
+        ic = math.log(n / of_entity[e])
+        d = math.log(n * c / (of_entity[e] * of_term[w])) / ic if ic > 0 else 0
+        if d >= 0.75 and c * ic >= math.log(len(tested) / chance):
+            own = [i for i in range(n) if e in entities[i] and w in words[i]]
+            if len({sketches[i] for i in own}) == len(own):  # the texts of this test are copies or quite different
+                for i in own:
+                    out[texts[i], w] = max(d, out.get((texts[i], w), 0))
+    return out
+
+
+def test_disclosing_words_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = [invented(rng, rng.randint(20, 60)) for _ in range(300)]
+    for k in range(6):  # a signature that repeats word for word in otherwise different texts
+        texts[k] += " best regards Zorbaq Quill jane@corp.example.com"
+    for k in range(6, 12):
+        texts[k] = f"Wexel {texts[k]} +44 20 7946 0958 and more"
+    texts[12] += " Wexel"
+    for k in range(13, 17):  # copies prove nothing
+        texts[k] = f"{texts[13]} Klomp tom@corp.example.com tail{k - 13}"
+    many = " ".join(f"u{i}@list.example.org" for i in range(40))
+    for k in range(20, 25):
+        texts[k] += f" Directory {many}"
+    texts += [texts[0]] * 5
+    got = {}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.sanitise(df).collect():
+        for s in r.spans:
+            if s.kind == "term":
+                got[texts[r.doc_id], texts[r.doc_id][s.start : s.stop].lower()] = s.label
+    want = brute_disclosure([t for k, t in enumerate(texts) if k not in range(13, 17)])
+    assert {w for _, w in got} >= {"zorbaq", "quill", "wexel", "directory"} and "klomp" not in {w for _, w in got}
+    assert got.keys() == want.keys()
+    assert all((got[k] == "") == (want[k] >= 0.9) for k in got)
+
+
 def test_disclosing_words_go(spark):
     rows = [(i, f"intro{i} text alpha{i} beta{i} met Zorbaq about jane@corp.example.com on gamma{i} day{i} so") for i in range(5)]
+    rows = [(i, t + " " + " ".join(chr(97 + (i * 7 + k) % 26) * 4 for k in range(12))) for i, t in rows]
     rows += [(100 + i, f"the plain common words number {i} about met nothing of note") for i in range(300)] + [(500, None)]
     got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(5):
@@ -484,9 +540,9 @@ def test_lm_word_factor_is_normalised_and_learns():
     names = np.array([11, 22, 33, 44], np.uint64)
     code, n = np.unique(group << 40 | word << 7 | before, return_counts=True)
     g, c = code >> 40, (code & ((1 << 40) - 1)).astype(np.uint32)
-    part = [names, np.full(4, 30, np.uint8), np.bincount(g).astype(np.uint32), c, n.astype(np.uint32)]
+    part = lm_scoring.unpack_ngrams(lm_scoring.pack_ngrams(names[g], np.full(len(g), 30, np.uint8), c, n))
     unigrams = np.bincount(word, minlength=30) / len(word) * 0.9  # a tenth is for unknown words
-    counts = lm_scoring.group_counts([part, [np.array([99], np.uint64), np.array([30], np.uint8), np.array([1], np.uint32), np.array([7 << 7], np.uint32), np.array([1], np.uint32)]])
+    counts = lm_scoring.group_counts([part, (np.array([99], np.uint64), np.array([30], np.uint8), np.array([7 << 7], np.uint32), np.array([1]))])
     assert counts[0].tolist() == [11, 22, 33, 44] and counts[4].sum() == 3000
     table = lm_scoring.fit_words(counts, lambda w, k: unigrams[w])
     every = np.append(np.arange(30), lm_scoring.NO_WORD)
@@ -503,6 +559,13 @@ def test_lm_word_factor_is_normalised_and_learns():
     assert better.mean() > 0.1 * (1 / 4)
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 500):
+        a = np.sort(rng.integers(0, 1 << 62, n)).astype(np.uint64)
+        assert lm_scoring.unpack_sorted(lm_scoring.pack_sorted(a)).tolist() == a.tolist()
+
+
 def test_lm_scores_do_not_depend_on_the_layout(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
