@@ -7,8 +7,10 @@ every block as main text or not, so that a block is judged by what stands around
 
 There are no labelled pages, so it is trained here on weak labels: a bounded sample of
 the table's own pages and pages from a small template grammar, labelled by semantic
-elements and telling class names, which are hidden from the labeller at random so that
-it learns to use the context.
+elements and telling class names.  The labeller is not to repeat that rule: it sees every
+training page three times, as it is, without its class names, and with its semantic
+elements read as plain ones too, and must find the same labels from the kind, length, links
+and order of the blocks alone.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,18 @@ from .arrow_text import SpanHash, blocks, word_spans
 from .shared import arrow_batch
 
 # HTML's element kinds.
-BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"br", "body", "html", "head", "button", "option", "legend", "caption"}
-BOILER_TAGS = frozenset("nav header footer aside form head title button select menu dialog".split())
+BOILER_TAGS = frozenset("nav header footer aside form head title button select textarea menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 
+# Comments; script and style, whose content is no text; other tags with their attributes; what else looks like markup.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|math|object)\b(?:.*?</\1\s*>|.*\Z)"
+    r"|<(script|style)(?=[\s/>])(?:.*?</\1(?=[\s/>])[^>]*(?:>|\Z)|.*\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)"
     r"|</?[a-z!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -51,36 +57,89 @@ INPUT = PATH + WORDS + OTHER
 SAMPLE_PAGES, SAMPLE_BLOCKS = 192, 160
 
 
-def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of each block with text, in page order.
+class Level:
+    """An open element, linked to the one around it; what its path says is worked out once per element."""
 
-    A path lists the open elements from the root: tags, and their class and id words with
-    a dot before them.  Character references are decoded, white space is one space.
+    __slots__ = ("boiler", "depth", "main", "names", "parent", "seen", "tag")
+
+    def __init__(self, parent: Level | None, tag: str, classes: tuple[str, ...]):
+        self.parent, self.tag = parent, tag
+        self.names = (tag, *classes) if tag in BLOCK_TAGS or classes else ()
+        self.depth = (parent.depth if parent else 0) + len(self.names)
+        self.boiler = bool(parent and parent.boiler) or any(n in BOILER_TAGS or n[0] == "." and n[1:] in BOILER_WORDS for n in self.names)
+        self.main = bool(parent and parent.main) or tag in MAIN_TAGS
+        self.seen: list[np.ndarray | None] = [None] * 3
+
+    def vector(self, hide: int) -> np.ndarray:
+        """The hashed names of the path: all of them, or without classes (1), or with semantic elements as div too (2)."""
+        todo, at = [], self
+        while at is not None and at.seen[hide] is None:
+            todo.append(at)
+            at = at.parent
+        total = at.seen[hide] if at is not None else np.zeros(PATH, np.float32)
+        for level in reversed(todo):
+            if level.names:
+                total = total.copy()
+                for name in level.names:
+                    if hide and name[0] == ".":
+                        continue
+                    if hide == 2 and (name in BOILER_TAGS or name in MAIN_TAGS):
+                        name = "div"
+                    h = zlib.crc32(name.encode())
+                    total[h % PATH] += 1.0 if h >> 16 & 1 else -1.0
+            level.seen[hide] = total
+        return np.clip(total, -2, 2)
+
+
+class Leaf(NamedTuple):
+    """A block of text: the element it stands in, the text, and how many of its characters are inside links."""
+
+    level: Level
+    text: str
+    linked: int
+
+
+_ROOT = Level(None, "", ())
+
+
+def leaf_blocks(html: str) -> list[Leaf]:
+    """The blocks with text, in page order.  Character references are decoded, white space is one space.
+
+    The time is linear in the page, however deep its elements nest.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[Leaf] = []
+    stack: list[Level] = []
+    outer: list[int] = []  # places of the block elements in the stack
+    n_open: Counter[str] = Counter()
     pieces: list[str] = []
     linked = 0
-    path: tuple[str, ...] | None = None
+    level: Level | None = None
 
     def flush() -> None:
-        nonlocal linked, path
+        nonlocal linked, level
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append((path or (), text, min(linked, len(text))))
+                out.append(Leaf(level or _ROOT, text, min(linked, len(text))))
             pieces.clear()
-        linked, path = 0, None
+        linked, level = 0, None
 
     def add(text: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, level
         if text:
-            if path is None and not text.isspace():
-                path = tuple(name for tag, own in stack if tag in BLOCK_TAGS or own for name in (tag, *own))
+            if level is None and not text.isspace():
+                level = stack[-1] if stack else _ROOT
             pieces.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if n_open["a"]:
                 linked += len(text)
 
+    def close(at: int) -> None:
+        for element in stack[at:]:
+            n_open[element.tag] -= 1
+        del stack[at:]
+        while outer and outer[-1] >= at:
+            outer.pop()
+
     at = 0
     for m in _MARKUP.finditer(html):
         add(html[at : m.start()])
@@ -91,56 +150,39 @@ def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCK_TAGS:
             flush()
         if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if n_open[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or tag == "li" and stack[i][0] == "li":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK_TAGS:
-                    break
-        if tag not in VOID_TAGS:
+        if tag in CLOSES_P and outer and (stack[outer[-1]].tag == "p" or tag == "li" and stack[outer[-1]].tag == "li"):
+            close(outer[-1])
+        if tag not in VOID_TAGS and not (m.group(4).endswith("/") and tag not in BLOCK_TAGS):
             attributes = m.group(4)
             own = tuple("." + w for a in _NAME.findall(attributes) for w in _TOKEN.findall("".join(a).lower())) if "=" in attributes else ()
-            stack.append((tag, own))
+            if tag in BLOCK_TAGS:
+                outer.append(len(stack))
+            stack.append(Level(stack[-1] if stack else _ROOT, tag, own))
+            n_open[tag] += 1
     add(html[at:])
     flush()
     return out
 
 
-def weak_label(path: tuple[str, ...], has_main: bool) -> bool:
+def weak_labels(page: list[Leaf]) -> list[bool]:
     """Main text by semantics alone: inside article or main if the page has one, and not inside anything telling."""
-    if any(n in BOILER_TAGS or n[0] == "." and n[1:] in BOILER_WORDS for n in path):
-        return False
-    return not has_main or any(n in MAIN_TAGS for n in path)
-
-
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+    has_main = any(b.level.main for b in page)
+    return [not b.level.boiler and (b.level.main or not has_main) for b in page]
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    if path not in _PATHS:
-        v = np.zeros(PATH, np.float32)
-        for name in path:
-            h = zlib.crc32(name.encode())
-            v[h % PATH] += 1.0 if h >> 16 & 1 else -1.0
-        if len(_PATHS) > 50_000:
-            _PATHS.clear()
-        _PATHS[path] = np.clip(v, -2, 2)
-    return _PATHS[path]
-
-
-def vectors(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> np.ndarray:
-    """The vectors of all blocks of some pages, one row each."""
+def vectors(pages: list[list[Leaf]], hide: int = 0) -> np.ndarray:
+    """The vectors of all blocks of some pages, one row each; ``hide`` as in :meth:`Level.vector`."""
     flat = [b for page in pages for b in page]
     out = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return out
-    out[:, :PATH] = np.stack([_path_vector(p) for p, _, _ in flat])
+    out[:, :PATH] = np.stack([b.level.vector(hide) for b in flat])
     column = pa.RecordBatch.from_arrays([pa.array([t.lower() for _, t, _ in flat], pa.large_string())], names=["t"])
     at = 0
     n_words = np.zeros(len(flat))
@@ -155,7 +197,7 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> np.ndarray:
     length = np.array([len(t) for _, t, _ in flat], np.float64)
     place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages if p])
     other = np.stack(
-        (np.log1p(length) / 6, np.log1p(n_words) / 5, [link / n for (_, _, link), n in zip(flat, length, strict=True)], [t[-1] in ".!?…:;。" for _, t, _ in flat], place, [min(len(p), 12) / 12 for p, _, _ in flat], [bool(p) and re.fullmatch("h[1-6]", p[-1]) is not None for p, _, _ in flat], np.ones(len(flat))),
+        (np.log1p(length) / 6, np.log1p(n_words) / 5, [link / n for (_, _, link), n in zip(flat, length, strict=True)], [t[-1] in ".!?…:;。" for _, t, _ in flat], place, [min(b.level.depth, 12) / 12 for b in flat], [b.level.tag in HEADINGS for b in flat], np.ones(len(flat))),
         axis=1,
     )
     out[:, PATH + WORDS :] = other
@@ -175,8 +217,8 @@ class Labeller:
             self.p[f"b{d}"] = np.repeat([0.0, 1.0, 0.0, 0.0], h)  # input, forget, output, candidate
         self.p["o"], self.p["c"] = rng.normal(0, 1 / np.sqrt(2 * h), 2 * h), np.zeros(1)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str):
-        """x (T, B, D), mask (T, B); the states of every step, with what the way back needs."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+        """x (T, B, D), mask (T, B); the states of every step, and in training what the way back needs."""
         steps, batch, _ = x.shape
         h = self.h
         inner = x.reshape(-1, x.shape[2]) @ self.p[f"x{d}"] + self.p[f"b{d}"]
@@ -191,7 +233,8 @@ class Labeller:
             m = mask[t][:, None]
             new = gate[:, h : 2 * h] * cell + gate[:, :h] * cand
             squashed = np.tanh(new)
-            kept.append((state, cell, gate, cand, squashed))
+            if keep:
+                kept.append((state, cell, gate, cand, squashed))
             state = np.where(m, gate[:, 2 * h :] * squashed, state)
             cell = np.where(m, new, cell)
             out[t] = state
@@ -225,14 +268,14 @@ class Labeller:
 
     def scores(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
         mask = np.arange(len(x))[:, None] < lengths
-        forward, kf = self._pass(x, mask, "f")
-        backward, kb = self._pass(self._reverse(x, lengths), mask, "b")
+        forward, kf = self._pass(x, mask, "f", keep)
+        backward, kb = self._pass(self._reverse(x, lengths), mask, "b", keep)
         both = np.concatenate((forward, self._reverse(backward, lengths)), axis=2)
         logit = both @ self.p["o"] + self.p["c"][0]
         return (logit, mask, both, kf, kb) if keep else logit
 
-    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, batch: int = 24, rate: float = 0.02, hide: float = 0.3, seed: int = 5) -> Labeller:
-        """Adam on the mean logistic loss; in part of the pages the path is hidden in part."""
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Labeller:
+        """Adam on the mean logistic loss."""
         rng = np.random.default_rng(seed)
         m1, m2, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         for epoch in range(epochs):
@@ -243,8 +286,6 @@ class Labeller:
                 x, y = np.zeros((lengths.max(), len(own), INPUT)), np.zeros((lengths.max(), len(own)))
                 for j, (xs, ys) in enumerate(own):
                     x[: len(ys), j], y[: len(ys), j] = xs, ys
-                    if rng.random() < hide:
-                        x[:, j, :PATH] *= rng.random(PATH) > 0.3
                 logit, mask, both, kf, kb = self.scores(x, lengths, True)
                 d_logit = np.where(mask, 1 / (1 + np.exp(-logit)) - y, 0) / mask.sum()
                 grads = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -261,14 +302,16 @@ class Labeller:
                     self.p[k] = self.p[k] - pace * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def label(self, pages: list[list], batch: int = 128) -> list[np.ndarray]:
-        """For each page a flag per block."""
-        x = vectors(pages)
+    def label(self, pages: list[list[Leaf]], cells: int = 1 << 14, hide: int = 0) -> list[np.ndarray]:
+        """For each page a flag per block.  Pages of like length go together, at most ``cells`` padded blocks at a time (one page at least)."""
+        x = vectors(pages, hide)
         ends = np.cumsum([len(p) for p in pages])
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), batch):
-            own = order[at : at + batch]
+        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: -len(pages[i]))
+        at = 0
+        while at < len(order):
+            own = order[at : at + max(1, cells // len(pages[order[at]]))]
+            at += len(own)
             lengths = np.array([len(pages[i]) for i in own])
             seq = np.zeros((lengths.max(), len(own), INPUT), np.float32)
             for j, i in enumerate(own):
@@ -290,7 +333,12 @@ def template_pages(n: int, seed: int = 3) -> Iterator[str]:
     words = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
     sentence = lambda a=4, b=30: words(a, b).capitalize() + "."
     prose = lambda: " ".join(sentence() for _ in range(rng.randrange(1, 5)))
-    links = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 4)}</a></li>' for _ in range(rng.randrange(2, 9))) + "</ul>"
+    link = lambda: f'<a href="/{word()}">{words(1, 4)}</a>'
+
+    def links() -> str:
+        outer, inner = rng.choice((("ul", "li"), ("ul", "li"), ("div", "div"), ("div", "p"), ("div", "span")))
+        return f"<{outer}>" + "".join(f"<{inner}>{link()}</{inner}> " for _ in range(rng.randrange(2, 9))) + f"</{outer}>"
+
     may = lambda p, s: s if rng.random() < p else ""
     pick = lambda *a: rng.choice(a)
 
@@ -313,30 +361,32 @@ def template_pages(n: int, seed: int = 3) -> Iterator[str]:
         yield page[: rng.randrange(len(page) // 2, len(page))] if rng.random() < 0.1 else page
 
 
-def training_sequence(page: list) -> tuple[np.ndarray, np.ndarray]:
-    has_main = any(n in MAIN_TAGS for p, _, _ in page for n in p)
-    return vectors([page]), np.array([weak_label(p, has_main) for p, _, _ in page], np.float64)
+def training_sequences(page: list[Leaf], most: int = SAMPLE_BLOCKS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A page three times, with more and more of its path hidden; of a long page half of ``most`` blocks from either end."""
+    labels = np.array(weak_labels(page), np.float64)
+    if len(page) > most:
+        page, labels = page[: most // 2] + page[-(most // 2) :], np.concatenate((labels[: most // 2], labels[-(most // 2) :]))
+    return [(vectors([page], hide), labels) for hide in range(3)] if page else []
 
 
 def train(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES, sample_blocks: int = SAMPLE_BLOCKS, templates: int = 160) -> Labeller:
-    """Fits on at most ``sample_pages`` pages of the table, the first by hash of the id, and ``templates`` invented ones.
+    """Fits on about ``sample_pages`` pages of the table, drawn by hash of id and html, and ``templates`` invented ones.
 
     Executors send vectors of at most ``sample_blocks`` blocks a page, never the pages.
     """
     schema = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
     total = pages.count()
     share = min(1.0, sample_pages / max(total, 1))
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(29), id_col), 11).cast("double") / F.lit(float(1 << 53))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(29), id_col, F.col(html_col).cast("string")), 11).cast("double") / F.lit(float(1 << 53))
 
     def run(batches):
         for batch in batches:
-            rows = [training_sequence(leaf_blocks(h.as_py() or "")[:sample_blocks]) for h in batch.column(0)]
-            rows = [(x.astype(np.float16).tobytes(), y.astype(np.uint8).tobytes()) for x, y in rows if len(y)]
+            rows = [(x.astype(np.float16).tobytes(), y.astype(np.uint8).tobytes()) for h in batch.column(0) for x, y in training_sequences(leaf_blocks(h.as_py() or ""), sample_blocks)]
             yield arrow_batch(schema, [[x for x, _ in rows], [y for _, y in rows]])
 
-    drawn = sorted((bytes(r.x), bytes(r.y)) for r in pages.filter(hashed < share).select(F.col(html_col).cast("string")).mapInArrow(run, schema).collect())
+    drawn = sorted({(bytes(r.x), bytes(r.y)) for r in pages.filter(hashed < share).select(F.col(html_col).cast("string")).mapInArrow(run, schema).toLocalIterator()})[: 3 * 2 * sample_pages]
     sequences = [(np.frombuffer(x, np.float16).reshape(-1, INPUT).astype(np.float64), np.frombuffer(y, np.uint8).astype(np.float64)) for x, y in drawn]
-    sequences += [s for s in (training_sequence(leaf_blocks(p)) for p in template_pages(templates)) if len(s[1])]
+    sequences += [s for p in template_pages(templates) for s in training_sequences(leaf_blocks(p))]
     return Labeller().fit(sequences)
 
 
@@ -346,7 +396,9 @@ def extract_main_text(pages: DataFrame, model: Labeller | None = None, *, id_col
     The blocks that the labeller calls main text, in page order.  A null or empty page, or
     one without main text, has an empty text.  Repeated rows are alike, each on its own;
     null ids and urls stay null; other columns are not read.  Broken markup is read as far
-    as it goes: an unfinished tag at the end is dropped, its text before is kept.
+    as it goes: an unfinished tag at the end is dropped, its text before is kept.  Only script
+    and style lose their content before it is judged.  A very long page is read whole, in
+    memory in proportion to its blocks.  An empty table gives an empty result.
     """
     model = model or train(pages, html_col=html_col, id_col=id_col)
     shared = pages.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in model.p.items()})
@@ -358,7 +410,7 @@ def extract_main_text(pages: DataFrame, model: Labeller | None = None, *, id_col
         own.p = shared.value
         for block in blocks(batches, "html", 2 << 20):
             parsed = [leaf_blocks(block.text_bytes(i).decode("utf-8", "replace")) for i in range(block.n)]
-            chosen = [[b[1] for b, k in zip(page, keep, strict=True) if k] for page, keep in zip(parsed, own.label(parsed), strict=True)]
+            chosen = [[b.text for b, k in zip(page, keep, strict=True) if k] for page, keep in zip(parsed, own.label(parsed), strict=True)]
             texts = [join.join(c) for c in chosen]
             yield arrow_batch(schema, [block.rows.column(0), block.rows.column(1), texts, [len(t) for t in texts], [len(c) for c in chosen]])
 
