@@ -44,6 +44,7 @@ BOS = CLASSES
 #: Times a word n-gram and a skip n-gram must occur in training to be a feature; the prior's precision; its rounds.
 NGRAM_FROM, SKIP_FROM, PRIOR, WORD_ROUNDS = 2, 3, 1.0, 12
 SHARD_TOKENS, CHUNK_TOKENS, CACHED_WORDS = 2_000_000, 1_500_000, 2_000_000
+GROUP_BITS = 48
 NO_WORD = (1 << 20) - 1  # in place of the index of a word that is not among the frequent ones
 
 
@@ -174,7 +175,7 @@ def events(block: Block, vocabulary: Vocabulary) -> Events:
     before[1:] = np.where(same1, found.hashes[which[:-1]], np.uint64(0))
     same2 = rows[2:] == rows[:-2]
     two[2:] = np.where(same2, target[:-2], BOS)
-    group = mix64(before ^ mix64(target.astype(np.uint64) + np.uint64(1)))
+    group = mix64(before ^ mix64(target.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - GROUP_BITS)
     return Events(found, one * (CLASSES + 1) + two, target, kinds, head, group, (head[which] << 7 | two).astype(np.uint32))
 
 
@@ -211,9 +212,43 @@ def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-def shard_cuts(sorted_hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_sorted(a: np.ndarray) -> np.ndarray:
+    """Sorted numbers below 2**63 as bytes: their differences, in as many bytes each as the largest takes."""
+    steps = np.diff(a, prepend=np.uint64(0))
+    width = max(1, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
+    return np.concatenate((steps[:1].view(np.uint8), np.uint8([width]), steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].ravel())) if len(a) else np.zeros(0, np.uint8)
+
+
+def unpack_sorted(b: np.ndarray) -> np.ndarray:
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    width = int(b[8])
+    steps = np.zeros(((len(b) - 9) // width + 1, 8), np.uint8)
+    steps[0], steps[1:, :width] = b[:8], b[9:].reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel())
+
+
+_FIRST, _MANY = np.uint32(1 << 31), np.uint32(1 << 30)  # marks in a code: the first of its group, more than one token
+
+
+def pack_ngrams(group: np.ndarray, kind: np.ndarray, code: np.ndarray, n: np.ndarray) -> bytes:
+    first = runs(group)
+    marked = np.where(n > 1, code | _MANY, code)
+    marked[first] |= _FIRST
+    return pack(pack_sorted(group[first]), kind[first], marked, n[n > 1].astype(np.uint32))
+
+
+def unpack_ngrams(blob: bytes) -> tuple[np.ndarray, ...]:
+    group, kind, code, more = unpack(blob, np.uint8, np.uint8, np.uint32, np.uint32)
+    own = np.cumsum(code >= _FIRST) - 1
+    n = np.ones(len(code), np.int64)
+    n[(code & _MANY) > 0] = more
+    return unpack_sorted(group)[own], kind[own], code & (_MANY - np.uint32(1)), n
+
+
+def shard_cuts(sorted_hashes: np.ndarray, shards: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Shards of some sorted hashes, and where each begins; with the end as the last cut.  Shards are ranges of hashes."""
-    own = ((sorted_hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    own = ((sorted_hashes >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
     return own[first], np.append(first, len(own))
 
@@ -331,12 +366,8 @@ def count_events(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(group)))
             group, code, kind = group[first], code[first], kind[first]
-            own, cuts = shard_cuts(group, shards)
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                each = runs(group[a:b])
-                out.append(pack(group[a:b][each], kind[a:b][each], np.diff(np.append(each, b - a)).astype(np.uint32), code[a:b], n[a:b].astype(np.uint32)))
-            return arrow_batch(_PACKED, [own, out])
+            own, cuts = shard_cuts(group, shards, GROUP_BITS)
+            return arrow_batch(_PACKED, [own, [pack_ngrams(group[a:b], kind[a:b], code[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]])
 
         for block in blocks(batches, "text"):
             e = events(block, vocabulary.value)
@@ -370,7 +401,6 @@ def _by_key(batches) -> Iterator[tuple[int, list[bytes]]]:
         yield now, held
 
 
-_NGRAMS = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32)
 _GROUPS = (np.uint64, np.uint8, np.uint32, np.uint8, np.int64, np.uint32, np.uint32, np.int64, np.uint32, np.uint32, np.int64)
 
 
@@ -381,7 +411,7 @@ def _combined(batches):
             cell, which = np.unique(at, return_inverse=True)
             yield arrow_batch(_PACKED, [[key], [pack(cell.astype(np.int64), np.bincount(which, weights=n).astype(np.int64))]])
         else:
-            yield arrow_batch(_PACKED, [[key], [pack(*group_counts([unpack(b, *_NGRAMS) for b in blobs]))]])
+            yield arrow_batch(_PACKED, [[key], [pack(*group_counts([unpack_ngrams(b) for b in blobs]))]])
 
 
 def group_counts(parts: list) -> list[np.ndarray]:
@@ -390,9 +420,7 @@ def group_counts(parts: list) -> list[np.ndarray]:
     (group hash, its class; context's group, class before, tokens; n-gram's group, word, tokens;
     skip feature's n-gram, context, tokens).  Rarer n-grams only count as tokens of their context.
     """
-    group = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-    kind = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-    code, n = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
+    group, kind, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((code, group))
     group, kind, code, n = group[order], kind[order], code[order], n[order]
     new = np.ones(len(group), bool)
@@ -605,19 +633,22 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
             found = []
             inside = np.flatnonzero(e.target >= SINGLE)
             inside = inside[np.argsort(e.group[inside], kind="stable")]
-            group, code, row = e.group[inside], e.code[inside], rows[inside].astype(np.uint32)
-            keys, cuts = shard_cuts(group, shards)
-            for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True):
-                each = runs(group[a:b])
-                found.append((k, _NGRAM_ASK, name, pack(group[a:b][each], np.diff(np.append(each, b - a)).astype(np.uint32), code[a:b], row[a:b])))
+            small = np.uint16 if block.n <= 1 << 16 else np.uint32
+            group, code, row = e.group[inside], e.code[inside].copy(), rows[inside].astype(small)
+            keys, cuts = shard_cuts(group, shards, GROUP_BITS)
+            first = runs(group)
+            code[first] |= _FIRST  # a group lies in one shard
+            at = np.searchsorted(first, cuts)
+            for k, a, b, g in zip(keys.tolist(), cuts[:-1], cuts[1:], zip(at[:-1], at[1:], strict=True), strict=True):
+                found.append((k, _NGRAM_ASK, name, pack(pack_sorted(group[first[slice(*g)]]), code[a:b], row[a:b].view(np.uint8))))
             tail = np.flatnonzero(~in_head)
             pair, times = np.unique(which[tail] * block.n + rows[tail], return_counts=True)
-            word, row = pair // block.n, (pair % block.n).astype(np.uint32)
+            word, row = pair // block.n, (pair % block.n).astype(small)
             order = np.argsort(e.found.hashes[word], kind="stable")
             word, row, times = word[order], row[order], times[order].astype(np.uint32)
             h, kind = e.found.hashes[word], e.kinds[word].astype(np.uint8)
             keys, cuts = shard_cuts(h, shards)
-            found += [(k, _WORD_ASK, name, pack(h[a:b], kind[a:b], row[a:b], times[a:b])) for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True)]
+            found += [(k, _WORD_ASK, name, pack(h[a:b], kind[a:b], row[a:b].view(np.uint8), times[a:b])) for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True)]
             yield rows_of(found)
 
     def answer(batches):
@@ -639,16 +670,18 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
                 elif kind == _WORD_TABLE:
                     words.append(unpack(blob, np.uint64, np.int64))
                 elif kind == _NGRAM_ASK and ngrams is not None:
-                    group, size, code, row = unpack(blob, np.uint64, np.uint32, np.uint32, np.uint32)
-                    value = word_factor(ngrams, np.repeat(group, size), code)
+                    group, code, row = unpack(blob, np.uint8, np.uint32, np.uint8)
+                    row = row.view(np.uint16 if len(row) == 2 * len(code) else np.uint32)
+                    value = word_factor(ngrams, unpack_sorted(group)[np.cumsum(code >= _FIRST) - 1], code & (_MANY - np.uint32(1)))
                     at, which = np.unique(row[value != 0], return_inverse=True)
-                    out.append((block, _PART, block, pack(at, np.zeros(len(at), np.int64), np.zeros(len(at)), np.bincount(which, weights=value[value != 0], minlength=len(at)))))
+                    out.append((block, _PART, block, pack(at.astype(np.uint32), np.zeros(len(at), np.int64), np.zeros(len(at)), np.bincount(which, weights=value[value != 0], minlength=len(at)))))
                 elif kind == _WORD_ASK:
                     if len(words) > 1:
                         h, n = (np.concatenate(x) for x in zip(*words, strict=True))
                         order = np.argsort(h)
                         words = [(h[order], n[order])]
-                    h, k, row, times = unpack(blob, np.uint64, np.uint8, np.uint32, np.uint32)
+                    h, k, row, times = unpack(blob, np.uint64, np.uint8, np.uint8, np.uint32)
+                    row = row.view(np.uint16 if len(row) == 2 * len(h) else np.uint32)
                     c = np.zeros(len(h), np.int64)
                     if words:
                         i, hit = lookup(words[0][0], h)
@@ -656,7 +689,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
                     at, which = np.unique(row, return_inverse=True)
                     sums = lambda x: np.bincount(which, weights=x, minlength=len(at))  # noqa: B023, E731
                     score = np.where(c > 0, np.log10(np.maximum(c, 1)) - of_class[k] + share[k], missing[k])
-                    out.append((block, _PART, block, pack(at, sums(times * (c > 0)).astype(np.int64), sums(times * (np.log10(c + 0.5) - norm)), sums(times * score))))
+                    out.append((block, _PART, block, pack(at.astype(np.uint32), sums(times * (c > 0)).astype(np.int64), sums(times * (np.log10(c + 0.5) - norm)), sums(times * score))))
             if out:
                 yield rows_of(out)
 
