@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +44,9 @@ END = np.uint64(0x00E7D)  # the end of a text, as a token
 BOS = CLASSES
 #: Times a word n-gram and a skip n-gram must occur in training to be a feature; the prior's precision; its rounds.
 NGRAM_FROM, SKIP_FROM, PRIOR, WORD_ROUNDS = 2, 3, 1.0, 12
-SHARD_TOKENS, CHUNK_TOKENS, CACHED_WORDS = 2_000_000, 1_500_000, 2_000_000
+SHARD_TOKENS, CHUNK_TOKENS, CACHED_WORDS = 2_000_000, 1_000_000, 1_000_000
 GROUP_BITS = 48
+BLOCK = 1 << 21
 NO_WORD = (1 << 20) - 1  # in place of the index of a word that is not among the frequent ones
 
 
@@ -111,6 +113,7 @@ class Vocabulary:
     own: np.ndarray  # sorted hashes of the words that are features by themselves
     own_bucket: np.ndarray
     centres: np.ndarray
+    rank: np.ndarray  # of each frequent word by its count
     seen: list = field(default_factory=lambda: [np.zeros(0, np.uint64), np.zeros(0, np.int64)], repr=False)
 
     def classes(self, found: Tokens) -> np.ndarray:
@@ -122,8 +125,8 @@ class Vocabulary:
         if len(new):
             offsets = np.frombuffer(found.words.buffers()[1], np.int64)[found.words.offset :]
             data = np.frombuffer(found.words.buffers()[2], np.uint8)
-            for a in range(0, len(new), 65536):
-                own = new[a : a + 65536]
+            for a in range(0, len(new), 16384):
+                own = new[a : a + 16384]
                 out[own + 1] = SINGLE + (letter_vectors(data, offsets[own], offsets[own + 1]) @ self.centres.T).argmax(1)
             if len(self.seen[0]) + len(new) > CACHED_WORDS:
                 self.seen = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
@@ -158,7 +161,7 @@ class Events:
     kinds: np.ndarray  # class of each distinct word
     head: np.ndarray  # index of each distinct word among the frequent ones, NO_WORD if it is none
     group: np.ndarray  # of the word factor: (word before, class), hashed
-    code: np.ndarray  # of the word factor: the word's index and the class before the word before
+    code: np.ndarray  # of the word factor: the word's rank and the class before the word before
 
 
 def events(block: Block, vocabulary: Vocabulary) -> Events:
@@ -176,7 +179,9 @@ def events(block: Block, vocabulary: Vocabulary) -> Events:
     same2 = rows[2:] == rows[:-2]
     two[2:] = np.where(same2, target[:-2], BOS)
     group = mix64(before ^ mix64(target.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - GROUP_BITS)
-    return Events(found, one * (CLASSES + 1) + two, target, kinds, head, group, (head[which] << 7 | two).astype(np.uint32))
+    rank = np.full(len(head), NO_WORD)
+    rank[known] = vocabulary.rank[at[known]]
+    return Events(found, one * (CLASSES + 1) + two, target, kinds, head, group, (rank[which] << 7 | two).astype(np.uint32))
 
 
 def features_of(context: np.ndarray) -> np.ndarray:
@@ -200,15 +205,27 @@ def log_softmax(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- packed arrays
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of an array: all first ones, then all second ones, which compresses well."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.ravel()
+
+
+def from_planes(raw: np.ndarray, dtype) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """Arrays as compressed bytes."""
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes(a).tobytes() for a in arrays))
 
 
 def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(blob, np.int64, len(dtypes)), 8 * len(dtypes), []
+    sizes, at, out = np.frombuffer(blob, np.int64, len(dtypes)), 0, []
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 * len(dtypes) :]), np.uint8)
     for n, d in zip(sizes.tolist(), dtypes, strict=True):
-        out.append(np.frombuffer(blob, d, n, at))
-        at += n * np.dtype(d).itemsize
+        width = n * np.dtype(d).itemsize
+        out.append(from_planes(raw[at : at + width], d) if n else np.zeros(0, d))
+        at += width
     return out
 
 
@@ -273,7 +290,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             h, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
             return arrow_batch(schema, [h.view(np.int64), np.bincount(which, weights=np.concatenate([x[1] for x in held])).astype(np.int64)])
 
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             found = tokens(block)
             held.append((found.hashes, np.bincount(found.which, minlength=len(found.hashes))))
             size += len(found.hashes)
@@ -293,7 +310,7 @@ def spell(docs: DataFrame, wanted: np.ndarray) -> dict[int, bytes]:
 
     def run(batches):
         missing = np.ones(len(shared.value), bool)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             if not missing.any():
                 continue
             found = tokens(block)
@@ -343,7 +360,7 @@ def build_vocabulary(counts: DataFrame, docs: DataFrame, head_words: int = HEAD_
     size = np.array([len(spelt[w[1]]) for w in rest], np.int64)
     stop = np.cumsum(size)
     centres = cluster(letter_vectors(data, stop - size, stop), np.sqrt(np.array([w[0] for w in rest], np.float64)), CLASSES - SINGLE)
-    return Vocabulary(hashes, n, single[s_order], np.arange(len(single))[s_order], own[o_order], (CLASSES + 1 + np.arange(len(own)))[o_order], centres), floor
+    return Vocabulary(hashes, n, single[s_order], np.arange(len(single))[s_order], own[o_order], (CLASSES + 1 + np.arange(len(own)))[o_order], centres, np.argsort(np.lexsort((hashes, -n)))), floor
 
 
 _PACKED = T.StructType([T.StructField("key", T.LongType()), T.StructField("blob", T.BinaryType())])
@@ -369,7 +386,7 @@ def count_events(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
             own, cuts = shard_cuts(group, shards, GROUP_BITS)
             return arrow_batch(_PACKED, [own, [pack_ngrams(group[a:b], kind[a:b], code[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]])
 
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             e = events(block, vocabulary.value)
             cells += np.bincount(e.context * CLASSES + e.target, minlength=len(cells)).astype(np.int32)
             inside = e.target >= SINGLE
@@ -554,7 +571,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
 
     ``training`` is the condition for a row to be learnt from (null: it is not).  A null or
     blank text has one token, its end.  Repeated rows are scored alike and stay; a null id
-    stays null.  A text longer than a block of 4 MB is a block of its own.  Words of one count
+    stays null.  A text longer than a block of 2 MB is a block of its own.  Words of one count
     are ordered by their hash.  Without training rows every token is unknown; an empty table
     gives an empty result.  Other columns of ``docs``, whatever their names, are not read but
     by ``training``.
@@ -602,7 +619,8 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
 
     def ngram_tables(batches):
         v, (_, of_class, share, _) = shared.value, model.value
-        p0 = lambda word, kind: v.head_counts[word] * 10.0 ** (share[kind] - of_class[kind])
+        by_rank = -np.sort(-v.head_counts)
+        p0 = lambda word, kind: by_rank[word] * 10.0 ** (share[kind] - of_class[kind])
         for key, blobs in _by_key(batches):
             yield rows_of([(key, _NGRAM_TABLE, 0, pack(*fit_words(unpack(blobs[0], *_GROUPS), p0)))])
 
@@ -617,7 +635,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
     def ask(batches):
         v, (log_p, of_class, share, _) = shared.value, model.value
         head_log, head_base = np.log10(np.maximum(v.head_counts, 1)), np.log10(v.head_counts + 0.5) - norm
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             e = events(block, v)
             which, rows = e.found.which, e.found.rows
             ids = block.rows.column(0)
@@ -640,7 +658,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
             code[first] |= _FIRST  # a group lies in one shard
             at = np.searchsorted(first, cuts)
             for k, a, b, g in zip(keys.tolist(), cuts[:-1], cuts[1:], zip(at[:-1], at[1:], strict=True), strict=True):
-                found.append((k, _NGRAM_ASK, name, pack(pack_sorted(group[first[slice(*g)]]), code[a:b], row[a:b].view(np.uint8))))
+                found.append((k, _NGRAM_ASK, name, pack(pack_sorted(group[first[slice(*g)]]), code[a:b], planes(row[a:b]))))
             tail = np.flatnonzero(~in_head)
             pair, times = np.unique(which[tail] * block.n + rows[tail], return_counts=True)
             word, row = pair // block.n, (pair % block.n).astype(small)
@@ -648,7 +666,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
             word, row, times = word[order], row[order], times[order].astype(np.uint32)
             h, kind = e.found.hashes[word], e.kinds[word].astype(np.uint8)
             keys, cuts = shard_cuts(h, shards)
-            found += [(k, _WORD_ASK, name, pack(h[a:b], kind[a:b], row[a:b].view(np.uint8), times[a:b])) for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True)]
+            found += [(k, _WORD_ASK, name, pack(h[a:b], kind[a:b], planes(row[a:b]), times[a:b])) for k, a, b in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True)]
             yield rows_of(found)
 
     def answer(batches):
@@ -671,7 +689,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
                     words.append(unpack(blob, np.uint64, np.int64))
                 elif kind == _NGRAM_ASK and ngrams is not None:
                     group, code, row = unpack(blob, np.uint8, np.uint32, np.uint8)
-                    row = row.view(np.uint16 if len(row) == 2 * len(code) else np.uint32)
+                    row = from_planes(row, np.uint16 if len(row) == 2 * len(code) else np.uint32)
                     value = word_factor(ngrams, unpack_sorted(group)[np.cumsum(code >= _FIRST) - 1], code & (_MANY - np.uint32(1)))
                     at, which = np.unique(row[value != 0], return_inverse=True)
                     out.append((block, _PART, block, pack(at.astype(np.uint32), np.zeros(len(at), np.int64), np.zeros(len(at)), np.bincount(which, weights=value[value != 0], minlength=len(at)))))
@@ -681,7 +699,7 @@ def score_texts(docs: DataFrame, *, training, id_col: str = "doc_id", text_col:
                         order = np.argsort(h)
                         words = [(h[order], n[order])]
                     h, k, row, times = unpack(blob, np.uint64, np.uint8, np.uint8, np.uint32)
-                    row = row.view(np.uint16 if len(row) == 2 * len(h) else np.uint32)
+                    row = from_planes(row, np.uint16 if len(row) == 2 * len(h) else np.uint32)
                     c = np.zeros(len(h), np.int64)
                     if words:
                         i, hit = lookup(words[0][0], h)
