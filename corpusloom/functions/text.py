@@ -9,20 +9,35 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Look-alike quotes and what they stand for.
 QUOTES = {"‹": '"', "›": '"', "«": '"', "»": '"', "′": "'", "‘": "'", "’": "'", "“": '"', "”": '"'}
 # Latin punctuation and the word space, as Ethiopic text writes them.
 PUNCTUATION = {"፡": " ", ",": "፣", ";": "፤", ":": "፥", "?": "፧"}
-# Homophone letters, each series with the one it is merged into.
-HOMOPHONES = {"ሐሑሒሓሔሕሖ": "ሀሁሂሃሄህሆ", "ኀኁኂኃኄኅኆ": "ሀሁሂሃሄህሆ", "ሗዃ": "ኋኋ", "ሠሡሢሣሤሥሦሧ": "ሰሱሲሳሴስሶሷ", "ዐዑዒዓዔዕዖ": "አኡኢኣኤእኦ", "ፀፁፂፃፄፅፆ": "ጸጹጺጻጼጽጾ"}
-# Letters of the second order whose spelling with WA and A stands for one labialised letter.
-LABIALISED = {"ሉሑሙሡሩሱሹቡቩቱቹኑኙዙዡዱዹጁጡጩጱጹፉፑቁቑኁኩኹጉ": "ሏሗሟሧሯሷሿቧቯቷቿኗኟዟዧዷዿጇጧጯጷጿፏፗቋቛኋኳዃጓ"}
+# Homophone letters, each with the one it is merged into.
+HOMOPHONES = {
+    "ሐ": "ሀ", "ሑ": "ሁ", "ሒ": "ሂ", "ሓ": "ሃ", "ሔ": "ሄ", "ሕ": "ህ", "ሖ": "ሆ", "ኀ": "ሀ",
+    "ኁ": "ሁ", "ኂ": "ሂ", "ኃ": "ሃ", "ኄ": "ሄ", "ኅ": "ህ", "ኆ": "ሆ", "ሗ": "ኋ", "ዃ": "ኋ",
+    "ሠ": "ሰ", "ሡ": "ሱ", "ሢ": "ሲ", "ሣ": "ሳ", "ሤ": "ሴ", "ሥ": "ስ", "ሦ": "ሶ", "ሧ": "ሷ",
+    "ዐ": "አ", "ዑ": "ኡ", "ዒ": "ኢ", "ዓ": "ኣ", "ዔ": "ኤ", "ዕ": "እ", "ዖ": "ኦ", "ፀ": "ጸ",
+    "ፁ": "ጹ", "ፂ": "ጺ", "ፃ": "ጻ", "ፄ": "ጼ", "ፅ": "ጽ", "ፆ": "ጾ",
+}
+# Letters of the second order, each with the labialised letter that it stands for before WA and A.
+LABIALISED = {
+    "ሉ": "ሏ", "ሑ": "ሗ", "ሙ": "ሟ", "ሡ": "ሧ", "ሩ": "ሯ", "ሱ": "ሷ", "ሹ": "ሿ", "ቡ": "ቧ",
+    "ቩ": "ቯ", "ቱ": "ቷ", "ቹ": "ቿ", "ኑ": "ኗ", "ኙ": "ኟ", "ዙ": "ዟ", "ዡ": "ዧ", "ዱ": "ዷ",
+    "ዹ": "ዿ", "ጁ": "ጇ", "ጡ": "ጧ", "ጩ": "ጯ", "ጱ": "ጷ", "ጹ": "ጿ", "ፉ": "ፏ", "ፑ": "ፗ",
+    "ቁ": "ቋ", "ቑ": "ቛ", "ኁ": "ኋ", "ኩ": "ኳ", "ኹ": "ዃ", "ጉ": "ጓ",
+}
 LABIAL_SUFFIX = "ዋአ"
 
-SPACE = r"(?U)\s+"
+# The white space of Unicode, and how lower case still differs from folded case.
+SPACES = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+FOLDS = {"ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+# A class of its own is several times as fast as \s with the Unicode flag.
+SPACE = "[" + SPACES + "]"
 
 
 def _translate(column: Column, table: dict[str, str]) -> Column:
@@ -30,7 +45,7 @@ def _translate(column: Column, table: dict[str, str]) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(column, F.lit(SPACES))
 
 
 def plain_quotes(column: Column) -> Column:
@@ -38,8 +53,7 @@ def plain_quotes(column: Column) -> Column:
 
 
 def labialise(column: Column) -> Column:
-    pairs = [(a, b) for k, v in LABIALISED.items() for a, b in zip(k, v, strict=True)]
-    return F.when(column.contains(LABIAL_SUFFIX), reduce(lambda c, p: F.replace(c, F.lit(p[0] + LABIAL_SUFFIX), F.lit(p[1])), pairs, column)).otherwise(column)
+    return F.when(column.contains(LABIAL_SUFFIX), reduce(lambda c, p: F.replace(c, F.lit(p[0] + LABIAL_SUFFIX), F.lit(p[1])), LABIALISED.items(), column)).otherwise(column)
 
 
 def merge_homophones(column: Column) -> Column:
@@ -47,7 +61,7 @@ def merge_homophones(column: Column) -> Column:
 
 
 def doubled_wordspace(column: Column) -> Column:
-    return F.regexp_replace(column, r"(?U)(?:፡\s*){2,}", "። ")
+    return F.regexp_replace(column, "(?:፡" + SPACE + "*){2,}", "። ")
 
 
 def ethiopic_punctuation(column: Column) -> Column:
@@ -56,11 +70,12 @@ def ethiopic_punctuation(column: Column) -> Column:
 
 def sentence_period(column: Column) -> Column:
     """A period before white space or the end, closing quotes between, is a full stop; dots in runs, numbers and abbreviations stay."""
-    return F.regexp_replace(column, r"""(?U)(^|[^.])\.(["')]*)(\s|\z)""", "$1።$2$3")
+    return F.regexp_replace(column, r"""(^|[^.])\.(["')]*)(""" + SPACE + r"|\z)", "$1።$2$3")
 
 
 def collapse_space(column: Column) -> Column:
-    return strip(F.regexp_replace(column, SPACE, " "))
+    # Single spaces, nearly all white space there is, are not matched.
+    return strip(F.regexp_replace(column, "[" + SPACES[1:] + "]" + SPACE + "*| " + SPACE + "+", " "))
 
 
 def nfc(column: Column) -> Column:
@@ -89,21 +104,37 @@ def normalise(column: Column, ethiopic: bool, unicode: bool = True) -> Column:
     return reduce(lambda c, s: s[1](c), [s for s in STEPS if (ethiopic or s[2]) and (unicode or s[0] != "unicode")], column)
 
 
+def normalised(df: DataFrame, sides: dict[str, bool]) -> DataFrame:
+    """Replaces columns by their normalised text; ``sides`` says of each whether it is the Ethiopic one.
+
+    Step by step, so that no step's expression is repeated inside the next one's.
+    """
+    for _, function, both in STEPS:
+        df = df.withColumns({c: function(F.col(c)) for c, ethiopic in sides.items() if ethiopic or both})
+    return df
+
+
 def length_bucket(column: Column, short: int = 40, long: int = 120) -> Column:
     return F.when(F.length(column) < short, "short").when(F.length(column) >= long, "long").otherwise("medium")
 
 
 def content_key(*columns: Column) -> Column:
-    return F.sha1(F.concat_ws("\0", *columns))
+    """A null counts as an empty text, in its own place."""
+    return F.sha1(F.concat_ws("\0", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)))
+
+
+def casefold(column: Column) -> Column:
+    """Lower case with what Unicode folds further, for the letters of :data:`FOLDS`."""
+    return reduce(lambda c, f: F.replace(c, F.lit(f[0]), F.lit(f[1])), FOLDS.items(), F.lower(column))
 
 
 def comparison_key(column: Column) -> Column:
     """Case folded, everything but word characters gone."""
-    return F.regexp_replace(F.lower(column), r"[^\p{L}\p{M}\p{N}_]+", "")
+    return F.regexp_replace(casefold(column), r"[^\p{L}\p{M}\p{N}_]+", "")
 
 
 def word_tokens(column: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(column), r"[^\p{L}\p{M}\p{N}_]+", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(casefold(column), r"[^\p{L}\p{M}\p{N}_]+", " "), " "), lambda w: w != "")
 
 
 def word_ngrams(tokens: Column, n: int = 5) -> Column:
@@ -156,9 +187,44 @@ def registered_domain(host_column: Column, suffixes: list[str] = TWO_LABEL_SUFFI
     return F.when(name.rlike(r"^[0-9.]+$") | (F.size(labels) < n), "unknown").otherwise(F.array_join(F.slice(labels, -n, n), "."))
 
 
+def public_suffix_rules(df: DataFrame) -> DataFrame:
+    """(rule, labels) from the lines of a public suffix list: ``labels`` is how many labels the suffix has, one less for exceptions."""
+    rule = F.trim(F.regexp_extract("value", r"^\s*(\S*)", 1))
+    rules = df.select(F.lower(rule).alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//"))
+    labels = F.size(F.split("rule", r"\."))
+    return rules.select(F.regexp_replace("rule", "^!", "").alias("rule"), F.when(F.col("rule").startswith("!"), labels - 1).otherwise(labels).alias("labels"), F.col("rule").startswith("!").alias("exception")).distinct()
+
+
+def registered_domains(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
+    """(host, domain) of the distinct hosts by public suffix rules: an exception wins, then the longest rule, then one label.
+
+    A rule's first label may be ``*``.  Addresses, bare suffixes and null hosts are unknown.
+    """
+    name = F.lower(F.regexp_replace(F.regexp_replace(F.col(host), r"^.*@", ""), r":[0-9]*$", ""))
+    each = hosts.select(host).distinct().withColumn("_labels", F.split(name, r"\."))
+    ends = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, 1000), "."))
+    starred = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.concat_ws(".", F.lit("*"), F.slice("_labels", i + 1, 1000)))
+    asked = each.select(host, "_labels", F.explode(F.array_distinct(F.concat(ends, starred))).alias("rule"))
+    best = asked.join(rules, "rule", "left").groupBy(host).agg(F.max(F.struct(F.coalesce("exception", F.lit(False)).alias("exception"), F.coalesce("labels", F.lit(1)).alias("labels"))).alias("best"), F.first("_labels").alias("_labels"))
+    n = F.col("best.labels") + 1
+    plain = F.array_join(F.slice("_labels", -n, n), ".")
+    return best.select(host, F.when(F.array_join("_labels", ".").rlike(r"^[0-9.]*$") | (F.size("_labels") < n) | (F.col(host) == "unknown"), "unknown").otherwise(plain).alias("domain"))
+
+
+def confidence(text: Column, probability: Column) -> Column:
+    """A label's probability for a text: at most 1, and 0 for a text without a word or a label that has none."""
+    return F.when(F.coalesce(collapse_space(text), F.lit("")) == "", 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(probability, F.lit(0.0))))
+
+
+def length_penalty(length: Column, alpha: float) -> Column:
+    """What a hypothesis' log probability is divided by to rank it."""
+    return F.pow((F.lit(5.0) + length) / F.lit(6.0), F.lit(float(alpha)))
+
+
 # ---------------------------------------------------------------- Ethiopic script
 
 # Consonant rows of the Ethiopic block by first code point; each row has seven vowel orders and mostly a labialised eighth.
+# The table of letters has over 300 entries and follows from the block's order, so it is built from that rule.
 ROWS = {0x1200: "h", 0x1208: "l", 0x1210: "h", 0x1218: "m", 0x1220: "s", 0x1228: "r", 0x1230: "s", 0x1238: "š", 0x1240: "q", 0x1250: "q", 0x1260: "b", 0x1268: "v", 0x1270: "t", 0x1278: "c", 0x1280: "h", 0x1290: "n", 0x1298: "ñ", 0x12A8: "k", 0x12B8: "h", 0x12C8: "w", 0x12D8: "z", 0x12E0: "ž", 0x12E8: "y", 0x12F0: "d", 0x12F8: "ṗ", 0x1300: "j", 0x1308: "g", 0x1318: "g", 0x1320: "ṭ", 0x1328: "ċ", 0x1330: "ṗ", 0x1338: "ṣ", 0x1340: "ṣ", 0x1348: "f", 0x1350: "p"}
 ORDERS = ["ə", "u", "i", "a", "e", "", "o", "ʷa"]
 LABIAL_ROWS = {0x1248: "q", 0x1258: "q", 0x1288: "h", 0x12B0: "k", 0x12C0: "h", 0x1310: "g"}
@@ -215,6 +281,19 @@ def spell_ethiopic(column: Column) -> Column:
 BOS, EOS, PAD = 2, 3, 0
 
 
+UNK = 1
+
+
+def unknown_rate(ids: Column, unknown: int = UNK) -> Column:
+    """Share of unknown ids, 0 of none; a vocabulary above 0.2 cannot write the script and needs transliteration."""
+    return F.size(F.filter(ids, lambda i: i == unknown)) / F.greatest(F.size(ids), F.lit(1))
+
+
+def pad_mask(ids: Column) -> Column:
+    """1 where there is a token, 0 where there is padding."""
+    return F.transform(ids, lambda i: (i != PAD).cast("int"))
+
+
 def frame_ids(ids: Column) -> Column:
     return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from itertools import batched
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- statistics
 
@@ -21,14 +24,15 @@ def effective_vocabulary(words: DataFrame, by: str, word: str = "word") -> DataF
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """U of the rows where ``first`` holds against the others, ties averaged, and the one-sided normal p-value.
+    """U of the rows where ``first`` holds against the others, ties averaged, and its z.
 
-    Ranks come from the counts of distinct values, so no window holds all rows: a range-
-    partitioned running total would be the next step if the values were unbounded too.
+    Ranks come from the counts of distinct values, added up within ranges and over the ranges;
+    the bounds of the ranges only divide the work.
     """
     counts = df.groupBy(value).agg(F.sum(first.cast("long")).alias("a"), F.count(F.lit(1)).alias("t"))
     # Running totals in two steps: within ranges of values, then over the few ranges.
-    parts = counts.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id())
+    bounds = counts.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005)
+    parts = counts.withColumn("_p", F.size(F.filter(F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))), lambda b: b < F.col(value))))
     return _mann_whitney_sums(parts, value)
 
 
@@ -185,15 +189,49 @@ def vendi_score(df: DataFrame, vector: str, dims: int) -> float:
     return float(np.exp(-(p * np.log(p)).sum()))
 
 
-def domain_shift_auc(df: DataFrame, vector: str, label: Column, seed: int = 42) -> float:
-    """Held-out area under the ROC curve of a logistic regression that tells two sets of vectors apart; 0.5 is no shift."""
+def domain_shift_auc(df: DataFrame, vector: str, label: Column, key: str, seed: int = 42) -> float:
+    """Held-out area under the ROC curve of a logistic regression that tells two sets of vectors apart; 0.5 is no shift.
+
+    Three tenths are held out, by hash of ``key``, whatever the layout of the rows.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    ready = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"), label.cast("double").alias("label"))
-    train, test = ready.randomSplit([0.7, 0.3], seed)
-    return BinaryClassificationEvaluator().evaluate(LogisticRegression(regParam=0.01).fit(train).transform(test))
+    ready = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"), label.cast("double").alias("label"), (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10)) < 3).alias("held"))
+    return BinaryClassificationEvaluator().evaluate(LogisticRegression(regParam=0.01).fit(ready.filter("not held")).transform(ready.filter("held")))
+
+
+def mean_discrepancy(df: DataFrame, vector: str, label: Column, key: str, gamma: float, features: int = 256, permutations: int = 100, seed: int = 42) -> tuple[float, float]:
+    """(squared mean discrepancy of two sets under a Gaussian kernel, its permutation p-value).
+
+    The kernel is taken by random Fourier features, so one pass over the vectors gives the
+    means of both sets, and those of every permutation of the labels, drawn by hash of ``key``.
+    """
+    shaped = df.select(vector, label.cast("int").alias("_y"), F.xxhash64(F.lit(seed), key).alias("_s"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+            rng = np.random.default_rng(seed)
+            w, b = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
+            phi = np.sqrt(2 / features) * np.cos(x @ w + b)
+            y, s = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)
+            for k in range(permutations + 1):
+                drawn = (((s ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)
+                for side in (0, 1):
+                    own = (y == side) if k == 0 else ((drawn / float(1 << 53) < 0.5) == bool(side))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([side], pa.int32()), pa.array([int(own.sum())], pa.int64()), pa.array([phi[own].sum(0).tolist()], pa.list_(pa.float64()))], names=["k", "side", "n", "total"])
+
+    sums = shaped.mapInArrow(run, "k int, side int, n long, total array<double>")
+    rows = sums.select("k", "side", "n", F.posexplode("total").alias("i", "x")).groupBy("k", "side", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    means = np.zeros((permutations + 1, 2, features))
+    for r in rows:
+        means[r.k, r.side, r.i] = r.x / max(r.n, 1)
+    found = ((means[:, 0] - means[:, 1]) ** 2).sum(1)
+    return float(found[0]), float((1 + (found[1:] >= found[0]).sum()) / (permutations + 1))
 
 
 # ---------------------------------------------------------------- translation metrics
@@ -209,36 +247,44 @@ def tokens_13a(column: Column) -> Column:
     return F.filter(F.split(t, " +"), lambda w: w != "")
 
 
-def _grams(tokens: Column, n: int, sep: str) -> Column:
-    gram = lambda i: F.array_join(F.slice(tokens, i, n), sep)
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), gram)).otherwise(F.array().cast("array<string>"))
+def ngram_counts(tokens: Sequence[str], orders: Sequence[int]) -> list[Counter]:
+    return [Counter(zip(*(tokens[i:] for i in range(n)), strict=False)) for n in orders]
 
 
-def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Sequence[Column], orders: Sequence[int], sep: str = " ") -> DataFrame:
-    """(key, n, correct, total, in_ref) per segment and order; with several references a gram counts up to its most in one.
+def overlaps(hyp: Sequence[str], refs: Sequence[Sequence[str]], orders: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(matching, in the hypothesis, in the first reference) per order; with several references a gram counts up to its most in one."""
+    own, others = ngram_counts(hyp, orders), [ngram_counts(r, orders) for r in refs]
+    out = []
+    for i, h in enumerate(own):
+        most = others[0][i]
+        for o in others[1:]:
+            most = most | o[i]
+        out.append(((h & most).total(), h.total(), others[0][i].total()))
+    return out
 
-    The grams of both sides are one column of (order, side, gram) rows and one aggregate.
-    """
-    sides = [hyp, *refs]
 
-    def tagged(tokens: Column, n: int, side: int) -> Column:
-        return F.transform(_grams(tokens, n, sep), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
+def segment_stats(df: DataFrame, key: str, hyp: Column, refs: Sequence[Column]) -> DataFrame:
+    """BLEU's sufficient statistics of each segment: key, sys_len, ref_len, correct_n, total_n.
 
-    rows = F.flatten(F.array(*(tagged(t, n, i) for n in orders for i, t in enumerate(sides))))
-    counted = df.select(key, F.explode(rows).alias("r")).groupBy(key, "r.n", "r.gram").agg(*(F.sum((F.col("r.side") == i).cast("long")).alias(f"_{i}") for i in range(len(sides))))
-    most = F.greatest(*(F.col(f"_{i}") for i in range(1, len(sides))), F.lit(0))
-    return counted.groupBy(key, "n").agg(F.sum(F.least("_0", most)).alias("correct"), F.sum("_0").alias("total"), F.sum("_1").alias("in_ref"))
+    Segments are counted where they are, in Arrow batches; only the statistics move later.  A
+    null side is empty; the reference length is the closest, the shorter of two as close.
+    """
+    names = ["sys_len", "ref_len", *(f"{k}_{n}" for k in ("correct", "total") for n in (1, 2, 3, 4))]
+    base = df.select(F.col(key), hyp.alias("_h"), *(r.alias(f"_r{i}") for i, r in enumerate(refs)))
 
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for h, *r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                h, r = h or [], [x or [] for x in r]
+                found = overlaps(h, r, (1, 2, 3, 4))
+                closest = min((abs(len(x) - len(h)), len(x)) for x in r)[1]
+                rows.append((len(h), closest, *(f[0] for f in found), *(f[1] for f in found)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in columns)], names=[key, *names])
 
-def segment_stats(df: DataFrame, key: str, hyp: Column, refs: Sequence[Column]) -> DataFrame:
-    """BLEU's sufficient statistics of each segment: key, sys_len, ref_len, correct_n, total_n."""
-    base = df.select(key, hyp.alias("_h"), *(r.alias(f"_r{i}") for i, r in enumerate(refs)))
-    columns = [F.col(f"_r{i}") for i in range(len(refs))]
-    counts = clipped_counts(base, key, F.col("_h"), columns, (1, 2, 3, 4))
-    wide = counts.groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}") for c in ("correct", "total") for n in (1, 2, 3, 4)))
-    closest = F.array_min(F.array(*(F.struct(F.abs(F.size(c) - F.size("_h")).alias("d"), F.size(c).alias("l")) for c in columns)))["l"]
-    lengths = base.select(key, F.size("_h").cast("long").alias("sys_len"), closest.cast("long").alias("ref_len"))
-    return lengths.join(wide, key, "left").na.fill(0)
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in names)])
+    return base.mapInArrow(run, schema)
 
 
 def bleu(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -257,11 +303,21 @@ def bleu(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def chrf(df: DataFrame, key: str, hyp: Column, ref: Column, chars: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
     """chrF++ of the whole table: F-beta of mean precision and recall over character and word n-grams."""
-    letters = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
-    base = df.select(key, letters(hyp).alias("_hc"), letters(ref).alias("_rc"), tokens_13a(hyp).alias("_hw"), tokens_13a(ref).alias("_rw"))
-    c = clipped_counts(base, key, F.col("_hc"), [F.col("_rc")], range(1, chars + 1), "").select(F.lit("c").alias("kind"), "n", "correct", "total", "in_ref")
-    w = clipped_counts(base, key, F.col("_hw"), [F.col("_rw")], range(1, words + 1)).select(F.lit("w").alias("kind"), "n", "correct", "total", "in_ref")
-    sums = c.unionByName(w).groupBy("kind", "n").agg(F.sum("correct").alias("m"), F.sum("total").alias("h"), F.sum("in_ref").alias("r")).filter("h > 0 and r > 0")
+    base = df.select(F.coalesce(hyp, F.lit("")).alias("h"), F.coalesce(ref, F.lit("")).alias("r"), tokens_13a(F.coalesce(hyp, F.lit(""))).alias("hw"), tokens_13a(F.coalesce(ref, F.lit(""))).alias("rw"))
+
+    def run(batches):
+        """One row per batch, kind and order."""
+        for batch in batches:
+            total = Counter()
+            for h, r, hw, rw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for kind, x, y, orders in (("c", "".join(h.split()), "".join(r.split()), range(1, chars + 1)), ("w", hw, rw, range(1, words + 1))):
+                    for n, found in zip(orders, overlaps(x, [y], orders), strict=True):
+                        for k, v in zip("mhr", found, strict=True):
+                            total[kind, n, k] += v
+            cells = sorted({c[:2] for c in total})
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int64()), *(pa.array([total[(*c, k)] for c in cells], pa.int64()) for k in "mhr")], names=["kind", "n", "m", "h", "r"])
+
+    sums = base.mapInArrow(run, "kind string, n long, m long, h long, r long").groupBy("kind", "n").agg(*(F.sum(k).alias(k) for k in "mhr")).filter("h > 0 and r > 0")
     mean = sums.agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
     b = beta * beta
     return mean.select(F.round(F.when(F.col("p") + F.col("q") > 0, 100 * (1 + b) * F.col("p") * F.col("q") / (b * F.col("p") + F.col("q"))).otherwise(0.0), 4).alias("chrfpp"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -54,9 +55,14 @@ def apply_filters(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFra
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key; ``order`` must make the first one definite."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The first row of each key; ``order`` must make the first one definite.
+
+    An aggregate, so that the rows of a very common key meet in their own tasks first.  Keys of
+    null are one key.  Columns may have any name.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    first = df.groupBy(*(F.col(f"`{k}`").alias(f"key{i}") for i, k in enumerate(keys))).agg(F.min_by(row, F.struct(*order)).alias("row"))
+    return first.select("row.*")
 
 
 def pool(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -146,15 +152,50 @@ def split_groups(df: DataFrame, group: str, strata: Sequence[str], seed: int = 4
     A group that occurs in several strata belongs to that of its first row, so it never
     stands in two splits.
     """
-    per_group = df.groupBy(group).agg(*(F.min_by(F.coalesce(F.col(s).cast("string"), F.lit("unknown")), order).alias(s) for s in strata))
-    window = Window.partitionBy(*strata)
-    ranked = per_group.withColumn("_h", F.sha1(F.concat_ws("\0", F.lit(str(seed)), F.col(group).cast("string"))))
-    ranked = ranked.withColumn("_r", F.row_number().over(window.orderBy("_h", group))).withColumn("_n", F.count(F.lit(1)).over(window))
+    per_group = df.groupBy(F.col(group).alias("_g")).agg(*(F.min_by(F.coalesce(F.col(s).cast("string"), F.lit("unknown")), order).alias(f"_s{i}") for i, s in enumerate(strata)))
+    own = [f"_s{i}" for i in range(len(strata))]
+    ranked = per_group.withColumn("_h", F.sha1(F.concat_ws("\0", F.lit(str(seed)), F.col("_g").cast("string"))))
+    # Ranks within ranges of the hash, and how many come in the ranges before: no task has a whole stratum.
+    ranked = ranked.withColumn("_c", F.substring("_h", 1, 2))
+    sizes = ranked.groupBy(*own, "_c").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(*own).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*own, "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy(*own)).alias("_n"))
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*own, "_c").orderBy("_h", "_g"))).join(sizes, [*own, "_c"])
     train, valid = cut(F.col("_n"))
-    named = ranked.select(F.col(group).alias("_g"), F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + valid, "validation").otherwise("test").alias("split"))
+    rank = F.col("_r") + F.col("_before")
+    named = ranked.select("_g", F.when(rank <= train, "train").when(rank <= train + valid, "validation").otherwise("test").alias("split"))
     return df.join(named, df[group].eqNullSafe(named["_g"])).drop("_g")
 
 
+def check_trim(had: int, left: int, wanted: int, most: float = 0.1) -> str | None:
+    """Raises if a trim leaves fewer rows than are wanted; a warning if it takes more than ``most`` of them."""
+    if left < wanted:
+        raise ValueError(f"only {left} rows are left of the {wanted} wanted")
+    return f"the trim takes {1 - left / had:.1%} of {had} rows" if had and 1 - left / had > most else None
+
+
+def only_split(df: DataFrame, split: str | None, column: str = "split") -> DataFrame:
+    """The rows of one split, all without one; raises if there are none."""
+    out = df if split is None else df.filter(F.col(column) == split)
+    if not out.limit(1).count():
+        raise ValueError(f"no rows of split {split!r}")
+    return out
+
+
+def collect_by(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """The values of each key as a list, in order."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p["v"]).alias(value))
+
+
+def verse_pairs(verses: DataFrame, translations: DataFrame, least: int = 10_000) -> DataFrame:
+    """(verse, src, tgt, translation): each translation joined by verse; blank and ``<range>`` lines and translations with fewer than ``least`` shared verses are left out."""
+    there = translations.withColumn("text", X.strip(F.col("text"))).filter(~F.col("text").isin("", "<range>"))
+    pairs = verses.select("verse", F.col("text").alias("src")).join(there.select("verse", F.col("text").alias("tgt"), "translation"), "verse")
+    enough = pairs.groupBy("translation").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return pairs.join(enough.select("translation"), "translation", "left_semi").select("verse", "src", "tgt", "translation")
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -178,18 +219,29 @@ def ngram_candidates(lines: DataFrame, bench: DataFrame, row: Sequence[str], ite
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff and Obershelp's 2M/T, in Arrow batches; there is no built-in for it."""
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() for s, t in zip(x, y, strict=True)], dtype=float)
+    return F.pandas_udf(lambda x, y: _ratios(x, y, 0.0), "double")(a, b)
+
 
-    return ratio(a, b)
+def _ratios(x: pd.Series, y: pd.Series, least: float) -> pd.Series:
+    """Ratios; null where the characters that two texts share show that it is below ``least``, before anything is matched."""
+    out, counts = [], {}
+    for s, t in zip(x, y, strict=True):
+        for text in (s, t):
+            if text not in counts:
+                counts[text] = Counter(text)
+        if 2 * (counts[s] & counts[t]).total() < least * (len(s) + len(t)) - 1e-9:
+            out.append(None)
+        else:
+            out.append(difflib.SequenceMatcher(None, s, t, autojunk=False).ratio())
+    return pd.Series(out, dtype=float)
 
 
 def fuzzy_matches(candidates: DataFrame, row: Sequence[str], left: str, right: str, item: str = "item_id", least: float = 0.7) -> DataFrame:
     """The best item of each row with a ratio of at least ``least``; pairs whose lengths rule it out are not compared."""
     la, lb = F.length(left), F.length(right)
     possible = candidates.filter((la + lb > 0) & (2.0 * F.least(la, lb) / (la + lb) >= least))
-    scored = possible.withColumn("ratio", sequence_ratio(F.col(left), F.col(right))).filter(F.col("ratio") >= least)
+    ratio = F.pandas_udf(lambda x, y: _ratios(x, y, least), "double")
+    scored = possible.withColumn("ratio", ratio(F.col(left), F.col(right))).filter(F.col("ratio") >= least)
     rank = F.row_number().over(Window.partitionBy(*row).orderBy(F.desc("ratio"), F.desc("shared"), item))
     return scored.withColumn("_r", rank).filter("_r = 1").drop("_r")
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import analysis as A
 from corpusloom.operators import relational as R
-from corpusloom.sources.readers import turn_pairs
+from corpusloom.plans import pipelines as P
+from corpusloom.sources.readers import mined_pairs, turn_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,14 +33,15 @@ def query(sql: str | None = None):
 
 _PAIRS = """WITH pairs AS (SELECT conv_id, turn, text AS src, tgt FROM (SELECT *, lead(text) OVER w AS tgt, lead(role) OVER w AS nr FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"""
-_KEY = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')"
-_WORDS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_KEY = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')"
+_WORDS = r"list_filter(string_split(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _GRAMS = "CASE WHEN len({0}) > 0 THEN list_distinct(list_transform(range(1, greatest(len({0}) - 4, 1) + 1), lambda i: array_to_string(list_slice({0}, i, i + 4), ' '))) ELSE [] END"
 _BUCKET = "CASE WHEN length({0}) < 40 THEN 'short' WHEN length({0}) >= 120 THEN 'long' ELSE 'medium' END"
 _QUOTES_SQL = """translate({0}, '‹›«»′‘’“”', '""""''''''""')"""
 _PERIOD_SQL = r"""regexp_replace({0}, '(^|[^.])\.(["'')]*)([\s\x{{A0}}]|$)', '\1።\2\3', 'g')"""
 _STRIP_SQL = r"regexp_replace({0}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
 
+_MARKED = "text"
 # ---------------------------------------------------------------- text
 
 
@@ -63,7 +65,7 @@ _FULL_SQL = _STRIP_SQL.format("regexp_replace(" + _PERIOD_SQL.format(f"translate
 
 @query(f"SELECT doc_id, {_FULL_SQL} AS text FROM documents")
 def normalize_full(t):
-    return t("documents").select("doc_id", X.normalise(F.col("text"), True).alias("text"))
+    return X.normalised(t("documents").select("doc_id", "text"), {"text": True})
 
 
 @query(f"""WITH s AS (SELECT text AS a, {_QUOTES_SQL.format('text')} AS b FROM documents), p AS (SELECT a, b, translate(b, '፡,;:?', ' ፣፤፥፧') AS c FROM s),
@@ -79,7 +81,7 @@ def normalize_modified_counts(t):
     return df.agg(*counts, F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(f"SELECT doc_id, sha1(concat_ws(chr(0), lang, source, text)) AS key FROM documents")
+@query(f"SELECT doc_id, sha1(concat_ws(chr(0), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS key FROM documents")
 def content_keys(t):
     return t("documents").select("doc_id", X.content_key(F.col("lang"), F.col("source"), F.col("text")).alias("key"))
 
@@ -110,16 +112,43 @@ def char_freq(t):
     return counts.select("source", F.explode(F.array(*(F.struct(F.lit(c).alias("glyph"), F.col(f"_{i}").alias("n")) for i, c in enumerate(_CHARS)))).alias("g")).select("source", "g.*")
 
 
-@query("SELECT * FROM (VALUES ('ሰላም', 'səlam'), ('፪', '2'), ('፴፪ ሰላም።', '32 səlam.'), ('ቋንቋ', 'qʷanqʷa')) AS v(text, latin)")
+@query(f"SELECT doc_id, array_to_string(string_split_regex({_MARKED.format('text')}, '[\\s\\x{{A0}}]+'), ' ') AS latin FROM documents")
 def transliterate(t):
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([("ሰላም",), ("፪",), ("፴፪ ሰላም።",), ("ቋንቋ",)], "text string").select("text", X.transliterate(F.col("text")).alias("latin"))
+    """Every text in Ethiopic spelling for some of its letters, and back: the table's own texts have no Ethiopic letter."""
+    marked = F.translate(F.col("text"), "bdfglmnrst", "ብድፍግልምንርስት")
+    return t("documents").select("doc_id", X.transliterate(marked).alias("latin"))
 
 
-@query("SELECT text, CAST(value AS BIGINT) AS value FROM (VALUES ('፪', 2), ('፴፪', 32), ('፻', 100), ('፻፩', 1), ('፪፻፩', 201)) AS v(text, value)")
+@query("SELECT doc_id, CAST(CASE WHEN n < 10 THEN n WHEN n < 100 THEN n WHEN n = 100 THEN 100 ELSE NULL END AS BIGINT) AS value FROM (SELECT doc_id, length(coalesce(text, '')) % 100 + 1 AS n FROM documents)")
 def ethiopic_numerals(t):
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(x,) for x in ("፪", "፴፪", "፻", "፻፩", "፪፻፩")], "text string").select("text", X.numeral_value(F.col("text")).alias("value"))
+    """A number from every text, written in Ethiopic numerals and read back."""
+    n = F.length(F.coalesce("text", F.lit(""))) % 100 + 1
+    tens, ones = F.floor(n / 10).cast("int"), (n % 10).cast("int")
+    spelled = F.when(n == 100, "፻").otherwise(F.concat(F.substring(F.lit("፲፳፴፵፶፷፸፹፺"), tens, F.when(tens > 0, 1).otherwise(0)), F.substring(F.lit("፩፪፫፬፭፮፯፰፱"), ones, F.when(ones > 0, 1).otherwise(0))))
+    return t("documents").select("doc_id", X.numeral_value(spelled).alias("value"))
+
+
+@query("SELECT doc_id, " + _STRIP_SQL.format(r"regexp_replace(coalesce(text, ''), '[\s\x{A0}]+', ' ', 'g')") + " AS flat, CASE WHEN " + _STRIP_SQL.format(r"coalesce(text, '')") + " = '' THEN 0 ELSE least(1.0::DOUBLE, n_chars / 500.0::DOUBLE) END AS score FROM documents")
+def flatten_confidence(t):
+    return t("documents").select("doc_id", F.coalesce(X.collapse_space(F.col("text")), F.lit("")).alias("flat"), X.confidence(F.col("text"), F.col("n_chars") / F.lit(500.0)).alias("score"))
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(coalesce(text, ''), chr(1) ORDER BY turn)) AS texts FROM conversations GROUP BY conv_id")
+def collect_by_group(t):
+    lists = R.collect_by(t("conversations").withColumn("text", F.coalesce("text", F.lit(""))), ["conv_id"], "text", "turn")
+    return lists.select("conv_id", F.size("text").cast("long").alias("n"), F.md5(F.array_join("text", "\x01")).alias("texts"))
+
+
+@query("SELECT doc_id, round(pow((5.0::DOUBLE + n_chars) / 6.0, 0.6), 6) AS penalty FROM documents")
+def length_penalty(t):
+    return t("documents").select("doc_id", F.round(X.length_penalty(F.col("n_chars"), 0.6), 6).alias("penalty"))
+
+
+@query("SELECT doc_id, round(len(list_filter(ids, lambda i: i = 1)) / greatest(len(ids), 1), 6) AS rate FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) > 7 THEN 1 ELSE length(w) + 10 END) AS ids FROM documents)")
+def unknown_rate(t):
+    """Ids stand in for a tokenizer's: words of more than seven letters are unknown."""
+    ids = F.transform(F.split("text", " "), lambda w: F.when(F.length(w) > 7, 1).otherwise(F.length(w) + 10))
+    return t("documents").select("doc_id", F.round(X.unknown_rate(ids), 6).alias("rate"))
 
 
 # ---------------------------------------------------------------- filters and deduplication
@@ -330,7 +359,7 @@ _SMALL = "CASE WHEN n = 1 THEN 1 ELSE floor(n * 0.8::DOUBLE) - CAST(n > 1 AND fl
 
 
 def _split(t, strata: dict, cut=R.plain_cut) -> DataFrame:
-    return R.split_groups(t("documents").select("doc_id", "text", "source").withColumns(strata), "text", list(strata), 42, cut, "doc_id")
+    return R.split_groups(t("documents").select("doc_id", "text", "source", "lang").withColumns(strata), "text", list(strata), 42, cut, "doc_id")
 
 
 @query(_split_sql(_BUCKET.format("text"), _PLAIN) + " SELECT doc_id, split FROM documents JOIN s USING (text)")
@@ -356,11 +385,63 @@ def split_ratio_matched(t):
     return s.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT n, CAST(tr AS BIGINT) AS train, CAST(va AS BIGINT) AS validation, CAST(n - tr - va AS BIGINT) AS test FROM (SELECT n, {_SMALL} FROM (SELECT range AS n FROM range(1, 41)))")
+@query(f"SELECT source, lang, n, CAST(tr AS BIGINT) AS train, CAST(va AS BIGINT) AS validation, CAST(n - tr - va AS BIGINT) AS test FROM (SELECT source, lang, n, {_SMALL} FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL))")
 def cut_small_strata(t):
-    n = SparkSession.getActiveSession().range(1, 41).withColumnRenamed("id", "n")
+    n = t("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     train, valid = R.small_cut(F.col("n"))
-    return n.select("n", train.cast("long").alias("train"), valid.cast("long").alias("validation"), (F.col("n") - train - valid).cast("long").alias("test"))
+    return n.select("source", "lang", "n", train.cast("long").alias("train"), valid.cast("long").alias("validation"), (F.col("n") - train - valid).cast("long").alias("test"))
+
+
+@query(_split_sql(f"{_BUCKET.format('text')} || source || lang", _SMALL) + " SELECT doc_id, split FROM documents JOIN s USING (text)")
+def split_bucket_cluster(t):
+    """Strata of length bucket and cluster; the language stands in for the cluster, so that SQL can say the same."""
+    return _split(t, {"cell": F.concat(X.length_bucket(F.col("text")), "source", "lang")}, R.small_cut).select("doc_id", "split")
+
+
+_SIDES = {"src": _FULL_SQL.replace("text", "src"), "tgt": _QUOTES_SQL.format(_STRIP_SQL.format("nfc_normalize(tgt)"))}
+_BUILD_SQL = f"""{_PAIRS}, n AS (SELECT conv_id * 1000 + turn AS ordinal, conv_id % 2 AS mined, {_SIDES['src']} AS src, {_SIDES['tgt']} AS tgt FROM pairs),
+  f AS (SELECT * FROM n WHERE length(src) > 5 AND length(src) < 500 AND length(tgt) > 10 AND length(tgt) < 500 AND {_PAREN_SQL.format('src')} AND {_PAREN_SQL.format('tgt')}),
+  d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY mined, src, CASE WHEN mined = 1 THEN '' ELSE tgt END ORDER BY ordinal) = 1),
+  p AS (SELECT *, {_KEY.format('src')} AS ks, {_KEY.format('tgt')} AS kt, sha1(src || chr(0) || tgt) AS row FROM d QUALIFY row_number() OVER (PARTITION BY src, tgt ORDER BY mined, ordinal) = 1)"""
+
+
+def _turn_sources(t) -> dict[str, DataFrame]:
+    """Two sources of sentence pairs: even conversations as a curated one, odd ones as a mined one."""
+    pairs = turn_pairs(t("conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "src", "tgt", (F.col("conv_id") % 2).alias("mined"))
+    return {name: pairs.filter(F.col("mined") == k).drop("mined") for k, name in enumerate(("human", "nllb"))}
+
+
+@query(_BUILD_SQL + """, g AS (SELECT src, min_by(CASE WHEN length(src) < 40 THEN 'short' WHEN length(src) >= 120 THEN 'long' ELSE 'medium' END, row) AS bucket FROM p GROUP BY src),
+  r AS (SELECT src, row_number() OVER (PARTITION BY bucket ORDER BY sha1(concat_ws(chr(0), '42', src)), src) AS r, count(*) OVER (PARTITION BY bucket) AS n FROM g),
+  s AS (SELECT src, CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r)
+  SELECT ordinal, CASE WHEN mined = 1 THEN 'nllb' ELSE 'human' END AS source, split, md5(src || chr(0) || tgt) AS pair_md5 FROM p JOIN s USING (src)""")
+def production_build(t):
+    """The production profile from cleaning to splits; without a benchmark, and with both scripts Latin."""
+    out = P.build(_turn_sources(t), None, P.PROFILES["production"], exempt=("human", "nllb"))
+    return out.select("ordinal", "source", "split", F.md5(F.concat("src", F.lit("\0"), "tgt")).alias("pair_md5"))
+
+
+def _bench_pairs(t) -> DataFrame:
+    """Every seventh conversation's pairs, in raw spelling, as a benchmark."""
+    pairs = turn_pairs(t("conversations")).filter(F.col("conv_id") % 7 == 0)
+    return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.concat(F.upper("src"), F.lit(" ! ")).alias("src"), "tgt")
+
+
+@query(_BUILD_SQL + f""", b AS (SELECT conv_id * 1000 + turn AS item_id, {_KEY.format("upper(src)")} AS bs, {_KEY.format("tgt")} AS bt FROM pairs WHERE conv_id % 7 = 0),
+  m AS (SELECT p.row, coalesce(min(b.item_id) FILTER (WHERE b.bs = p.ks AND p.ks <> ''), min(b.item_id) FILTER (WHERE b.bt = p.kt AND p.kt <> '')) AS item_id, CASE WHEN bool_or(b.bs = p.ks AND p.ks <> '') THEN 'src' ELSE 'tgt' END AS side
+    FROM p JOIN b ON (b.bs = p.ks AND p.ks <> '') OR (b.bt = p.kt AND p.kt <> '') GROUP BY p.row)
+  SELECT row, side, item_id FROM m""")
+def contamination_exact(t):
+    """The exact matches of a benchmark that is normalised first: one a row, the source side before the target."""
+    pooled = P.build(_turn_sources(t), None, P.PROFILES["production"], stages=("clean", "floors"), exempt=("human", "nllb"))
+    found = P.contamination(pooled, _bench_pairs(t))
+    return found.filter("kind = 'exact'").select("row", "side", "item_id")
+
+
+@query()
+def contamination_rollup(t):
+    pooled = P.build(_turn_sources(t), None, P.PROFILES["production"], stages=("clean", "floors"), exempt=("human", "nllb"))
+    return P.contamination_report(P.contamination(pooled, _bench_pairs(t)), pooled.count())
 
 
 @query()
@@ -370,8 +451,10 @@ def kmeans_clusters(t):
 
 @query()
 def split_semantic(t):
+    """Strata of length bucket and cluster; a vector belongs to the document of its id, where there is one."""
     clustered = A.kmeans(t("embeddings"), "embedding", 16).select("vec_id", "cluster")
-    return R.split_groups(clustered, "vec_id", ["cluster"], 42, R.small_cut, "vec_id").select("vec_id", "split")
+    texts = t("documents").select(F.col("doc_id").alias("vec_id"), X.length_bucket(F.col("text")).alias("bucket")).dropDuplicates(["vec_id"])
+    return R.split_groups(clustered.join(texts, "vec_id", "left"), "vec_id", ["bucket", "cluster"], 42, R.small_cut, "vec_id").select("vec_id", "split")
 
 
 # ---------------------------------------------------------------- domains
@@ -461,8 +544,8 @@ def nearest_text(t):
 
 @query()
 def vendi_diversity(t):
-    spark, e = SparkSession.getActiveSession(), t("embeddings")
-    return spark.createDataFrame([(float(A.vendi_score(e, "embedding", 64)),)], "vendi double")
+    e = t("embeddings")
+    return e.sparkSession.createDataFrame([(float(A.vendi_score(e, "embedding", 64)),)], "vendi double")
 
 
 @query(r"WITH w AS (SELECT lang, unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents), c AS (SELECT lang, word, count(*)::DOUBLE AS c FROM w WHERE word <> '' GROUP BY ALL) SELECT lang, count(*) AS types, CAST(sum(c) AS BIGINT) AS tokens, round(exp(ln(sum(c)) - sum(c * ln(c)) / sum(c)), 4) AS effective FROM c GROUP BY lang")
@@ -536,13 +619,39 @@ def sentence_bleu_worst(t):
     return A.bleu(_segments(t, False), ["seg"]).select("seg", "bleu").orderBy("bleu", "seg").limit(20)
 
 
-@query()
+def _two_refs_sql() -> str:
+    words = lambda c: f"list_filter(string_split_regex({_13A.format(c)}, ' +'), lambda w: w <> '')"
+    gram = "unnest(list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string(list_slice({0}, i, i + n - 1), ' ')))"
+    of = lambda c: f"(SELECT seg, n, g, count(*) AS c FROM (SELECT seg, n, {gram.format(c)} AS g FROM tok, orders WHERE len({c}) >= n) GROUP BY ALL)"
+    return f"""{_PAIRS}, three AS (SELECT conv_id * 1000 + turn AS seg, src, tgt, lead(tgt) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM pairs),
+  tok AS (SELECT seg, {words('src')} AS h, {words('tgt')} AS r, {words("coalesce(other, '')")} AS o FROM three), orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
+  m AS (SELECT seg, n, sum(least(a.c, greatest(coalesce(b.c, 0), coalesce(d.c, 0)))) AS correct, sum(a.c) AS total FROM {of('h')} a LEFT JOIN {of('r')} b USING (seg, n, g) LEFT JOIN {of('o')} d USING (seg, n, g) GROUP BY ALL),
+  w AS (SELECT seg, {', '.join(f"coalesce(sum({k}) FILTER (WHERE n = {i}), 0) AS {k}_{i}" for k in ('correct', 'total') for i in (1, 2, 3, 4))} FROM m GROUP BY seg),
+  st AS (SELECT tok.seg, len(h) AS sys_len, CASE WHEN abs(len(r) - len(h)) < abs(len(o) - len(h)) OR (abs(len(r) - len(h)) = abs(len(o) - len(h)) AND len(r) <= len(o)) THEN len(r) ELSE len(o) END AS ref_len, w.* EXCLUDE (seg) FROM tok LEFT JOIN w USING (seg))"""
+
+
+@query(f"{_two_refs_sql()}, s AS (SELECT count(*) AS n_segments, {_SUMS} FROM st) SELECT *, {_BLEU_SQL} FROM s")
 def multiref_bleu(t):
+    """Against the answer and the next answer of the conversation, as two references."""
     pairs = turn_pairs(t("conversations")).withColumn("seg", F.col("conv_id") * 1000 + F.col("turn"))
-    return A.bleu(A.segment_stats(pairs, "seg", A.tokens_13a(F.col("src")), [A.tokens_13a(F.col("tgt")), A.tokens_13a(F.col("src"))]))
+    two = pairs.withColumn("other", F.lead("tgt").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return A.bleu(A.segment_stats(two, "seg", A.tokens_13a(F.col("src")), [A.tokens_13a(F.col("tgt")), A.tokens_13a(F.coalesce("other", F.lit("")))]))
 
 
-@query()
+def _chrf_sql() -> str:
+    words = lambda c: f"list_filter(string_split_regex({_13A.format(c)}, ' +'), lambda w: w <> '')"
+    letters = lambda c: f"string_split(regexp_replace({c}, '[\\s\\x{{A0}}]+', '', 'g'), '')"
+    gram = "unnest(list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string(list_slice({0}, i, i + n - 1), chr(1))))"
+    of = lambda c: f"(SELECT seg, kind, n, g, count(*) AS c FROM (SELECT seg, kind, n, {gram.format(c)} AS g FROM tok JOIN orders USING (kind) WHERE len({c}) >= n) GROUP BY ALL)"
+    return f"""{_PAIRS}, tok AS (SELECT conv_id * 1000 + turn AS seg, 'w' AS kind, {words('src')} AS h, {words('tgt')} AS r FROM pairs UNION ALL SELECT conv_id * 1000 + turn, 'c', {letters('src')}, {letters('tgt')} FROM pairs),
+  orders AS (SELECT * FROM (VALUES ('c', 1), ('c', 2), ('c', 3), ('c', 4), ('c', 5), ('c', 6), ('w', 1), ('w', 2)) AS v(kind, n)),
+  a AS {of('h')}, b AS {of('r')},
+  x AS (SELECT kind, n, sum(least(a.c, b.c)) AS m FROM a JOIN b USING (seg, kind, n, g) GROUP BY ALL), y AS (SELECT kind, n, sum(c) AS h FROM a GROUP BY ALL), z AS (SELECT kind, n, sum(c) AS r FROM b GROUP BY ALL),
+  e AS (SELECT avg(coalesce(m, 0)::DOUBLE / h) AS p, avg(coalesce(m, 0)::DOUBLE / r) AS q FROM y JOIN z USING (kind, n) LEFT JOIN x USING (kind, n))
+  SELECT round(CASE WHEN p + q > 0 THEN 100 * 5 * p * q / (4 * p + q) ELSE 0 END, 4) AS chrfpp FROM e"""
+
+
+@query(_chrf_sql())
 def chrfpp(t):
     pairs = turn_pairs(t("conversations")).withColumn("seg", F.col("conv_id") * 1000 + F.col("turn"))
     return A.chrf(pairs, "seg", F.col("src"), F.col("tgt"))
@@ -634,8 +743,23 @@ def moses_tokenise(t):
 
 @query()
 def domain_shift(t):
-    auc = A.domain_shift_auc(t("embeddings"), "embedding", F.col("label") < 5)
-    return SparkSession.getActiveSession().createDataFrame([(auc,)], "auc double")
+    e = t("embeddings")
+    auc = A.domain_shift_auc(e, "embedding", F.col("label") < 5, "vec_id")
+    mmd, p = A.mean_discrepancy(e, "embedding", F.col("label") < 5, "vec_id", 1.0)
+    return e.sparkSession.createDataFrame([(auc, mmd, p)], "auc double, mmd2 double, p_value double")
+
+
+@query("SELECT page_id, n = 1 AS only_page FROM (SELECT page_id, count(*) OVER (PARTITION BY " + _HOST_SQL + ") AS n FROM pages)")
+def domain_singletons(t):
+    d = _domains(t).select("page_id", "host")
+    counts = d.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return d.join(counts, "host").select("page_id", (F.col("n") == 1).alias("only_page"))
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_quantity > 10 AND l_discount > 0.02 AND l_extendedprice > 1000")
+def mined_scan(t):
+    """Three strict floors over the largest table, pushed to the scan."""
+    return mined_pairs(t("lineitem"), {"l_quantity": 10, "l_discount": 0.02, "l_extendedprice": 1000}, {}, "double").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- the flagship
