@@ -7,12 +7,12 @@ from counts of texts, a word t discloses an entity e to the degree PMI(e; t) / I
 which is 1 if t is found nowhere but with e.  Words above one threshold are replaced
 by their shape, above a higher one they are removed.
 
-All counts have one unit, the distinct text, and a word occurs with an entity if it
-stands anywhere in the same text.  Thresholds: at 0.75 an intruder who reads the word has
+All counts have one unit, the document, and a word occurs with an entity if it stands
+anywhere in the same document.  Thresholds: at 0.75 an intruder who reads the word has
 learnt three quarters of the entity's information, so that N ** 0.25 candidates are left of
 N; at 0.9 N ** 0.1, a handful.  Two tests keep chance and copies out.  A word must be seen
 with the entity so often that this would happen by chance once in a hundred corpora, over all
-pairs tested (p(e) ** n against 0.01 / pairs), and in three texts at least.  And at least half
+pairs tested (p(e) ** n against 0.01 / pairs), n being different texts and three at least.  And at least half
 of the texts that speak for a pair, and three of them, must differ in a min-hash of their
 three-word shingles, which near copies mostly share.
 """
@@ -118,29 +118,30 @@ def sketch(words: Column) -> Column:
 
 
 def texts_with_entities(based: DataFrame) -> DataFrame:
-    """(_hash, entities, words, sketch), one row per distinct text that has an entity."""
+    """(_hash, copies, entities, words, sketch), one row per distinct text that has an entity."""
     told = let(words_of(F.col("_text")), lambda w: F.struct(F.array_distinct(w).alias("words"), sketch(w).alias("sketch")))
     entities = F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))
     one = F.when(F.size("_base") > 0, F.array(F.struct(entities.alias("entities"), told.alias("told"))))
     # Not a filter on _base: Spark would compute the spans a second time for it.
     found = based.select("_hash", F.explode_outer(one).alias("one")).filter(F.col("one").isNotNull())
-    return found.dropDuplicates(["_hash"]).select("_hash", "one.entities", "one.told.words", "one.told.sketch")
+    found = found.groupBy("_hash").agg(F.first("one").alias("one"), F.count(F.lit(1)).alias("copies"))
+    return found.select("_hash", "copies", "one.entities", "one.told.words", "one.told.sketch")
 
 
 def entity_classes(texts: DataFrame, support: int) -> DataFrame:
-    """(_hash, class, of_entity): the texts of each entity that ``support`` texts have.
+    """(_hash, class, of_entity): the texts of each entity that ``support`` texts have, and how many documents those are.
 
     Entities that stand in the very same texts have the same counts with every word; they are
     one class, so a directory of thousands of addresses costs a row per text, not one per address.
     """
-    each = texts.select("_hash", F.explode("entities").alias("entity"))
-    sets = each.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor("_hash").alias("x"), F.bit_xor(F.xxhash64("_hash")).alias("y"))
-    sets = sets.filter(F.col("of_entity") >= support).select("entity", F.xxhash64("of_entity", "x", "y").alias("class"), "of_entity")
+    each = texts.select("_hash", "copies", F.explode("entities").alias("entity"))
+    sets = each.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("of_entity"), F.bit_xor("_hash").alias("x"), F.bit_xor(F.xxhash64("_hash")).alias("y"))
+    sets = sets.filter(F.col("texts") >= support).select("entity", F.xxhash64("texts", "x", "y").alias("class"), "of_entity")
     return each.join(sets, "entity").select("_hash", "class", "of_entity").distinct()
 
 
 def disclosure(n: Column, both: Column, of_entity: Column, of_term: Column) -> Column:
-    """PMI(e; t) / IC(e) from counts of texts: all, with both, with the entity, with the word."""
+    """PMI(e; t) / IC(e) from counts of documents: all, with both, with the entity, with the word."""
     information = F.log(n / of_entity)
     return F.when(information > 0, F.log(n * both / (of_entity * of_term)) / information).otherwise(0.0)
 
@@ -148,32 +149,37 @@ def disclosure(n: Column, both: Column, of_entity: Column, of_term: Column) -> C
 def disclosing_terms(docs: DataFrame, texts: DataFrame, *, support: int = SUPPORT, threshold: float = GENERALISE, chance: float = CHANCE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(_hash, term, class, disclosure): the words of each text that disclose an entity of it to at least ``threshold``.
 
-    Counts cover every distinct text of ``docs``.  Which texts have a word at all is only
-    counted for words that may disclose something, by a bound: a word is in no fewer texts than
-    have it beside some entity.  Their list is broadcast if it has at most ``broadcast_rows``
-    rows and joined by shuffle otherwise.
+    Counts cover every document.  How many have a word at all only matters for words that may
+    disclose something, by a bound: a word is in no fewer documents than have it beside some
+    entity.  The list of those words is broadcast if it has at most ``broadcast_rows`` rows and
+    joined by shuffle otherwise, in either case with words that are counted already.
     """
-    n = F.lit(float(max(docs.select("_hash").distinct().count(), 2)))
+    n = F.lit(float(max(docs.count(), 2)))
     classes = checkpointed(entity_classes(texts, support))
-    beside = texts.join(classes.select("_hash").distinct(), "_hash", "left_semi").select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= support)
-    said = classes.join(texts, "_hash").select("_hash", "class", "of_entity", "sketch", F.explode("words").alias("term"))
-    both = checkpointed(said.groupBy("class", "of_entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support))
+    beside = texts.join(classes.select("_hash").distinct(), "_hash", "left_semi").select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("beside"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    said = classes.join(texts, "_hash").select("_hash", "class", "of_entity", "copies", "sketch", F.explode("words").alias("term"))
+    both = said.groupBy("class", "of_entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
+    both = checkpointed(both.filter(F.col("texts") >= support))
     tested = F.lit(float(max(both.count(), 1)))
-    certain = F.col("both") * F.log(n / F.col("of_entity")) >= F.log(tested / F.lit(chance))
-    possible = both.filter(certain).join(beside, "term").filter(disclosure(n, F.col("both"), F.col("of_entity"), F.col("beside")) >= threshold)
-    rows = checkpointed(said.drop("of_entity").join(possible.select("class", "term", "of_entity", "both"), ["class", "term"]))
-    # Near copies share most of their shingles, so also their sketch: they are no evidence.
-    sketches = rows.groupBy("class", "term", "of_entity", "both", "sketch").agg(F.count(F.lit(1)).alias("_")).groupBy("class", "term", "of_entity", "both").agg(F.count(F.lit(1)).alias("sketches"))
-    pairs = checkpointed(sketches.filter((F.col("sketches") >= support) & (2 * F.col("sketches") >= F.col("both"))).drop("sketches"))
-    candidates = pairs.select("term").distinct()
+    certain = F.col("texts") * F.log(n / F.col("of_entity")) >= F.log(tested / F.lit(chance))
+    possible = checkpointed(both.filter(certain).join(beside, "term").filter(disclosure(n, F.col("both"), F.col("of_entity"), F.col("beside")) >= threshold).drop("beside"))
+    candidates = possible.select("term").distinct()
     known = candidates.limit(broadcast_rows + 1).count()
+    none = texts.select("_hash", F.lit("").alias("term"), F.lit(0).cast("long").alias("class"), F.lit(0.0).alias("disclosure")).limit(0)
     if not known:
-        return rows.select("_hash", "term", "class", F.lit(0.0).alias("disclosure")).limit(0)
-    spread = docs.select("_hash", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term"))
-    spread = spread.join(F.broadcast(candidates) if known <= broadcast_rows else candidates, "term", "left_semi")
-    of_term = spread.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    degrees = pairs.join(of_term, "term").select("class", "term", disclosure(n, F.col("both"), F.col("of_entity"), F.col("of_term")).alias("disclosure"))
-    return rows.select("_hash", "class", "term").join(degrees.filter(F.col("disclosure") >= threshold), ["class", "term"]).select("_hash", "term", "class", "disclosure")
+        return none
+    # Counted before the join: of a common word a task sends one row, however many documents have it.
+    of_term = docs.select(F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    degrees = possible.join(of_term.join(F.broadcast(candidates) if known <= broadcast_rows else candidates, "term", "left_semi"), "term")
+    degrees = degrees.select("class", "term", "texts", disclosure(n, F.col("both"), F.col("of_entity"), F.col("of_term")).alias("disclosure"))
+    degrees = checkpointed(degrees.filter(F.col("disclosure") >= threshold))
+    if not degrees.limit(1).count():
+        return none
+    rows = checkpointed(said.select("_hash", "class", "term", "sketch").join(degrees, ["class", "term"]))
+    # Near copies share most of their shingles, so also their sketch: they are no evidence.
+    sketches = rows.groupBy("class", "term", "texts", "sketch").agg(F.count(F.lit(1)).alias("_")).groupBy("class", "term", "texts").agg(F.count(F.lit(1)).alias("sketches"))
+    proven = sketches.filter((F.col("sketches") >= support) & (2 * F.col("sketches") >= F.col("texts"))).select("class", "term")
+    return rows.join(proven, ["class", "term"]).select("_hash", "term", "class", "disclosure")
 
 
 def _digest_text(spans: Column) -> Column:
