@@ -44,7 +44,7 @@ END = np.uint64(0x00E7D)  # the end of a text, as a token
 BOS = CLASSES
 #: Times a word n-gram and a skip n-gram must occur in training to be a feature; the prior's precision; its rounds.
 NGRAM_FROM, SKIP_FROM, PRIOR, WORD_ROUNDS = 2, 3, 1.0, 12
-SHARD_TOKENS, CHUNK_TOKENS, CACHED_WORDS = 2_000_000, 1_000_000, 1_000_000
+SHARD_TOKENS, CHUNK_TOKENS, CACHED_WORDS = 2_000_000, 700_000, 700_000
 GROUP_BITS = 48
 BLOCK = 1 << 21
 NO_WORD = (1 << 20) - 1  # in place of the index of a word that is not among the frequent ones
