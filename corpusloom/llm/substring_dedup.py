@@ -365,11 +365,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("seed and length are out of range")
     id_type = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    nil = F.col(id_col).isNull()
-    # ``th`` names a row together with its id: it covers whether the id is null.
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text, nil).alias("th"), text.alias("text"), nil.alias("nil")).repartition("doc", "th")
+    # ``th`` names a row together with its id; its last bit says that the id is null.
+    th = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(id_col).isNull().cast("long"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), th.alias("th"), text.alias("text")).repartition("doc", "th")
     spans = repeated_spans(keyed, length, seed)
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("nil", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text)
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text)
 
     def finish(batches):
         for block in blocks(batches, "text"):
@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 runs.append(len(start))
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            yield arrow_batch(schema, [block.rows.column(0), block.rows.column(2), block.lengths, removed, runs, digest] + [kept] * with_text)
+            yield arrow_batch(schema, [block.rows.column(0), block.rows.column(1), block.lengths, removed, runs, digest] + [kept] * with_text)
 
-    out = keyed.join(spans, ["doc", "th"], "left").select("doc", "text", "nil", "spans").mapInArrow(finish, schema)
-    return out.select(F.when(~F.col("nil"), F.col("doc")).cast(id_type).alias("doc_id"), *out.columns[2:])
+    out = keyed.join(spans, ["doc", "th"], "left").select("doc", "th", "text", "spans").mapInArrow(finish, schema)
+    return out.select(F.when(F.col("th").bitwiseAND(F.lit(1)) == 0, F.col("doc")).cast(id_type).alias("doc_id"), *out.columns[2:])
