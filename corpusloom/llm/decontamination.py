@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_batch
+from .shared import arrow_batch, whole_row
 
 ERROR_RATE, MIN_PIECE, BLOCK_PIECES = 0.1, 8, 20_000
 _GAP = re.compile(r"[\W_]+")
@@ -163,7 +163,8 @@ def find_contamination(
     ``distance`` is the least edit distance that the hits lead to.  Both sides are
     normalised.  An item that is null or has no letter or digit matches nothing, and
     neither does a null or empty document.  Repeated documents are reported each;
-    repeated items once per id.  Extra columns are not read.
+    repeated items once per id.  Extra columns are not read.  Empty tables on either side
+    give an empty result.  A very long text is searched whole.
 
     The benchmark goes to the executors in blocks of at most ``block_pieces`` pieces;
     a larger benchmark means more passes over the documents, not a larger broadcast.
@@ -188,15 +189,20 @@ def find_contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE, block_pieces: int = BLOCK_PIECES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that :func:`find_contamination` would not report.  Rows are filtered where they are."""
-    schema, at = docs.schema, docs.columns.index(text_col)
+    """The documents, all columns, that :func:`find_contamination` would not report.
+
+    Rows are filtered where they are, null and repeated ones too, each by its own text; columns
+    may have any name; of an empty table nothing is left.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), whole_row(docs))  # columns of any name
+    schema = rows.schema
     for block in benchmark_blocks(benchmark, item_col, item_text_col, rate, min_piece, block_pieces):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, rate, min_piece)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.search(normalise(t.as_py())) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not matcher.search(normalise(t.as_py())) for t in batch.column(0)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        rows = rows.mapInArrow(run, schema)
+    return rows.select("_row.*")
