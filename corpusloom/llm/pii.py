@@ -169,8 +169,9 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, *, support: int = SUPPOR
     if not known:
         return none
     # Counted before the join: of a common word a task sends one row, however many documents have it.
+    # The join is an inner one, since Catalyst would move a semi join below the count, to the words' occurrences.
     of_term = docs.select(F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    degrees = possible.join(of_term.join(F.broadcast(candidates) if known <= broadcast_rows else candidates, "term", "left_semi"), "term")
+    degrees = possible.join(of_term.join(F.broadcast(candidates) if known <= broadcast_rows else candidates, "term"), "term")
     degrees = degrees.select("class", "term", "texts", disclosure(n, F.col("both"), F.col("of_entity"), F.col("of_term")).alias("disclosure"))
     degrees = checkpointed(degrees.filter(F.col("disclosure") >= threshold))
     if not degrees.limit(1).count():
