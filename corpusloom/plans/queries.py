@@ -15,6 +15,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import analysis as A
 from corpusloom.operators import relational as R
 from corpusloom.plans import pipelines as P
+from corpusloom.plans import studies as S
 from corpusloom.sources.readers import mined_pairs, turn_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -762,6 +763,58 @@ def mined_scan(t):
     return mined_pairs(t("lineitem"), {"l_quantity": 10, "l_discount": 0.02, "l_extendedprice": 1000}, {}, "double").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- named studies
+
+
+_LABELLED = "(SELECT d.doc_id, d.source, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id))"
+
+
+def _arm_rows(arms: dict[str, DataFrame]) -> DataFrame:
+    first, second = (df.select(F.lit(name).alias("arm"), "doc_id") for name, df in arms.items())
+    return first.unionByName(second)
+
+
+@query(f"SELECT 'narrow' AS arm, doc_id FROM documents WHERE source = 'src0' AND text IS NOT NULL UNION ALL SELECT 'broad', doc_id FROM (SELECT doc_id FROM {_LABELLED} WHERE quality > 0.5 ORDER BY n_chars DESC, doc_id LIMIT 200)")
+def domain_arms(t):
+    """One source whole against the 200 longest labelled documents above a floor."""
+    docs = t("documents")
+    return _arm_rows(S.domain_arms(docs.filter("source = 'src0'"), docs.join(t("labels").select("doc_id", "quality"), "doc_id"), "n_chars", {"quality": 0.5}, 200, ["text"], ["doc_id"]))
+
+
+@query(f"SELECT 'first' AS arm, doc_id FROM {_LABELLED} WHERE source = 'src1' AND quality > 0.15 UNION ALL SELECT 'other', doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE source <> 'src1') WHERE r <= (SELECT count(*) FROM {_LABELLED} WHERE source = 'src1' AND quality > 0.15)")
+def matched_arms(t):
+    """The labelled documents of a source above a floor, and as many of the longest of all others."""
+    docs = t("documents")
+    first = docs.filter("source = 'src1'").join(t("labels").select("doc_id", "quality"), "doc_id").filter("quality > 0.15")
+    return _arm_rows(S.matched_arms(first, docs.filter("source != 'src1'"), "n_chars", None, ["doc_id"]))
+
+
+@query("SELECT lang AS arm, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha1(concat_ws(chr(0), '42', CAST(doc_id AS VARCHAR))), doc_id) AS r FROM documents WHERE lang IN ('de', 'en')) WHERE r <= (SELECT least(count(*) FILTER (WHERE lang = 'de'), count(*) FILTER (WHERE lang = 'en')) FROM documents)")
+def equal_arms(t):
+    """Two languages cut to the size of the smaller one, in seeded order."""
+    return _arm_rows(S.equal_sized({x: t("documents").filter(F.col("lang") == x) for x in ("de", "en")}, "doc_id"))
+
+
+@query(f"{_PAIRS} SELECT conv_id, turn, len(string_split(tgt, ' ')) + 2 AS n_src, len(string_split(src, ' ')) + 2 AS n_tgt FROM pairs WHERE len(string_split(tgt, ' ')) <= 148 AND len(string_split(src, ' ')) <= 148")
+def reversed_encode(t):
+    """The other direction's framed ids; stand-in ids as above."""
+    encode = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w) + 10)
+    same = lambda c: c
+    arm = S.encoded_arm(S.reversed_pairs(turn_pairs(t("conversations"))), encode, same, same)
+    return arm.select("conv_id", "turn", F.size("src").cast("long").alias("n_src"), F.size("tgt").cast("long").alias("n_tgt"))
+
+
+@query("SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL")
+def mean_tensors(t):
+    """The mean of each place of equally labelled vectors, as of checkpoints' tensors."""
+    return S.mean_tensors(t("embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 5))
+
+
+@query("SELECT event_type, user_id % 5 AS seed, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std FROM events GROUP BY ALL")
+def seed_report(t):
+    return S.seed_report(t("events").withColumn("seed", F.col("user_id") % 5), ["event_type", "seed"], "value")
+
+
 # ---------------------------------------------------------------- the flagship
 
 
