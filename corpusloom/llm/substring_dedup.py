@@ -15,7 +15,8 @@ stretch (the edges of repeats), fetches those few bytes, and holds every suffix
 starts in them against each other in their true byte order: only a common prefix of
 ``length`` bytes is a match.  Both families take batches as they come: a new batch gets its
 suffix array, is merge-scanned against the existing levels, and levels of like size are
-merged, so there are only logarithmically many.
+merged, so there are only logarithmically many.  Suffixes are many and 200 bytes long, so
+stage 2 reads its shard sorted by anchor and begins a new family after some whole anchors.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ from .arrow_text import SpanHash, blocks, mix64
 from .shared import arrow_batch, checkpointed
 
 LENGTH, SEED = 200, 64
-POSITION_BITS = 23
+POSITION_BITS = 20
 SEGMENT = 1 << POSITION_BITS
 BATCH_ROWS = 1 << 17
+#: Stretches that stage 2 takes at a time, and the most suffixes it writes out at a time.
+STRETCHES, SUFFIXES = 1 << 10, 1 << 16
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,40 +256,85 @@ def _index_runs(batches):
     yield out(e["payload"][wanted], anchor[wanted], np.where(e["matched"][wanted], _WITNESS, _EDGE))
 
 
-def _index_suffixes(length: int, rows_at_once: int = 1024):
-    """Stage 2 in one shard: the suffixes of edge stretches whose first ``length`` bytes another stretch has too."""
-    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+def whole_anchors(batches, rows: int):
+    """Arrow batches, sorted by their first column, joined to ones of at least ``rows`` rows (the last of fewer) that cut no anchor in two."""
+    held, size, now = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor = batch.column(0).to_numpy()
+        new = np.flatnonzero(np.concatenate(([now is not None and anchor[0] != now], anchor[1:] != anchor[:-1])))
+        at, now = 0, anchor[-1]
+        while size + batch.num_rows - at >= rows:
+            k = np.searchsorted(new, max(at + rows - size, 0))
+            if k == len(new):
+                break
+            stop = int(new[k])
+            held.append(batch.slice(at, stop - at))
+            yield pa.Table.from_batches(held)
+            held, size, at = [], 0, stop
+        held.append(batch.slice(at))
+        size += batch.num_rows - at
+    if size:
+        yield pa.Table.from_batches(held)
 
-    def spans(found):
-        """Suffix starts as maximal runs per stretch; a start of -1 is a witness and not reported."""
-        doc, th, at = found[found[:, 2] >= 0].T
-        order = np.lexsort((at, th, doc))
-        doc, th, at = doc[order], th[order], at[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (at[1:] > at[:-1] + 1)
-        head = np.flatnonzero(new)
-        tail = np.concatenate((head, [len(at)]))[1:] - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(th[head]), pa.array(at[head]), pa.array(at[tail] + length)], schema=schema)
 
-    def run(batches):
+def matched_windows(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, length: int, at_once: int) -> np.ndarray:
+    """Which windows of the stretches of some whole anchors have an equal among them: a row per stretch, a column per window.
+
+    ``place`` is the anchor's in its stretch.  Equal windows have their anchors at equal
+    distances, so some distances at a time have a family of their own, and no more than
+    ``at_once`` suffixes are written out at a time unless one distance has more; those come
+    in batches, and the family holds that one distance.
+    """
+    counts = np.diff(offsets) - length + 1
+    matched = np.zeros((len(counts), int(counts.max()) + 1), bool)
+    flat, width = matched.ravel(), matched.shape[1]
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    lowest, span = int((place - counts).min()) + 1, int(place.max()) + 1
+    change = np.bincount(place - counts + 1 - lowest, minlength=span - lowest + 1) - np.bincount(place + 1 - lowest, minlength=span - lowest + 1)
+    total = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1])))  # of the suffixes at smaller distances
+    at = 0
+    while at < span - lowest:
+        to = max(int(np.searchsorted(total, total[at] + at_once, side="right")) - 1, at + 1)
+        to = min(to, at + max(4 * at_once // len(counts), 1))
+        inner = place[None, :] - np.arange(lowest + at, lowest + to)[:, None]
+        own = np.flatnonzero((inner >= 0) & (inner < counts))
+        inner, row = inner.ravel()[own], own % len(counts)
         family = SuffixFamily()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(at, rows_at_once)
-                doc, th, kind, first = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                column = part.column(4).cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-                data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                counts = np.diff(offsets) - length + 1
-                row = np.repeat(np.arange(len(counts)), counts)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                suffix = np.lib.stride_tricks.sliding_window_view(data, length)[(offsets - offsets[0])[row] + inner]
-                payload = np.stack((doc[row], th[row], np.where(kind[row] == _EDGE, first[row] + inner, -1)), axis=1)
-                matched = family.add(np.ascontiguousarray(suffix).view(f"S{length}").ravel(), payload)
-                yield spans(payload[matched])
+        for x in range(0, len(row), at_once):
+            r, i = row[x : x + at_once], inner[x : x + at_once]
+            name = r * width + i
+            hit = family.add(windows[offsets[r] + i].view(f"S{length}").ravel(), name)
+            flat[name[hit]] = True
         e = family.entries()
         if e is not None:
-            yield spans(e["payload"][e["matched"] & ~e["reported"]])
+            flat[e["payload"][e["matched"]]] = True
+        at = to
+    return matched
+
+
+def _index_suffixes(length: int, rows_at_once: int = STRETCHES, at_once: int = SUFFIXES):
+    """Stage 2 in one shard, sorted by anchor: the suffixes of edge stretches whose first ``length`` bytes another stretch has too.
+
+    Only stretches of one anchor can share them, so the index holds a few whole anchors at a
+    time, and never grows with the shard.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+    def run(batches):
+        for part in whole_anchors(batches, rows_at_once):
+            doc, th, kind, first, place = (part.column(i).to_numpy() for i in range(1, 6))
+            column = pa.concat_arrays([c.cast(pa.large_binary()) for c in part.column(6).chunks])
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            matched = matched_windows(data, offsets - offsets[0], place, length, at_once)
+            matched[kind != _EDGE] = False  # a witness is not reported
+            # Maximal runs per stretch; the last column is empty.
+            change = np.flatnonzero(np.diff(matched.ravel(), prepend=False))
+            row, start = np.divmod(change[::2], matched.shape[1])
+            stop = change[1::2] - row * matched.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(th[row]), pa.array(first[row] + start), pa.array(first[row] + stop - 1 + length)], schema=schema)
 
     return run
 
@@ -308,7 +356,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     runs_schema = T.StructType([T.StructField(c, T.BinaryType() if c == "name" else T.LongType()) for c in ("anchor", "name", "doc", "th", "packed", "kind")])
 
     def runs(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", SEGMENT):
             first, last, place, name = anchored_runs(block.data, block.offsets, length, seed)
             if not len(first):
                 continue
@@ -329,21 +377,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     indexed = checkpointed(indexed)
     # Stage 2: the bytes of the edges, cut from their documents.
     edges = indexed.filter(F.col("kind").isin(_EDGE, _WITNESS)).groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "anchor", "packed")).alias("edges"))
-    stretch_schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("first", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("anchor", T.LongType())])
+    stretch_schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("first", T.LongType()), T.StructField("place", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("anchor", T.LongType())])
 
     def cut(batches):
         for block in blocks(batches, "text"):
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for i in range(block.n):
                 text = block.text_bytes(i)
                 for e in block.rows.column(3)[i].as_py():
-                    first, n, _ = (int(x) for x in _unpack(np.int64(e["packed"])))
-                    for column, value in zip(out, (block.rows.column(0)[i].as_py(), block.rows.column(1)[i].as_py(), e["kind"], first, text[first : first + n - 1 + length], e["anchor"]), strict=True):
+                    first, n, place = (int(x) for x in _unpack(np.int64(e["packed"])))
+                    for column, value in zip(out, (block.rows.column(0)[i].as_py(), block.rows.column(1)[i].as_py(), e["kind"], first, place, text[first : first + n - 1 + length], e["anchor"]), strict=True):
                         column.append(value)
             yield arrow_batch(stretch_schema, out)
 
     pieces = docs.join(edges, ["doc", "th"]).select("doc", "th", "text", "edges").mapInArrow(cut, stretch_schema)
-    windows = pieces.repartition("anchor").select("doc", "th", "kind", "first", "data").mapInArrow(_index_suffixes(length), "doc long, th long, start long, stop long")
+    windows = pieces.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc", "th", "kind", "first", "place", "data").mapInArrow(_index_suffixes(length), "doc long, th long, start long, stop long")
     whole = indexed.filter(F.col("kind") == _DUPLICATE).select("doc", "th", F.shiftright("packed", 18).alias("start"), (F.shiftright("packed", 18) + F.shiftright("packed", 9).bitwiseAND(F.lit(511)) - 1 + length).alias("stop"))
     settled = indexed.filter(F.col("kind") == _SPAN).select("doc", "th", F.col("packed").alias("start"), F.col("anchor").alias("stop"))
     return whole.unionByName(settled).unionByName(windows).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -357,7 +405,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     is empty, and a text shorter than ``length`` stays whole.  Repeated rows hold the same
     strings elsewhere and so lose them.  Null ids are one id among others.  The id must be
     an integer; other columns are not read.  A very long text is indexed whole, in segments of
-    8 MB.  An empty table gives an empty result.
+    1 MB.  An empty table gives an empty result.
 
     What is kept may cut a UTF-8 sequence and is therefore bytes.
     """

@@ -354,6 +354,59 @@ def test_index_of_runs_is_far_from_quadratic():
     assert seconds(1_600_000) < 32 * seconds(200_000)  # eight times the rows: a quadratic cost would be 64 times as high
 
 
+def test_index_of_suffixes_is_bounded():
+    import tracemalloc
+
+    def stretches(n, anchors, rng):
+        """Rows as stage 2 gets them, and the windows that they have: each stretch has its anchor in the middle, and half of them a neighbour's left side."""
+        for k in range(0, n, 1000):
+            anchor = np.sort(np.arange(k, min(n, k + 1000)) * anchors // n)
+            raw = rng.integers(97, 123, (len(anchor), 330)).astype(np.uint8)
+            raw[1::2, :230] = raw[0::2, :230]
+            raw[:, 230] = 65 + np.arange(len(anchor)) % 2
+            data = [r.tobytes() for r in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(np.full(len(anchor), x) + np.arange(k, k + len(anchor)) * y) for x, y in ((0, 1), (7, 0), (1, 0), (5, 0), (133, 0))), pa.array(data, pa.binary())], names=list("abcdefg"))
+
+    def peak(n, anchors):
+        found = Counter()
+        tracemalloc.start()
+        for out in substring_dedup._index_suffixes(200)(stretches(n, anchors, np.random.default_rng(n))):
+            found.update(zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == {(5, 235): n}  # the 31 windows of the common side
+        return most
+
+    # 131 suffixes of 200 bytes a stretch were 26 KB each, and they stayed.
+    assert peak(16_000, 4_000) < 1.1 * peak(4_000, 1_000) < 150 << 20
+    assert peak(8_000, 1) < 150 << 20
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 16])
+def test_suffixes_by_distance_against_brute_force(at_once):
+    rng = np.random.default_rng(5)
+    size = rng.integers(8, 20, 40)
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    place = np.array([rng.integers(n - 8, 13) for n in size])
+    # A byte tells how far the anchor is, and a bit: equal windows have their anchors at equal distances.
+    texts = [bytes((2 * (20 + p - np.arange(n)) + (rng.random(n) < 0.2)).astype(np.uint8)) for n, p in zip(size, place, strict=True)]
+    got = substring_dedup.matched_windows(np.frombuffer(b"".join(texts), np.uint8), offsets, place, 8, at_once)
+    seen = Counter((p - i, t[i : i + 8]) for t, p in zip(texts, place, strict=True) for i in range(len(t) - 7))
+    assert 0 < got.sum() < sum(seen.values())
+    for row, t, p in zip(got, texts, place, strict=True):
+        assert row.tolist() == [i < len(t) - 7 and seen[p - i, t[i : i + 8]] > 1 for i in range(got.shape[1])]
+
+
+def test_whole_anchors_are_not_cut():
+    rng = np.random.default_rng(6)
+    for rows in (1, 7, 60):
+        anchor = np.sort(rng.integers(0, 40, 300))
+        cut = np.sort(rng.integers(0, 300, 12))
+        parts = [p.column(0).to_numpy() for p in substring_dedup.whole_anchors((pa.RecordBatch.from_arrays([pa.array(a)], ["anchor"]) for a in np.split(anchor, cut)), rows)]
+        assert np.concatenate(parts).tolist() == anchor.tolist()
+        assert all(a[-1] != b[0] and len(a) >= rows for a, b in zip(parts[:-1], parts[1:], strict=True))
+
+
 def test_repeats_of_thue_morse_strings_and_odd_ids(spark):
     t = "a"
     while len(t) < 2048:
