@@ -28,6 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word Jaccard similarity 0.8 or more) one document stays.
 
+    Candidates share Golay codewords in segments of their SimHash fingerprints; whole shingle sets decide.
     It is the one with the smallest id, a null id after all others; null, empty and blank texts
     are one group.  Rows are judged by their own texts, not by their ids.
     """

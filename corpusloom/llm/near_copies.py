@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingle sets.
-
-A SimHash fingerprint cannot give this: of 64 bits a pair at 0.8 differs in some 10 (the angle
-of sets that share 8/9 of their members is 27 degrees), and keys complete for 10 and more
-errors (two Golay segments with three errors each) are thousands a fingerprint.  So
-candidates come from MinHash: 96 minima in 24 bands of four.  A pair at similarity 0.8
-shares no band with probability 3e-6, a closer one with less.  Texts that share a band
-meet in a bucket, and every pair that a bucket has to connect is verified on the whole
-sets of hashes; only exact similarities decide.
+"""Near copies by the Jaccard similarity of word shingle sets, found by SimHash fingerprints and Golay codewords.
+
+The method is that of ``simhash_dedup``, with a wider budget of bits.  A pair at similarity
+0.8 differs in some 15% of its fingerprint bits (the angle of sets that share 8/9 of their
+members is 27 degrees), about 10 of 64, so one fingerprint of three segments more or less
+equal is not enough: a set gets 18 fingerprints, and their 72 segments of 16 bits make 24
+tables of three.  Two segments share one of their Golay codewords with probability 0.79 at
+15% (always up to 2 bits, as before), unrelated ones with 0.07.  Sets that share a codeword
+in each segment of a table and that are near in 256 check bits and in size are linked; a pair
+at 0.8 is in no table with probability 1.1e-7 (1e-4 for a set of four shingles against one of
+five, whose bits differ in 19%), a closer one with less.  What these links connect is one
+class of candidates, in which every pair that has to be is verified on the whole sets of
+hashes; only exact similarities decide.
 """
 
 from __future__ import annotations
@@ -21,15 +25,24 @@ from pyspark.sql import types as T
 from .arrow_text import Block, blocks, mix64
 from .components import components
 from .shared import arrow_batch, checkpointed, join_largest, whole_row
-from .simhash_dedup import SEED, shingle_hashes
+from .simhash_dedup import SEED, segment_codewords, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
-#: A pair at 0.8 agrees in fewer than 52 of the 96 minima with probability 7e-8.
-AGREE = 52
+TABLES, SEGMENTS = 24, 3
+PRINTS = TABLES * SEGMENTS // 4
+#: The first fingerprints are a table's check bits.  Pairs at 0.8 differ in 39 of 256 bits (five shingles: 48), standard deviation 6; unrelated ones in 128, deviation 8.
+CHECKS, CHECK_BITS, FIRST_BITS = 4, 72, 28
+#: Share of all fingerprint bits in which a pair at 0.8 may differ: 0.15 on average (five shingles: 0.19), standard deviation 0.011.
+FAR = 0.25
 #: Bytes of a shingle's hash that a set keeps: two of a text's shingles fall together with probability 2**-40.
 ITEM_BYTES = 5
-_ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Sets in one part of a table, about; and keys made at a time.
+PART_SETS, KEYS = 500_000, 1 << 21
+_RECORD = np.dtype([("sid", "<i8"), ("check", "<u8", (CHECKS,)), ("segment", "<u2", (SEGMENTS,)), ("size", "<u4")])
+_ROW_BITS = 27
+_STEPS = np.arange(PRINTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Eight bits as eight counters of a byte each.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def shingle_sets(block: Block, size: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +56,24 @@ def shingle_sets(block: Block, size: int = SHINGLE, seed: int = SEED) -> tuple[n
     return hashes, np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=block.n))))
 
 
-def minima(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a shingle, and their minima under each of the 96 orders."""
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets with a shingle, and their SimHash fingerprints: bit i of the k-th is set if over half of the set's k-th hashes have it."""
     full = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(full), len(_ODD)), np.uint64)
-    if len(full):
-        for k, odd in enumerate(_ODD):
-            x = hashes ^ (odd >> np.uint64(7))
-            x *= odd
-            x ^= x >> np.uint64(32)
-            x *= odd
-            out[:, k] = np.minimum.reduceat(x, offsets[full])
+    first, size = offsets[full], np.diff(offsets)[full]
+    out = np.zeros((len(full), PRINTS), np.uint64)
+    if not len(full):
+        return full, out
+    # A counter of a byte holds 255 shingles.
+    pieces = -(-size // 255)
+    whole = np.cumsum(pieces) - pieces
+    begin = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(whole, pieces))
+    ones = np.empty((len(begin), 8), np.uint64)
+    for k, step in enumerate(_STEPS):
+        own = mix64(hashes + step).view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            ones[:, byte] = np.add.reduceat(_SPREAD[own[:, byte]], begin)
+        counts = np.add.reduceat(ones.view(np.uint8).reshape(-1, 64), whole, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return full, out
 
 
@@ -70,23 +90,99 @@ def unpacked_set(raw: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    parts = least.reshape(-1, BANDS, ROWS)
-    key = np.tile(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(parts), 1))
-    for j in range(ROWS):
-        key = mix64(key ^ parts[:, :, j]) + np.uint64(j)
-    return key.view(np.int64)
+def _class_of(code: np.ndarray) -> np.ndarray:
+    return (mix64(code.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+
+
+def table_records(sid: np.ndarray, prints: np.ndarray, size: np.ndarray, table: int) -> np.ndarray:
+    """What a table needs of each set: three segments of different fingerprints, and the check bits."""
+    out = np.empty(len(sid), _RECORD)
+    out["sid"], out["check"], out["size"] = sid, prints[:, :CHECKS], size
+    out["segment"] = np.ascontiguousarray(prints).view("<u2").reshape(len(sid), -1)[:, table::TABLES]
+    return out
+
+
+def least_connected(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` vertices the least one that links (u, v) lead to."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def candidate_links(records: np.ndarray, part: int = 0, parts: int = 1, keys: int = KEYS, long: int = 64) -> np.ndarray:
+    """(u, v) sids of one part of a table that connect all that share a codeword in each segment and are near; fewer than its sets.
+
+    A link leads to the least sid of its component, so that other tables mostly find the same
+    links.  A part takes the codewords of the first segment that fall to it, some of them at a time.
+    Keys with more than ``long`` sets are scanned breadth first, so that many copies cost rows, not pairs.
+    """
+    records = records[np.argsort(records["sid"])]
+    codes = segment_codewords().astype(np.int16)
+    first, second, third = (codes[records["segment"][:, j]] for j in range(SEGMENTS))
+    check = [np.ascontiguousarray(records["check"][:, j]) for j in range(CHECKS)]
+    size = records["size"].astype(np.int64)
+    of = _class_of(first)
+    passes = 1 + len(records) * 150 // (keys * parts)
+    turn = np.where((first >= 0) & (of % parts == part), of // parts % passes, -1)
+
+    def near(x, y):
+        kept = np.flatnonzero(np.bitwise_count(check[0][x] ^ check[0][y]) <= FIRST_BITS)
+        x, y = (np.broadcast_to(i, np.broadcast_shapes(np.shape(x), np.shape(y)))[kept] for i in (x, y))
+        bits = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int64) for c in check)
+        return kept[(bits <= CHECK_BITS) & (np.minimum(size[x], size[y]) >= SIMILARITY * np.maximum(size[x], size[y]) - 1e-9)]
+
+    least = np.arange(len(records))
+    for k in range(passes):
+        row, which = np.nonzero(turn == k)
+        a, b, c = first[row, which].astype(np.int64), second[row].astype(np.int64), third[row].astype(np.int64)
+        packed = (a << 24 + _ROW_BITS | row)[:, None, None] | b[:, :, None] << 12 + _ROW_BITS | c[:, None, :] << _ROW_BITS
+        packed = packed[(b >= 0)[:, :, None] & (c >= 0)[:, None, :]]
+        packed.sort()
+        key, row = packed >> _ROW_BITS, packed & ((1 << _ROW_BITS) - 1)
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(key)))
+        links = []
+        small = np.repeat(np.where(count <= long, np.cumsum(count), 0), count)  # where the key ends, if it is no long one
+        at, step = np.flatnonzero(np.arange(len(key)) + 1 < small), 1
+        while len(at):
+            x, y = row[at], row[at + step]
+            hit = near(x, y)
+            links.append(x[hit] << 32 | y[hit])
+            step += 1
+            at = at[at + step < small[at]]
+        for i in np.flatnonzero(count > long):
+            open_ = row[new[i] : new[i] + count[i]]
+            while len(open_) > 1:
+                front, open_ = [open_[0]], open_[1:]
+                while front and len(open_):
+                    x = front.pop()
+                    hit = near(x, open_)
+                    if len(hit):
+                        links.append(np.minimum(x, open_[hit]) << 32 | np.maximum(x, open_[hit]))
+                        front.extend(open_[hit])
+                        open_ = np.delete(open_, hit)
+        tree = np.flatnonzero(least != np.arange(len(least)))
+        found = np.unique(np.concatenate((tree << 32 | least[tree], *links)))
+        least = least_connected(found >> 32, found & 0xFFFFFFFF, len(records))
+    tree = np.flatnonzero(least != np.arange(len(least)))
+    return records["sid"][np.stack((tree, least[tree]), axis=1)]
 
 
 def spanning_copies(marks: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect what is connected in a bucket by pairs of at least ``similarity``; breadth first, each pair at most once."""
+    """Links that connect what is connected in a bucket by pairs of at least ``similarity``; breadth first, each pair at most once; ``marks`` are the fingerprints."""
     sizes = np.array([len(s) for s in sets])
     links, open_ = [], np.arange(len(sets))
     while len(open_) > 1:
         front, open_ = [open_[0]], open_[1:]
         while front and len(open_):
             x = front.pop()
-            near = (marks[open_] == marks[x]).sum(1) >= AGREE * min(1.0, similarity / SIMILARITY)
+            near = np.bitwise_count(marks[open_] ^ marks[x]).sum(1, dtype=np.int64) <= FAR * 64 * marks.shape[1]
             near &= np.minimum(sizes[open_], sizes[x]) >= similarity * np.maximum(sizes[open_], sizes[x]) - 1e-9
             near = np.flatnonzero(near)
             if len(near):
@@ -103,68 +199,107 @@ def spanning_copies(marks: np.ndarray, sets: list[np.ndarray], similarity: float
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """doc_id, th (hash of the text), sid (names the shingle set), keys (none without words), marks (a byte of each minimum), items (the set)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), T.StructField("items", T.BinaryType())])
+    """doc_id, th (hash of the text), sid (names the shingle set), marks (its fingerprints; empty without words), items (the set)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("marks", T.BinaryType()), T.StructField("items", T.BinaryType())])
 
     def run(batches):
         for block in blocks(batches, "text", 1 << 20):
             hashes, offsets = shingle_sets(block, shingle, seed)
-            full, least = minima(hashes, offsets)
+            full, prints = sketches(hashes, offsets)
             raw, cut = hashes.tobytes(), (8 * offsets).tolist()
             sid = np.array([xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64).view(np.int64)
             items = packed_sets(hashes, offsets)
-            keys, marks = [[]] * block.n, [b""] * block.n
-            for i, k, m in zip(full.tolist(), band_keys(least).tolist(), (least >> np.uint64(56)).astype(np.uint8), strict=True):
-                keys[i], marks[i] = k, m.tobytes()
-            yield arrow_batch(schema, [block.rows.column(0), block.rows.column(2), sid, keys, marks, items])
+            marks = [b""] * block.n
+            for i, m in zip(full.tolist(), prints, strict=True):
+                marks[i] = m.tobytes()
+            yield arrow_batch(schema, [block.rows.column(0), block.rows.column(2), sid, marks, items])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th")).mapInArrow(run, schema)
 
 
-def _buckets(batches):
-    """(bucket, sid) of each set of two or more that share a key, from rows sorted by key; the same set gets the same bucket."""
-    schema = pa.schema([("bucket", pa.int64()), ("sid", pa.int64())])
+def _deal(parts: int):
+    """(part, records): the records of a batch of sets for each part of each table that they have a codeword in."""
+    schema = pa.schema([("part", pa.int64()), ("records", pa.binary())])
 
-    def shared(key, sid):
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(first, len(key)))
-        name = mix64(np.add.reduceat(mix64(sid.view(np.uint64)), first) + size.astype(np.uint64))
-        keep = np.repeat(size > 1, size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(sid[keep])], schema=schema)
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sid, size = (batch.column(i).to_numpy() for i in (0, 2))
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(sid), -1)
+            for table in range(TABLES):
+                records, part, raw = table_records(sid, prints, size, table), [], []
+                if parts > 1:
+                    code = segment_codewords()[records["segment"][:, 0]]
+                    of = np.where(code >= 0, _class_of(code) % parts, -1)
+                for k in range(parts):
+                    own = records if parts == 1 else records[(of == k).any(1)]
+                    if len(own):
+                        part.append(table * parts + k)
+                        raw.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
-    held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
-        sid = np.concatenate((held, batch.column(1).to_numpy(zero_copy_only=False)))
-        whole = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
-        held_key, held = key[whole:], sid[whole:]
-        if whole:
-            yield shared(key[:whole], sid[:whole])
-    if len(held):
-        yield shared(held_key, held)
+    return run
 
 
-def _verified(similarity: float):
+def _linked(parts: int):
+    """(u, v) candidates, from the records of whole parts, sorted by part."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def links(sids, marks, sets):
-        found = spanning_copies(np.frombuffer(b"".join(marks), np.uint8).reshape(len(sids), -1), [unpacked_set(s) for s in sets], similarity)
-        return pa.RecordBatch.from_arrays([pa.array([sids[a] for a, _ in found], pa.int64()), pa.array([sids[b] for _, b in found], pa.int64())], schema=schema)
+    def links(part, raw):
+        uv = candidate_links(np.frombuffer(b"".join(raw), _RECORD), part % parts, parts)
+        return pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy())], schema=schema)
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held:
+                    yield links(now, held)
+                    held = []
+                now = part
+                held.append(raw)
+        if held:
+            yield links(now, held)
+
+    return run
+
+
+def candidates(marked: DataFrame) -> DataFrame:
+    """(sid, class) of the sets that a candidate link has: sets of similarity 0.8 or more are in one class."""
+    sets = marked.filter(F.length("marks") > 0).groupBy("sid").agg(F.first("marks").alias("marks"), F.first(F.length("items") / ITEM_BYTES).cast("long").alias("size"))
+    parts = 1 + marked.count() // PART_SETS
+    dealt = sets.select("sid", "marks", "size").mapInArrow(_deal(parts), "part long, records binary").repartition("part").sortWithinPartitions("part")
+    linked = components(dealt.mapInArrow(_linked(parts), "u long, v long").distinct())
+    return linked.select(F.col("vertex").alias("sid"), F.col("component").alias("class"))
+
+
+def _verified(similarity: float):
+    """(sid, component) of the sets with a link, from whole classes: a component has its least sid as its name."""
+    schema = pa.schema([("sid", pa.int64()), ("component", pa.int64())])
+
+    def named(sids, marks, sets):
+        marks = np.frombuffer(b"".join(marks), np.uint64).reshape(len(sids), -1)
+        name = {}
+        for a, b in spanning_copies(marks, [unpacked_set(s) for s in sets], similarity):
+            name[b] = name.setdefault(a, a)  # breadth first: a is the start or has been reached before
+        least = {}
+        for i, head in name.items():
+            least[head] = min(least.get(head, sids[i]), sids[i])
+        return pa.RecordBatch.from_arrays([pa.array([sids[i] for i in name], pa.int64()), pa.array([least[h] for h in name.values()], pa.int64())], schema=schema)
 
     def run(batches):
         now, held = None, ([], [], [])
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and held[0]:
-                    yield links(*held)
+            for of, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != now and held[0]:
+                    yield named(*held)
                     held = ([], [], [])
-                now = bucket
+                now = of
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
         if held[0]:
-            yield links(*held)
+            yield named(*held)
 
     return run
 
@@ -172,15 +307,13 @@ def _verified(similarity: float):
 def copy_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """(doc_id, th, component, component_id) per row: th is XXH64 of the text, component names the group, whatever its ids."""
     if not SIMILARITY <= similarity <= 1:
-        raise ValueError("the bands find similarities from 0.8 on")
+        raise ValueError("the keys find similarities from 0.8 on")
     marked = checkpointed(_marked(docs, id_col, text_col, shingle, seed))
     distinct = marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    keys = marked.select("sid", F.explode("keys").alias("key")).distinct().select("key", "sid")
-    buckets = checkpointed(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "bucket long, sid long").distinct())
-    sets = marked.join(buckets.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("marks").alias("marks"), F.first("items").alias("items"))
-    met = buckets.join(sets, "sid").select("bucket", "sid", "marks", "items")
-    linked = components(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(similarity), "u long, v long").distinct())
-    classes = distinct.join(linked.withColumnRenamed("vertex", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    sets = marked.filter(F.length("marks") > 0).groupBy("sid").agg(F.first("marks").alias("marks"), F.first("items").alias("items"))
+    met = candidates(marked).join(sets, "sid").select("class", "sid", "marks", "items")
+    linked = met.repartition("class").sortWithinPartitions("class").mapInArrow(_verified(similarity), "sid long, component long")
+    classes = distinct.join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = checkpointed(classes.select("sid", "component", "n").join(least, "component").select("sid", "component", "component_id", "n"))
     return join_largest(marked.select("doc_id", "th", "sid"), named, ["sid"], "n").select("doc_id", "th", "component", "component_id")
@@ -194,8 +327,8 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
     Null, empty and blank texts are copies of each other.  Rows with a null id get the
     least non-null id of their component (null if there is none).  Repeated rows stay.
 
-    Texts with the same set collapse before any key is made, and keys with the same texts
-    make one bucket, so that copies cost rows, not pairs.
+    Texts with the same set collapse before any key is made, and a class of candidates is
+    searched breadth first, so that copies cost rows, not pairs.
     """
     return copy_classes(docs, **options).select("doc_id", "component_id")
 
