@@ -572,10 +572,7 @@ def mann_whitney(t):
 
 @query(r"WITH w AS (SELECT lang, string_split_regex(lower(text), '\s+') AS w FROM documents), g AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM w WHERE len(w) >= 3) SELECT lang, count(*) AS n, round(count(DISTINCT g) / count(*), 6) AS ratio FROM g GROUP BY lang")
 def distinct_trigram_ratio(t):
-    words = t("documents").select("lang", F.split(F.lower("text"), r"\s+").alias("w")).filter(F.size("w") >= 3)
-    grams = words.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("g"))
-    counts = grams.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c"))
-    return counts.groupBy("lang").agg(F.sum("c").alias("n"), F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("ratio"))
+    return A.distinct_trigrams(t("documents").select("lang", F.split(F.lower("text"), r"\s+").alias("w")), "lang", "w")
 
 
 # ---------------------------------------------------------------- translation metrics

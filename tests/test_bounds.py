@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from corpusloom.operators import analysis as A
+from corpusloom.plans.queries import QUERIES
 
 
 def peak_mb(f) -> tuple[object, float]:
@@ -34,3 +35,11 @@ def test_nearest_neighbours_pass_over_nulls(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.0]), (None, [9.0, 0.0]), (3, None)], "id long, v array<double>")
     out = A.nearest_neighbours(rows, rows.filter("id = 1"), "id", "v").collect()
     assert [tuple(r) for r in out] == [(1, 2, 0.5)]
+
+
+def test_distinct_trigrams_deal_out_no_text(spark, tmp_path):
+    texts = [("a", "x y z x y z x"), ("a", "X y  z"), ("a", " y z"), ("a", "x y"), ("b", "yz x y z"), ("b", None), ("b", ""), (None, "x y z"), ("c", "y")]
+    spark.createDataFrame(texts, "lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["distinct_trigram_ratio"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", 7, round(4 / 7, 6)), ("b", 2, 1.0), (None, 1, 1.0)]
+    assert "array_join" not in out._jdf.queryExecution().optimizedPlan().toString()
