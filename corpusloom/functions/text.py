@@ -253,11 +253,17 @@ def numeral_value(token: Column) -> Column:
 
 
 def transliterate(column: Column) -> Column:
-    """Ethiopic to Latin, token by token; a token of numerals alone becomes its number."""
-    table = F.create_map(*(F.lit(x) for k, v in letters().items() for x in (k, v)))
-    spelled = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(table[c], c)), "")
-    numeric = f"^[{''.join(NUMERALS)}]+$"
-    return F.array_join(F.transform(F.split(column, r"(?U)\s+"), lambda t: F.when(t.rlike(numeric), numeral_value(t).cast("string")).otherwise(spelled(t))), " ")
+    """Ethiopic to Latin, white space as single spaces; a token of numerals alone becomes its number.
+
+    A letter is found by its code point's place in an array, so a text costs its length.
+    """
+    table = letters()
+    low, high = min(map(ord, table)), max(map(ord, table))
+    latin = F.array(*(F.lit(table.get(chr(c))) for c in range(low, high + 1)))
+    digits, space = "".join(NUMERALS), r"(?U)\s+"
+    numbers = F.transform(F.split(column, space), lambda t: F.when(t.rlike(f"^[{digits}]+$"), numeral_value(t).cast("string")).otherwise(t))
+    numbered = F.when(column.rlike(f"[{digits}]"), F.array_join(numbers, " ")).otherwise(F.regexp_replace(column, space, " "))
+    return F.array_join(F.transform(F.split(numbered, ""), lambda c: F.coalesce(F.get(latin, F.ascii(c) - low), c)), "")
 
 
 def spell_ethiopic(column: Column) -> Column:

@@ -1,10 +1,13 @@
 """What a task holds does not grow with the batch that it is given, nor its time faster than the text."""
 
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.operators import analysis as A
 from corpusloom.plans.queries import QUERIES
 
@@ -43,3 +46,11 @@ def test_distinct_trigrams_deal_out_no_text(spark, tmp_path):
     out = QUERIES["distinct_trigram_ratio"](spark, str(tmp_path))
     assert sorted(map(tuple, out.collect()), key=str) == [("a", 7, round(4 / 7, 6)), ("b", 2, 1.0), (None, 1, 1.0)]
     assert "array_join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transliteration_looks_letters_up_by_place(spark):
+    """A map is searched from its first key to the last, for every letter."""
+    df = spark.createDataFrame([("ሰላም\t፴፪ abc ፴፪ሰ ፡  😀 ፻",), ("",), (None,)], "t string").select(X.transliterate(F.col("t")).alias("latin"))
+    assert [r.latin for r in df.collect()] == ["səlam 32 abc 302sə   😀 100", "", None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("ለ" in keys or "ላ" in keys for keys in re.findall(r"keys: \[([^\]]*)\]", plan))
