@@ -54,3 +54,14 @@ def test_transliteration_looks_letters_up_by_place(spark):
     assert [r.latin for r in df.collect()] == ["səlam 32 abc 302sə   😀 100", "", None]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not any("ለ" in keys or "ላ" in keys for keys in re.findall(r"keys: \[([^\]]*)\]", plan))
+
+
+def test_bleu_holds_a_slice_of_segments():
+    words = [[f"w{i * 7 % 97}" for i in range(k, k + 40)] for k in range(5_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000)), pa.array(words), pa.array(words[1:] + [None])], names=["seg", "h", "r"])
+    parts, mb = peak_mb(lambda: list(A.count_segments(iter([batch, batch.slice(0, 0)]), "seg")))
+    assert mb < 10  # all tokens at once are over 20 MB
+    out = pa.Table.from_batches(parts).to_pylist()
+    assert [r["seg"] for r in out] == list(range(5_000))
+    assert (out[0]["sys_len"], out[0]["ref_len"], out[0]["correct_1"], out[0]["correct_4"], out[0]["total_4"]) == (40, 40, 39, 36, 37)
+    assert (out[-1]["ref_len"], out[-1]["correct_1"], out[-1]["total_1"]) == (0, 0, 40)
