@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,11 +80,19 @@ def collapse_space(column: Column) -> Column:
 
 def nfc(column: Column) -> Column:
     """Unicode composition; only texts beyond ASCII leave the JVM, in Arrow batches."""
-    @F.pandas_udf("string")
-    def composed(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    @F.arrow_udf("string")
+    def composed(texts: pa.Array) -> pa.Array:
+        return compose(texts)
 
-    return F.when(column.rlike(r"[^\x00-\x7F]"), composed(column)).otherwise(column)
+    beyond = column.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, composed(F.when(beyond, column))).otherwise(column)  # for the others a null is sent
+
+
+def compose(texts: pa.Array, rows_at_once: int = 256) -> pa.Array:
+    """Each text in composed form; so many are Python objects at a time."""
+    parts = (texts.slice(at, rows_at_once).to_pylist() for at in range(0, len(texts), rows_at_once))
+    done = [pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in part], pa.string()) for part in parts]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 #: The chain in its order: name, function, whether it is for both sides (or the Ethiopic one alone).

@@ -6,7 +6,7 @@ import difflib
 from collections import Counter
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,29 +219,41 @@ def ngram_candidates(lines: DataFrame, bench: DataFrame, row: Sequence[str], ite
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff and Obershelp's 2M/T, in Arrow batches; there is no built-in for it."""
-    return F.pandas_udf(lambda x, y: _ratios(x, y, 0.0), "double")(a, b)
+    return _ratio_udf(0.0)(a, b)
 
 
-def _ratios(x: pd.Series, y: pd.Series, least: float) -> pd.Series:
-    """Ratios; null where the characters that two texts share show that it is below ``least``, before anything is matched."""
-    out, counts = [], {}
-    for s, t in zip(x, y, strict=True):
-        for text in (s, t):
-            if text not in counts:
-                counts[text] = Counter(text)
-        if 2 * (counts[s] & counts[t]).total() < least * (len(s) + len(t)) - 1e-9:
-            out.append(None)
-        else:
-            out.append(difflib.SequenceMatcher(None, s, t, autojunk=False).ratio())
-    return pd.Series(out, dtype=float)
+def _ratio_udf(least: float):
+    @F.arrow_udf("double")
+    def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
+        return ratios(x, y, least)
+
+    return ratio
+
+
+def ratios(x: pa.Array, y: pa.Array, least: float, rows_at_once: int = 256) -> pa.Array:
+    """Ratios; null where the characters that two texts share show that it is below ``least``, before anything is matched.
+
+    The texts and counts of so many rows are held at a time.
+    """
+    out = []
+    for at in range(0, len(x), rows_at_once):
+        counts = {}
+        for s, t in zip(x.slice(at, rows_at_once).to_pylist(), y.slice(at, rows_at_once).to_pylist(), strict=True):
+            for text in (s, t):
+                if text not in counts:
+                    counts[text] = Counter(text)
+            if 2 * (counts[s] & counts[t]).total() < least * (len(s) + len(t)) - 1e-9:
+                out.append(None)
+            else:
+                out.append(difflib.SequenceMatcher(None, s, t, autojunk=False).ratio())
+    return pa.array(out, pa.float64())
 
 
 def fuzzy_matches(candidates: DataFrame, row: Sequence[str], left: str, right: str, item: str = "item_id", least: float = 0.7) -> DataFrame:
     """The best item of each row with a ratio of at least ``least``; pairs whose lengths rule it out are not compared."""
     la, lb = F.length(left), F.length(right)
     possible = candidates.filter((la + lb > 0) & (2.0 * F.least(la, lb) / (la + lb) >= least))
-    ratio = F.pandas_udf(lambda x, y: _ratios(x, y, least), "double")
-    scored = possible.withColumn("ratio", ratio(F.col(left), F.col(right))).filter(F.col("ratio") >= least)
+    scored = possible.withColumn("ratio", _ratio_udf(least)(F.col(left), F.col(right))).filter(F.col("ratio") >= least)
     rank = F.row_number().over(Window.partitionBy(*row).orderBy(F.desc("ratio"), F.desc("shared"), item))
     return scored.withColumn("_r", rank).filter("_r = 1").drop("_r")
 

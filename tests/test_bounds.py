@@ -1,5 +1,6 @@
 """What a task holds does not grow with the batch that it is given, nor its time faster than the text."""
 
+import difflib
 import re
 import tracemalloc
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import analysis as A
+from corpusloom.operators import relational as R
 from corpusloom.plans.queries import QUERIES
 
 
@@ -65,3 +67,22 @@ def test_bleu_holds_a_slice_of_segments():
     assert [r["seg"] for r in out] == list(range(5_000))
     assert (out[0]["sys_len"], out[0]["ref_len"], out[0]["correct_1"], out[0]["correct_4"], out[0]["total_4"]) == (40, 40, 39, 36, 37)
     assert (out[-1]["ref_len"], out[-1]["correct_1"], out[-1]["total_1"]) == (0, 0, 40)
+
+
+def test_ratios_hold_a_slice_of_counts():
+    letters = "abcdefghijklmnopqrstuvwxyzéèü"
+    x = pa.array([f"{letters}{k}" for k in range(5_000)])
+    y = pa.array([f"{letters[:15]}{letters[:k % 20]}{k}" for k in range(5_000)])
+    out, mb = peak_mb(lambda: R.ratios(x, y, 0.0))
+    assert mb < 5  # the counts of all texts are over 15 MB
+    assert out.to_pylist() == [difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+    assert R.ratios(pa.array(["abcd", "abcd"]), pa.array(["abcx", "wxyz"]), 0.7).to_pylist() == [0.75, None]
+
+
+def test_composition_holds_a_slice_of_texts(spark):
+    texts = pa.array([None, "e\u0301" * 500, "abc"] * 2_000)
+    out, mb = peak_mb(lambda: X.compose(texts))
+    assert mb < 5  # all texts are over 8 MB
+    assert out.to_pylist() == [None, "é" * 500, "abc"] * 2_000
+    df = spark.createDataFrame([("e\u0301",), ("abc",), ("",), (None,)], "t string")
+    assert [r.t for r in df.select(X.nfc(F.col("t")).alias("t")).collect()] == ["é", "abc", "", None]
